@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["scores"]
+_MODULES = ["scores", "techniques"]
 
 
 def _load():
