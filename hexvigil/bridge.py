@@ -62,6 +62,10 @@ SQL = {
     "request_log": """SELECT event_id, user_id, ts, concat('/', CASE event_type WHEN 'view' THEN 'query/vendor'
  WHEN 'click' THEN 'intelligence/market' ELSE event_type END) AS endpoint, value FROM events""",
     "api_user": """SELECT user_id, min(ts) AS created_at, max(ts) AS last_used, count(*) AS request_count FROM events GROUP BY user_id""",
+    "members": """SELECT user_id, min(ts) AS created_at, max(ts) AS last_used, count(*) AS request_count,
+ CASE user_id % 3 WHEN 0 THEN 'community' WHEN 1 THEN 'pro' ELSE 'enterprise' END AS tier,
+ CASE WHEN user_id % 10 = 0 THEN 9 ELSE 0 END AS invite_count, CASE WHEN user_id % 10 <> 0 THEN user_id - user_id % 10 END AS invited_by,
+ user_id % 4 <> 0 AS verified FROM events GROUP BY user_id""",
     "registry": f"""SELECT s_name AS vendor_id, replace(s_name, '#', ' ') AS display_name,
  {_list(CATEGORIES)}[CAST(s_suppkey % 6 AS INTEGER) + 1] AS category,
  {_list(TOOL_KINDS)}[CAST(s_suppkey % 8 AS INTEGER) + 1] AS kind,
@@ -248,6 +252,17 @@ def api_user(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def members(spark: SparkSession, sf: str) -> DataFrame:
+    uid = F.col("user_id")
+    return api_user(spark, sf).select(
+        "*",
+        F.expr("CASE user_id % 3 WHEN 0 THEN 'community' WHEN 1 THEN 'pro' ELSE 'enterprise' END").alias("tier"),
+        F.when(uid % 10 == 0, 9).otherwise(0).alias("invite_count"),
+        F.when(uid % 10 != 0, uid - uid % 10).alias("invited_by"),
+        (uid % 4 != 0).alias("verified"),
+    )
+
+
 def registry(spark: SparkSession, sf: str) -> DataFrame:
     key = F.col("s_suppkey").cast("int")
     return table(spark, sf, "supplier").select(

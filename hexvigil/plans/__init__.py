@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["scores", "techniques"]
+_MODULES = ["scores", "techniques", "activity", "indicators"]
 
 
 def _load():
