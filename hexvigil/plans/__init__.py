@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["scores", "techniques", "activity", "indicators"]
+_MODULES = ["scores", "techniques", "activity", "indicators", "trust"]
 
 
 def _load():
