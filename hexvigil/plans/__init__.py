@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["scores", "techniques", "activity", "indicators", "trust"]
+_MODULES = [
+    "scores", "techniques", "activity", "indicators", "trust", "text", "intake", "privacy",
+]
 
 
 def _load():
