@@ -135,7 +135,7 @@ def budget_ledger(spark, sf):
 @query("d07_maximum_privacy")
 def maximum_privacy(spark, sf):
     """The strictest level over evaluations whose notes are whole conversation turns."""
-    conv = bridge.table(spark, sf, "conversations").select(
+    conv = bridge.texts(spark, sf, "conversations", "conv_id").select(
         "conv_id",
         "turn",
         F.col("text").alias("notes"),
@@ -154,7 +154,7 @@ def maximum_privacy(spark, sf):
 )
 def research_privacy(spark, sf):
     """The lightest level keeps security context; these turns hold no personal data, so lengths stay."""
-    conv = bridge.table(spark, sf, "conversations").select(
+    conv = bridge.texts(spark, sf, "conversations", "conv_id").select(
         "conv_id",
         "turn",
         F.col("text").alias("notes"),

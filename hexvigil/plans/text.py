@@ -41,7 +41,7 @@ def _sql_list(items):
 
 def with_sentence(spark, sf, sentences):
     extra = F.element_at(F.array(*[F.lit(s) for s in sentences]), (F.col("doc_id") % len(sentences)).cast("int") + 1)
-    return bridge.table(spark, sf, "documents").select("doc_id", F.concat_ws(" ", "text", extra).alias("text"))
+    return bridge.texts(spark, sf, "documents", "doc_id").select("doc_id", F.concat_ws(" ", "text", extra).alias("text"))
 
 
 def sentence_sql(sentences):
@@ -170,7 +170,7 @@ SECRET = b"shared-demo-secret"
     """SELECT page_id, sha256(lower(trim(url))) AS value_hash FROM pages""",
 )
 def indicator_hashes(spark, sf):
-    return bridge.table(spark, sf, "pages").select("page_id", indicator_hash("url").alias("value_hash"))
+    return bridge.texts(spark, sf, "pages", "page_id").select("page_id", indicator_hash("url").alias("value_hash"))
 
 
 def _pad_sql(key: bytes, value: int) -> str:
@@ -188,13 +188,13 @@ def hmac_sql(key: bytes, message: str) -> str:
     f"SELECT page_id, {hmac_sql(SECRET, 'lower(trim(url))')} AS value_hash FROM pages",
 )
 def indicator_hmacs(spark, sf):
-    return bridge.table(spark, sf, "pages").select("page_id", indicator_hmac(SECRET, "url").alias("value_hash"))
+    return bridge.texts(spark, sf, "pages", "page_id").select("page_id", indicator_hmac(SECRET, "url").alias("value_hash"))
 
 
 @query("t05_session_hmac")
 def session_hmacs(spark, sf):
     """Each host is a session with a key of its own, so its hashes match nobody else's."""
-    pages = bridge.table(spark, sf, "pages")
+    pages = bridge.texts(spark, sf, "pages", "page_id")
     key = session_key(SECRET, F.expr("parse_url(url, 'HOST')"))
     return pages.select("page_id", hmac_column_key(key, F.lower(F.trim("url"))).alias("value_hash"))
 
@@ -214,7 +214,7 @@ def _nullif(pattern):
 )
 def text_to_eval(spark, sf):
     extra = F.element_at(F.array(*[F.lit(s) for s in EVAL_TEXTS]), ((F.col("conv_id") + F.col("turn")) % 4).cast("int") + 1)
-    conv = bridge.table(spark, sf, "conversations").select("conv_id", "turn", F.concat_ws(" ", "text", extra).alias("text"))
+    conv = bridge.texts(spark, sf, "conversations", "conv_id").select("conv_id", "turn", F.concat_ws(" ", "text", extra).alias("text"))
     return intake.text_to_eval(conv)
 
 
@@ -249,7 +249,7 @@ PAGE_VENDORS = intake.SUBPROCESSORS + ["nation", "heating", "thereon"]
  UNION ALL SELECT company, array_to_string(list_transform(string_split(v, ' '), lambda w: concat(upper(w[1]), w[2:])), ' '), 'verified_usage', true, concat('soc2-subprocessor-', lower(company)) FROM v WHERE contains(v, ' ')""",
 )
 def subprocessor_evals(spark, sf):
-    pages = bridge.table(spark, sf, "pages").select(F.expr("parse_url(url, 'HOST')").alias("host"), "html")
+    pages = bridge.texts(spark, sf, "pages", "page_id").select(F.expr("parse_url(url, 'HOST')").alias("host"), "html")
     return intake.subprocessor_evals(pages, "host", vendors=PAGE_VENDORS)
 
 
@@ -269,7 +269,7 @@ for _entity, _char in (
  SELECT vendor, count(*) AS posts, string_agg(post, concat(chr(10), chr(10), '---', chr(10)) ORDER BY place) AS corpus FROM r WHERE place <= 12 GROUP BY vendor""",
 )
 def community_corpus(spark, sf):
-    posts = bridge.table(spark, sf, "pages").select(
+    posts = bridge.texts(spark, sf, "pages", "page_id").select(
         F.expr("parse_url(url, 'HOST')").alias("vendor"), F.col("page_id").alias("rank"), F.col("html").alias("raw")
     )
     return intake.community_corpus(posts)
@@ -284,7 +284,7 @@ RELEVANCE_SQL = """WITH d AS MATERIALIZED (SELECT doc_id, lower(text) AS low, li
 
 
 def relevant(spark, sf):
-    docs = bridge.table(spark, sf, "documents").select("doc_id", "text")
+    docs = bridge.texts(spark, sf, "documents", "doc_id").select("doc_id", "text")
     return relevance.technique_relevance(docs, bridge.technique_map(spark), "doc_id")
 
 
