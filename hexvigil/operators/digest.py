@@ -69,14 +69,16 @@ def _fold_blocks(level: DataFrame, bits: int, pad: str) -> DataFrame:
         )
     )
     for k in range(1, bits + 1):
-        below = F.col(f"__l{k - 1}")
-        pairs = F.sequence(F.lit(0), F.lit((size >> k) - 1))
+        blocks = blocks.withColumn(f"__l{k}", _parents(F.col(f"__l{k - 1}"), size >> k))
+    return blocks
 
-        def parent(i: Column, below: Column = below) -> Column:
-            return F.sha2(F.concat(F.get(below, i * 2), F.get(below, i * 2 + 1)), 256)
 
-        blocks = blocks.withColumn(f"__l{k}", F.transform(pairs, parent))
-    return blocks
+def _parents(below: Column, count: int) -> Column:
+    """The ``count`` hashes above a level of twice as many."""
+    return F.transform(
+        F.sequence(F.lit(0), F.lit(count - 1)),
+        lambda i: F.sha2(F.concat(F.get(below, i * 2), F.get(below, i * 2 + 1)), 256),
+    )
 
 
 def _paths(blocks: DataFrame, bits: int) -> DataFrame:
