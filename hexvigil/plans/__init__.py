@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 _MODULES = [
-    "scores", "techniques", "activity", "indicators", "trust", "text", "intake", "privacy", "graph", "digest",
+    "scores", "techniques", "activity", "indicators", "trust", "text", "intake", "privacy", "graph", "digest", "sources", "streams",
 ]
 
 
