@@ -116,19 +116,23 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def texts(spark: SparkSession, sf: str, name: str, key: str) -> DataFrame:
-    """A table of long texts, spread over the cluster when its files give too few input splits.
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A scan spread over the cluster when its files give too few input splits.
 
     One small file with one row group is one task however many cores there are.
     With enough splits (any large input) nothing is moved.
     """
-    df = table(spark, sf, name)
-    slots = spark.sparkContext.defaultParallelism
+    slots = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() * 2 <= slots:
         return df.repartition(slots, key)
     return df
 
 
+def texts(spark: SparkSession, sf: str, name: str, key: str) -> DataFrame:
+    """A table whose rows take long to work on: texts, documents, anything hashed or parsed per row."""
+    return spread(table(spark, sf, name), key)
+
+
 def evals(spark: SparkSession, sf: str, *cols: str) -> DataFrame:
     need = set(cols)
     df = table(spark, sf, "lineitem")

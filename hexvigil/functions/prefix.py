@@ -23,6 +23,43 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataF
     return left.join(renamed, cond).drop(*[f"__r_{k}" for k in keys])
 
 
+def _counted(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    return df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
+
+
+def _bucketed(
+    counts: DataFrame, keys: list[str], value: str, lo: float | None, hi: float | None, buckets: int
+) -> DataFrame:
+    """Counts with the bucket ``__b`` of their value; values outside a known range fall into the end buckets."""
+    v = F.col(value).cast("double")
+    if lo is None or hi is None:
+        span = counts.groupBy(*keys).agg(F.min(v).alias("__lo"), F.max(v).alias("__hi"))
+        counts = _null_safe_join(counts, span, keys)
+        low, high = F.col("__lo"), F.col("__hi")
+    else:
+        low, high = F.lit(float(lo)), F.lit(float(hi))
+    share = F.when(high > low, (v - low) / (high - low)).otherwise(0.0)
+    bucket = F.least(F.greatest(F.floor(share * buckets), F.lit(0)), F.lit(buckets - 1)).cast("int")
+    return counts.withColumn("__b", bucket).drop("__lo", "__hi")
+
+
+def _bucket_offsets(placed: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Per (keys, bucket): rows in it, rows in smaller buckets, rows of the group, smallest and largest value."""
+    per_bucket = placed.groupBy(*keys, "__b").agg(
+        F.sum("n").alias("__bn"), F.min(value).alias("__bmin"), F.max(value).alias("__bmax")
+    )
+    before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    return per_bucket.select(
+        *keys,
+        "__b",
+        "__bn",
+        "__bmin",
+        "__bmax",
+        F.coalesce(F.sum("__bn").over(before), F.lit(0)).alias("__before"),
+        F.sum("__bn").over(Window.partitionBy(*keys)).alias("total"),
+    )
+
+
 def cumulative_counts(
     df: DataFrame,
     keys: list[str],
@@ -33,77 +70,89 @@ def cumulative_counts(
 ) -> DataFrame:
     """Per (keys, distinct value): ``n`` equal rows, ``below`` rows with a smaller value, ``total`` rows.
 
-    ``lo``/``hi`` give the known range of the value (scores 0-10, rates 0-100); values
-    outside fall into the end buckets and stay exact.  Without them the range is
-    measured per group.
+    ``lo``/``hi`` give the known range of the value (scores 0-10, rates 0-100).  Without
+    them the range is measured per group.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__w"))
-    return _weighted_cumulative(counted, keys, value, "__w", lo, hi, buckets)
+    placed = _bucketed(_counted(df, keys, value), keys, value, lo, hi, buckets)
+    offsets = _bucket_offsets(placed, keys, value).drop("__bn", "__bmin", "__bmax")
+    joined = _null_safe_join(placed, offsets, [*keys, "__b"])
+    inside = Window.partitionBy(*keys, "__b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    below = F.col("__before") + F.coalesce(F.sum("n").over(inside), F.lit(0))
+    return joined.select(*keys, value, "n", below.alias("below"), "total")
 
 
-def _value_at(value: str, rank: Column) -> Column:
-    """Value of the row with zero-based ``rank`` over a cumulative-count frame (use inside agg)."""
-    hit = (F.col("below") <= rank) & (rank < F.col("below") + F.col("n"))
-    return F.max(F.when(hit, F.col(value)))
+def _rank_values(
+    counts: DataFrame,
+    keys: list[str],
+    value: str,
+    ranks: dict[str, Column],
+    lo: float | None,
+    hi: float | None,
+    buckets: int = BUCKETS,
+) -> DataFrame:
+    """Values at zero-based ranks (columns over ``total``) of each group of counted values.
+
+    Bucket totals say which bucket holds a rank; only those buckets are looked into, and
+    one that holds a single value not even that.
+    """
+    placed = _bucketed(counts, keys, value, lo, hi, buckets)
+    offsets = _bucket_offsets(placed, keys, value)
+    holds = F.lit(False)
+    for rank in ranks.values():
+        holds = holds | ((F.col("__before") <= rank) & (rank < F.col("__before") + F.col("__bn")))
+    targets = offsets.where(holds)
+    plain = targets.where("__bmin = __bmax").select(
+        *keys, F.col("__bmin").alias(value), F.col("__bn").alias("n"), F.col("__before").alias("below"), "total"
+    )
+    mixed = _null_safe_join(
+        placed, targets.where("__bmin < __bmax").select(*keys, "__b", "__before", "total"), [*keys, "__b"]
+    )
+    inside = Window.partitionBy(*keys, "__b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    below = F.col("__before") + F.coalesce(F.sum("n").over(inside), F.lit(0))
+    deep = mixed.select(*keys, value, "n", below.alias("below"), "total")
+    picked = plain.unionByName(deep)
+
+    def at(rank: Column) -> Column:
+        hit = (F.col("below") <= rank) & (rank < F.col("below") + F.col("n"))
+        return F.max(F.when(hit, F.col(value)))
+
+    return picked.groupBy(*keys).agg(*[at(rank).alias(name) for name, rank in ranks.items()])
+
+
+def _median(counts: DataFrame, keys: list[str], value: str, lo: float | None, hi: float | None, name: str) -> DataFrame:
+    total = F.col("total")
+    found = _rank_values(
+        counts, keys, value, {"__r1": F.floor((total - 1) / 2), "__r2": F.floor(total / 2)}, lo, hi
+    )
+    return found.select(*keys, ((F.col("__r1") + F.col("__r2")) / 2).alias(name))
 
 
 def exact_median(
     df: DataFrame, keys: list[str], value: str, lo: float | None = None, hi: float | None = None, name: str = "median"
 ) -> DataFrame:
     """Median that averages the two middle rows of an even group."""
-    cum = cumulative_counts(df, keys, value, lo, hi)
-    low = _value_at(value, F.floor((F.col("total") - 1) / 2))
-    high = _value_at(value, F.floor(F.col("total") / 2))
-    return cum.groupBy(*keys).agg(((low + high) / 2).alias(name))
+    return _median(_counted(df, keys, value), keys, value, lo, hi, name)
 
 
 def exact_median_mad(
     df: DataFrame, keys: list[str], value: str, lo: float | None = None, hi: float | None = None
 ) -> DataFrame:
     """Median, and the upper-middle absolute deviation from it (element ``n // 2``)."""
-    med = exact_median(df, keys, value, lo, hi)
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__w"))
-    dev = _null_safe_join(counted, med, keys).withColumn("__dev", F.abs(F.col(value) - F.col("median")))
+    counts = _counted(df, keys, value)
+    med = _median(counts, keys, value, lo, hi, "median")
+    apart = _null_safe_join(counts, med, keys).select(
+        *keys, F.abs(F.col(value) - F.col("median")).alias("__dev"), "n"
+    )
     span = None if lo is None or hi is None else float(hi) - float(lo)
-    dev_counts = _weighted_cumulative(dev, keys, "__dev", "__w", 0.0 if span is not None else None, span)
-    mad = dev_counts.groupBy(*keys).agg(_value_at("__dev", F.floor(F.col("total") / 2)).alias("mad"))
-    return _null_safe_join(med, mad, keys)
-
-
-def _weighted_cumulative(
-    df: DataFrame,
-    keys: list[str],
-    value: str,
-    weight: str,
-    lo: float | None,
-    hi: float | None,
-    buckets: int = BUCKETS,
-) -> DataFrame:
-    """``cumulative_counts`` over rows that already stand for ``weight`` equal rows."""
-    counts = df.groupBy(*keys, value).agg(F.sum(weight).alias("n"))
-    if lo is None or hi is None:
-        span = counts.groupBy(*keys).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
-        counts = _null_safe_join(counts, span, keys)
-        low, high = F.col("__lo"), F.col("__hi")
-    else:
-        low, high = F.lit(float(lo)), F.lit(float(hi))
-    share = F.when(high > low, (F.col(value) - low) / (high - low)).otherwise(0.0)
-    bucket = F.least(F.greatest(F.floor(share * buckets), F.lit(0)), F.lit(buckets - 1)).cast("int")
-    counts = counts.withColumn("__b", bucket)
-    per_bucket = counts.groupBy(*keys, "__b").agg(F.sum("n").alias("__bn"))
-    offsets = per_bucket.select(
-        *keys,
-        "__b",
-        F.coalesce(
-            F.sum("__bn").over(Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)),
-            F.lit(0),
-        ).alias("__before"),
-        F.sum("__bn").over(Window.partitionBy(*keys)).alias("total"),
+    mad = _rank_values(
+        apart.groupBy(*keys, "__dev").agg(F.sum("n").alias("n")),
+        keys,
+        "__dev",
+        {"mad": F.floor(F.col("total") / 2)},
+        None if span is None else 0.0,
+        span,
     )
-    joined = _null_safe_join(counts, offsets, [*keys, "__b"])
-    inside = Window.partitionBy(*keys, "__b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    below = F.col("__before") + F.coalesce(F.sum("n").over(inside), F.lit(0))
-    return joined.select(*keys, value, "n", below.alias("below"), "total")
+    return _null_safe_join(med, mad, keys)
 
 
 def running_total(df: DataFrame, keys: list[str], bucket: Column, order: list[str], value: str, name: str) -> DataFrame:

@@ -662,36 +662,45 @@ def match_tools(tools: DataFrame, registry: DataFrame, aliases: list[tuple[str,
     run time), so a tool is matched inside its own row and no pair of tool and vendor
     is ever built.
     """
-    vendors = registry.select("vendor_id", F.lower("display_name").alias("display"))
-    entry = F.struct(F.col("vendor_id").alias("id"), F.col("display").alias("d"))
-    listed = vendors.agg(F.array_sort(F.collect_list(entry)).alias("a"))
+    low = F.lower("vendor_id")
+    entry = F.struct(
+        F.col("vendor_id").alias("id"),
+        low.alias("low"),
+        F.replace(low, F.lit("-"), F.lit(" ")).alias("spaced"),
+        F.lower("display_name").alias("display"),
+    )
+    listed = registry.agg(F.array_sort(F.collect_list(entry)).alias("a"))
     checked = listed.select(
         F.when(F.size("a") > MAX_DICTIONARY, F.raise_error(F.lit("registry too large for matching")))
         .otherwise(F.col("a"))
         .alias("a")
     ).scalar()
     alias_list = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(v).alias("id")) for a, v in aliases])
-    name = F.lower(F.trim("tool"))
-
-    def first(items: Column, test) -> Column:
-        return F.try_element_at(F.filter(items, test), F.lit(1)).getField("id")
-
-    vid = lambda e: e.getField("id")
-    rules = [
-        first(F.col("__v"), lambda e: F.lower(vid(e)) == name),
-        first(alias_list, lambda e: e.getField("a") == name),
-        first(F.col("__v"), lambda e: e.getField("d") == name),
-        first(F.col("__v"), lambda e: F.contains(e.getField("d"), name)),
-        first(alias_list, lambda e: F.contains(name, e.getField("a"))),
-        first(F.col("__v"), lambda e: F.contains(name, F.lower(vid(e)))),
-        first(F.col("__v"), lambda e: F.contains(name, F.replace(F.lower(vid(e)), F.lit("-"), F.lit(" ")))),
+    name = F.col("__name")
+    vendors = F.col("__v")
+    tests = [
+        (vendors, lambda e: e.getField("low") == name),
+        (alias_list, lambda e: e.getField("a") == name),
+        (vendors, lambda e: e.getField("display") == name),
+        (vendors, lambda e: F.contains(e.getField("display"), name)),
+        (alias_list, lambda e: F.contains(name, e.getField("a"))),
+        (vendors, lambda e: F.contains(name, e.getField("low"))),
+        (vendors, lambda e: F.contains(name, e.getField("spaced"))),
     ]
-    rule_no = None
-    for i, r in enumerate(rules, 1):
-        rule_no = F.when(r.isNotNull(), i) if rule_no is None else rule_no.when(r.isNotNull(), i)
-    distinct = tools.select("tool").where(F.trim("tool") != "").distinct()
-    return distinct.withColumn("__v", checked).select(
-        "tool", F.coalesce(*rules).alias("vendor_id"), rule_no.alias("rule")
+
+    def first(items: Column, test, rule: int) -> Column:
+        hits = F.transform(
+            F.filter(items, test), lambda e: F.struct(e.getField("id").alias("vendor_id"), F.lit(rule).alias("rule"))
+        )
+        return F.try_element_at(hits, F.lit(1))
+
+    # Matching is work per row, so the few distinct names keep all the partitions they can use.
+    slots = tools.sparkSession.sparkContext.defaultParallelism
+    distinct = tools.select("tool").where(F.trim("tool") != "").distinct().repartition(slots, "tool")
+    return (
+        distinct.select("tool", F.lower(F.trim("tool")).alias("__name"), checked.alias("__v"))
+        .select("tool", F.coalesce(*[first(items, test, i) for i, (items, test) in enumerate(tests, 1)]).alias("__m"))
+        .select("tool", "__m.vendor_id", "__m.rule")
     )
 
 

@@ -186,9 +186,9 @@ def _covered(stacks: DataFrame, matrix: DataFrame) -> DataFrame:
 
 
 def stack_gaps(stacks: DataFrame, matrix: DataFrame, frequency: DataFrame, top: int = 20) -> DataFrame:
-    """The ``top`` most frequent observed techniques a stack lacks, with the other tools that catch them.
+    """The ``top`` most frequent observed techniques a stack lacks, with the tools that catch them.
 
-    Arrays hold technique or tool names of one dictionary each, so their length is
+    None of the stack's own tools can be among those, or the technique were covered.  Arrays hold technique or tool names of one dictionary each, so their length is
     bounded by that dictionary, not by the data.
     """
     ranked = frequency.agg(
@@ -198,13 +198,12 @@ def stack_gaps(stacks: DataFrame, matrix: DataFrame, frequency: DataFrame, top:
         )
     ).scalar()
     covered = _covered(stacks, matrix).groupBy("stack_id").agg(F.collect_set("technique_id").alias("__cov"))
-    tools = stacks.groupBy("stack_id").agg(F.collect_set(slug("tool")).alias("__tools"))
     catchers = (
         matrix.where("detected > 0").groupBy("technique_id").agg(F.sort_array(F.collect_set("vendor")).alias("__by"))
     )
-    base = tools.join(covered, "stack_id", "left")
+    base = stacks.select("stack_id").distinct().join(covered, "stack_id", "left")
     missing = F.slice(F.array_except(ranked, F.coalesce("__cov", F.array().cast("array<string>"))), 1, top)
-    gaps = base.select("stack_id", "__tools", F.posexplode(missing).alias("pos", "technique_id"))
+    gaps = base.select("stack_id", F.posexplode(missing).alias("pos", "technique_id"))
     return (
         gaps.join(frequency.select("technique_id", F.col("count").alias("frequency")), "technique_id")
         .join(catchers, "technique_id", "left")
@@ -213,7 +212,7 @@ def stack_gaps(stacks: DataFrame, matrix: DataFrame, frequency: DataFrame, top:
             (F.col("pos") + 1).alias("gap_rank"),
             "technique_id",
             "frequency",
-            F.array_except(F.coalesce("__by", F.array().cast("array<string>")), "__tools").alias("caught_by"),
+            F.coalesce("__by", F.array().cast("array<string>")).alias("caught_by"),
         )
     )
 

@@ -53,16 +53,19 @@ def autocomplete(spark, sf):
 @query(
     "p05_competitors",
     """WITH m AS (SELECT category, list(vendor_id ORDER BY vendor_id) AS peers FROM registry GROUP BY category)
- SELECT l_orderkey * 10 + l_linenumber AS k, v.vendor, coalesce(r.category, 'other') AS category, coalesce(array_to_string(list_filter(peers, lambda p: lower(p) <> lower(v.vendor)), ','), '') AS competitors
- FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 7 THEN 'nobody' ELSE s_name END AS vendor FROM lineitem JOIN supplier ON l_suppkey = s_suppkey) v
+ SELECT v.vendor, coalesce(r.category, 'other') AS category, coalesce(array_to_string(list_filter(peers, lambda p: lower(p) <> lower(v.vendor)), ','), '') AS competitors
+ FROM (SELECT DISTINCT CASE WHEN l_linenumber = 7 THEN concat(s_name, ' Labs') ELSE s_name END AS vendor FROM lineitem JOIN supplier ON l_suppkey = s_suppkey) v
  LEFT JOIN registry r ON lower(r.vendor_id) = lower(v.vendor) LEFT JOIN m ON m.category = r.category""",
     ("registry",),
 )
 def competitors(spark, sf):
+    """Every vendor name met in the evaluations, known or not."""
     l, s, reg = bridge.table(spark, sf, "lineitem"), bridge.table(spark, sf, "supplier"), bridge.registry(spark, sf)
-    rows = l.join(s, l.l_suppkey == s.s_suppkey).select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"),
-        F.when(F.col("l_linenumber") == 7, "nobody").otherwise(F.col("s_name")).alias("vendor"),
+    labs = F.concat("s_name", F.lit(" Labs"))
+    rows = (
+        l.join(s, l.l_suppkey == s.s_suppkey)
+        .select(F.when(F.col("l_linenumber") == 7, labs).otherwise(F.col("s_name")).alias("vendor"))
+        .distinct()
     )
     market = reg.groupBy("category").agg(F.sort_array(F.collect_list("vendor_id")).alias("competitors"))
     out = intake.competitors(rows, reg.select(F.col("vendor_id").alias("vendor"), "category"), market)
@@ -156,7 +159,7 @@ def match_sql(expr, categories):
  {_sql_list(PHRASES)}[CAST((l_partkey + 3) % 10 AS INTEGER) + 1] AS c FROM lineitem JOIN supplier ON l_suppkey = s_suppkey) GROUP BY ALL""",
 )
 def translate_evals(spark, sf):
-    l, s = bridge.table(spark, sf, "lineitem"), bridge.table(spark, sf, "supplier")
+    l, s = bridge.texts(spark, sf, "lineitem", "l_orderkey"), bridge.table(spark, sf, "supplier")
     k = F.col("l_partkey")
     raw = l.join(s, l.l_suppkey == s.s_suppkey).select(
         F.col("s_name").alias("vendor"),

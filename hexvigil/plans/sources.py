@@ -152,7 +152,7 @@ STIX_KINDS = ["domain-name", "ipv4-addr", "url", "email-addr", "mutex"]
 
 
 def stix_documents(spark, sf):
-    l = bridge.table(spark, sf, "lineitem")
+    l = bridge.texts(spark, sf, "lineitem", "l_orderkey")
     number = F.concat(F.lit("T"), (1000 + F.col("l_partkey") % 200).cast("string"))
     kind = F.element_at(F.array(*[F.lit(k) for k in STIX_KINDS]), (F.col("l_partkey") % 5).cast("int") + 1)
 
@@ -225,7 +225,7 @@ MISP_KINDS = ["domain|ip", "ip-src", "sha1", "filename|sha256", "comment"]
     """SELECT ['domain', 'ip', 'hash-sha1', 'hash-sha256'][CAST(l_partkey % 5 AS INTEGER) + 1] AS ioc_type, sha256(concat('m', CAST(l_partkey AS VARCHAR))) AS value_hash, count(*) AS n FROM lineitem WHERE l_partkey % 5 < 4 GROUP BY 1, 2""",
 )
 def misp_iocs(spark, sf):
-    l = bridge.table(spark, sf, "lineitem")
+    l = bridge.texts(spark, sf, "lineitem", "l_orderkey")
     kind = F.element_at(F.array(*[F.lit(k) for k in MISP_KINDS]), (F.col("l_partkey") % 5).cast("int") + 1)
     attr = F.struct(kind.alias("type"), F.concat(F.lit("M"), F.col("l_partkey").cast("string")).alias("value"))
     docs = l.groupBy("l_orderkey").agg(F.collect_list(attr).alias("Attribute")).select(
@@ -443,7 +443,7 @@ def cef_iocs(spark, sf):
  CASE WHEN l_linenumber < 3 THEN sha256(concat('s', CAST(l_partkey AS VARCHAR))) WHEN l_linenumber < 5 THEN sha256(concat('10.', CAST(l_suppkey AS VARCHAR))) WHEN l_linenumber = 5 THEN sha256(concat('m', CAST(l_partkey AS VARCHAR))) END AS value_hash FROM lineitem""",
 )
 def edr_detections(spark, sf):
-    l = bridge.table(spark, sf, "lineitem")
+    l = bridge.texts(spark, sf, "lineitem", "l_orderkey")
     n = F.col("l_linenumber")
     part = F.col("l_partkey").cast("string")
     behaviour = F.struct(
@@ -466,7 +466,7 @@ def edr_detections(spark, sf):
 
 def webhook_documents(spark, sf):
     """The five body shapes in turn."""
-    l = bridge.table(spark, sf, "lineitem")
+    l = bridge.texts(spark, sf, "lineitem", "l_orderkey")
     part = F.col("l_partkey").cast("string")
     tid = F.concat(F.lit("T"), (1000 + F.col("l_partkey") % 200).cast("string"))
     detection = F.struct(
