@@ -113,7 +113,14 @@ def with_views(views: tuple[str, ...], sql: str) -> str:
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A table by name; its schema is looked up once per path, not for every plan that reads it."""
+    path = f"{sf}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+
+
+_SCHEMAS: dict = {}
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:

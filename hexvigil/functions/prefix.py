@@ -33,7 +33,9 @@ def _bucketed(
     """Counts with the bucket ``__b`` of their value; values outside a known range fall into the end buckets."""
     v = F.col(value).cast("double")
     if lo is None or hi is None:
-        span = counts.groupBy(*keys).agg(F.min(v).alias("__lo"), F.max(v).alias("__hi"))
+        # The row total makes this read the same columns as every other use, so one shuffle serves all.
+        span = counts.groupBy(*keys).agg(F.min(v).alias("__lo"), F.max(v).alias("__hi"), F.sum("n").alias("__rows"))
+        span = span.where("__rows > 0").drop("__rows")
         counts = _null_safe_join(counts, span, keys)
         low, high = F.col("__lo"), F.col("__hi")
     else:

@@ -9,7 +9,10 @@ from hexvigil.functions.vectors import as_double, cosine, norm
 from hexvigil.operators import graph, secure, vectors
 from hexvigil.plans.registry import R, query, rounded
 
-EMPTY = F.array().cast("array<string>")
+
+
+def _none():
+    return F.array().cast("array<string>")
 
 
 def entries(spark, sf):
@@ -20,8 +23,8 @@ def entries(spark, sf):
         "technique_id",
         F.lit(None).cast("string").alias("technique_name"),
         "tactic",
-        F.when(F.col("outcome") == "detected", F.array(tool)).otherwise(EMPTY).alias("detected_by"),
-        F.when(F.col("outcome") == "missed", F.array(tool)).otherwise(EMPTY).alias("missed_by"),
+        F.when(F.col("outcome") == "detected", F.array(tool)).otherwise(_none()).alias("detected_by"),
+        F.when(F.col("outcome") == "missed", F.array(tool)).otherwise(_none()).alias("missed_by"),
     )
 
 
@@ -31,8 +34,8 @@ def iocs(spark, sf):
         "ioc_type",
         F.when(F.col("ioc_type") != "url", F.col("campaign")).alias("campaign"),
         F.when(F.col("ioc_type").isin("url", "ip"), F.concat(F.lit("Group "), "ioc_type")).alias("threat_actor"),
-        EMPTY.alias("detected_by"),
-        EMPTY.alias("missed_by"),
+        _none().alias("detected_by"),
+        _none().alias("missed_by"),
     )
 
 
