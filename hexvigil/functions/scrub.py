@@ -38,6 +38,13 @@ INFRA_STEPS = [
     (AWS_ACCOUNT, "[AWS_ACCOUNT]"),
     (CERT_SERIAL, "[CERT_SERIAL]"),
 ]
+# Text that a match of the pattern must contain; a text without it is not searched.
+NEEDED = {
+    EMAIL: ["@"],
+    URL: ["://"],
+    TITLED_NAME: ["Mr", "Ms", "Dr", "Prof"],
+    API_KEY: ["sk_", "pk_", "ak_", "AKIA", "xox", "ghp_", "glpat-"],
+}
 SCAN = {
     "email": EMAIL,
     "phone": PHONE,
@@ -53,6 +60,14 @@ SCAN = {
 }
 
 
+def _may_match(text: Column, pattern: str) -> Column | None:
+    out = None
+    for part in NEEDED.get(pattern, []):
+        hit = F.contains(text, F.lit(part))
+        out = hit if out is None else out | hit
+    return out
+
+
 def _replace(text: Column, steps: list[tuple[str, str]]) -> Column:
     for pattern, token in steps:
         text = F.regexp_replace(text, pattern, token)
@@ -97,7 +112,13 @@ def scrub(text: Column) -> Column:
 def pattern_counts(text: Column) -> dict[str, Column]:
     """Matches of each pattern in a text."""
     clean = F.coalesce(text, F.lit(""))
-    return {name: F.regexp_count(clean, F.lit(pattern)) for name, pattern in SCAN.items()}
+
+    def count(pattern: str) -> Column:
+        found = F.regexp_count(clean, F.lit(pattern))
+        possible = _may_match(clean, pattern)
+        return found if possible is None else F.when(possible, found).otherwise(0)
+
+    return {name: count(pattern) for name, pattern in SCAN.items()}
 
 
 def strip_html(html: Column) -> Column:

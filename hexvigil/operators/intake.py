@@ -55,6 +55,10 @@ INCIDENT_DATE_PATTERNS = [
     r"(?i)(?:discovered|detected|identified|occurred|began)\s+(?:[\w\s]{0,30}?)(?:on\s+)?(\w+\s+\d{1,2},?\s+\d{4})",
     r"(?i)(?:on|around|approximately)\s+(\w+\s+\d{1,2},?\s+\d{4})\s*,?\s*(?:the company|we|the registrant)",
 ]
+INCIDENT_DATE_WORDS = [
+    ["discovered", "detected", "identified", "occurred", "began"],
+    ["the company", "we", "the registrant"],
+]
 INCIDENT_ITEM_PATTERN = r"(?is)item\s+1\.05(.*?)(?:item\s+\d|signature|$)"
 
 BREACH_TYPE_TECHNIQUES = {
@@ -489,8 +493,14 @@ def filing_to_attack_map(df: DataFrame, text: str = "text", description_chars: i
             ]
         )
     )
-    dates = [_group(t, p) for p in INCIDENT_DATE_PATTERNS]
-    section = strip_html(F.regexp_extract(t, INCIDENT_ITEM_PATTERN, 1))
+    # The patterns are only tried on texts that hold the words they start with.
+    dates = [
+        F.when(F.exists(_literals(words), lambda w: F.contains(low, w)), _group(t, pattern))
+        for words, pattern in zip(INCIDENT_DATE_WORDS, INCIDENT_DATE_PATTERNS)
+    ]
+    section = F.when(
+        F.contains(low, F.lit("1.05")), strip_html(F.regexp_extract(t, INCIDENT_ITEM_PATTERN, 1))
+    ).otherwise("")
     return df.withColumns(
         {
             "techniques": F.sort_array(F.when(F.size(found) > 0, found).otherwise(_literals(["T1190"]))),

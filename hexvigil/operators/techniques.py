@@ -155,15 +155,28 @@ def stack_coverage(stacks: DataFrame, matrix: DataFrame, frequency: DataFrame) -
     """A14 per stack: techniques covered, observed gaps, share of all known techniques.
 
     Gaps come from observed techniques only, so covered + gaps can stay below the total.
+    What a tool covers travels as bit words, so a stack meets a few rows per tool.
     """
     known = matrix.select("technique_id").union(frequency.select("technique_id")).distinct()
-    total = known.agg(F.count("*")).scalar()
+    ids = known.agg(F.sort_array(F.collect_set("technique_id"))).scalar()
     observed = frequency.agg(F.count("*")).scalar()
-    seen = frequency.select("technique_id", F.lit(1).alias("__seen"))
-    covered = _covered(stacks, matrix).join(seen, "technique_id", "left")
-    per_stack = covered.groupBy("stack_id").agg(
-        F.count("*").alias("covered"), F.count("__seen").alias("covered_observed")
+    tool_words = _technique_words(matrix.where("detected > 0"), ids, ["vendor"])
+    seen = _technique_words(frequency, ids, []).select("word", F.col("bits").alias("__seen"))
+    per_stack = (
+        stacks.select("stack_id", slug("tool").alias("vendor"))
+        .join(tool_words, "vendor")
+        .groupBy("stack_id", "word")
+        .agg(F.bit_or("bits").alias("bits"))
+        .join(seen, "word", "left")
+        .groupBy("stack_id")
+        .agg(
+            F.sum(F.bit_count("bits")).alias("covered"),
+            F.sum(F.bit_count(F.col("bits").bitwiseAND(F.coalesce("__seen", F.lit(0).cast("long"))))).alias(
+                "covered_observed"
+            ),
+        )
     )
+    total = F.size(ids).cast("long")
     return (
         stacks.select("stack_id")
         .distinct()
@@ -178,6 +191,19 @@ def stack_coverage(stacks: DataFrame, matrix: DataFrame, frequency: DataFrame) -
     )
 
 
+def _technique_words(rows: DataFrame, ids: Column, by: list[str]) -> DataFrame:
+    """Sets of techniques as 63-bit words: a few rows per group instead of one per technique.
+
+    A bit is the place of the technique in the sorted dictionary ``ids``.
+    """
+    placed = rows.select(*by, (F.array_position(ids, F.col("technique_id")) - 1).alias("__at"))
+    return (
+        placed.withColumn("word", F.floor(F.col("__at") / 63))
+        .groupBy(*by, "word")
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(__at % 63 as int))")).alias("bits"))
+    )
+
+
 def _covered(stacks: DataFrame, matrix: DataFrame) -> DataFrame:
     s = stacks.select("stack_id", slug("tool").alias("vendor"))
     return s.join(matrix.where("detected > 0").select("vendor", "technique_id"), "vendor").select(

@@ -12,7 +12,7 @@ def spark(tmp_path_factory):
     from hexvigil.session import build_session
 
     session = build_session(
-        "tests", "local[8]", spark__sql__shuffle__partitions="4", spark__driver__memory="8g"
+        "tests", "local[8]", spark__sql__shuffle__partitions="2", spark__driver__memory="8g"
     )
     session.sparkContext.setLogLevel("ERROR")
     if not session.conf.get("spark.checkpoint.dir", None):
