@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from hexvigil.functions.bind import once
+
 # ---------------------------------------------------------------------------
 # Patterns, replacement tokens and kept domains.
 # ---------------------------------------------------------------------------
@@ -85,19 +87,24 @@ def scrub_domains(text: Column) -> Column:
     Matches are judged from left to right, so the pieces between them are split off
     and zipped back with the judged matches.
     """
-    pieces = F.split(text, DOMAIN, -1)
-    found = F.regexp_extract_all(text, F.lit(DOMAIN), 0)
     safe_tlds = F.array(*[F.lit(t) for t in SAFE_TLDS])
 
     def judged(match: Column) -> Column:
-        low = F.lower(match)
-        keep = low.isin(*SAFE_DOMAINS) | F.exists(safe_tlds, lambda t: F.endswith(low, t))
-        return F.when(keep, match).otherwise("[DOMAIN]")
-
-    tokens = F.transform(found, judged)
-    return F.array_join(
-        F.zip_with(pieces, tokens, lambda piece, token: F.concat(piece, F.coalesce(token, F.lit("")))), ""
-    )
+        return once(
+            F.lower(match),
+            lambda low: F.when(
+                low.isin(*SAFE_DOMAINS) | F.exists(safe_tlds, lambda t: F.endswith(low, t)), match
+            ).otherwise("[DOMAIN]"),
+        )
+
+    def rebuilt(t: Column) -> Column:
+        pieces = F.split(t, DOMAIN, -1)
+        tokens = F.transform(F.regexp_extract_all(t, F.lit(DOMAIN), 0), judged)
+        return F.array_join(
+            F.zip_with(pieces, tokens, lambda piece, token: F.concat(piece, F.coalesce(token, F.lit("")))), ""
+        )
+
+    return once(text, rebuilt)
 
 
 def scrub_infra(text: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hexvigil import dims
+from hexvigil.functions.bind import once
 from hexvigil.functions.scrub import strip_html, unescape_html
 
 # ---------------------------------------------------------------------------
@@ -227,11 +228,17 @@ def _literals(items) -> Column:
 
 def _first_match(text: Column, groups: dict[str, list[str]], default: str) -> Column:
     """Name of the first group with a keyword in the text."""
-    out = None
-    for name, words in groups.items():
-        hit = F.exists(_literals(words), lambda w: F.contains(text, w))
-        out = F.when(hit, name) if out is None else out.when(hit, name)
-    return out.otherwise(default)
+
+    def choose(low: Column) -> Column:
+        out = None
+        for name, words in groups.items():
+            hit = F.lit(False)
+            for w in words:
+                hit = hit | F.contains(low, F.lit(w))
+            out = F.when(hit, name) if out is None else out.when(hit, name)
+        return out.otherwise(default)
+
+    return once(text, choose)
 
 
 def bucket_industry(raw: Column) -> Column:
@@ -480,7 +487,8 @@ def filing_to_attack_map(df: DataFrame, text: str = "text", description_chars: i
     The whole filing is searched.  Without a technique keyword the filing counts as T1190.
     """
     t = F.col(text)
-    low = F.lower(t)
+    df = df.withColumn("__low", F.lower(t))
+    low = F.col("__low")
     pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(i).alias("t")) for k, i in TECHNIQUE_KEYWORDS])
     found = F.array_distinct(
         F.transform(F.filter(pairs, lambda p: F.contains(low, p.getField("k"))), lambda p: p.getField("t"))
@@ -509,7 +517,7 @@ def filing_to_attack_map(df: DataFrame, text: str = "text", description_chars: i
             "incident_description": section if description_chars is None else F.substring(section, 1, description_chars),
             "severity": F.lit("high"),
         }
-    ).drop(text)
+    ).drop(text, "__low")
 
 
 def _lookup_lists(key: Column, table: dict[str, list[str]]) -> Column:
@@ -547,9 +555,9 @@ def subprocessor_evals(
     pages: DataFrame, company: str, html: str = "html", vendors: list[str] | None = None
 ) -> DataFrame:
     """IN19: one verified-usage evaluation per vendor named anywhere on a page."""
-    clean = F.lower(strip_html(F.col(html)))
-    named = F.filter(_literals(vendors or SUBPROCESSORS), lambda v: F.contains(clean, v))
-    return pages.select(F.col(company).alias("company"), F.explode(named).alias("__v")).select(
+    read = pages.select(F.col(company).alias("company"), F.lower(strip_html(F.col(html))).alias("__clean"))
+    named = F.filter(_literals(vendors or SUBPROCESSORS), lambda v: F.contains(F.col("__clean"), v))
+    return read.select("company", F.explode(named).alias("__v")).select(
         "company",
         F.initcap("__v").alias("vendor"),
         F.lit("verified_usage").alias("category"),
@@ -588,9 +596,10 @@ def catalogue_risk(vulnerabilities: DataFrame, keywords: list[tuple[str, str]],
     usable = [(k, v) for k, v in keywords if k not in excluded]
     pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in usable])
     combined = F.concat_ws(" ", F.lower(F.coalesce("vendor_project", F.lit(""))), F.lower(F.coalesce("product", F.lit(""))))
-    hits = F.filter(pairs, lambda p: F.contains(combined, p.getField("k")))
+    hits = F.filter(pairs, lambda p: F.contains(F.col("__both"), p.getField("k")))
     matched = (
-        vulnerabilities.withColumn("vendor_id", F.try_element_at(hits, F.lit(1)).getField("v"))
+        vulnerabilities.withColumn("__both", combined)
+        .withColumn("vendor_id", F.try_element_at(hits, F.lit(1)).getField("v"))
         .where(F.col("vendor_id").isNotNull())
         .select("vendor_id", "cve_id", "ransomware", "date_added")
     )

@@ -134,23 +134,36 @@ def campaign_clusters(spark, sf):
     return graph.campaign_clusters(embedded(spark, sf), 5)
 
 
+CLUSTER_SQL = f"""WITH {GRAPH_SQL}, en AS (SELECT DISTINCT * FROM (SELECT concat('technique:', technique_id) AS id, 'technique' AS t, technique_id AS label FROM e UNION ALL SELECT concat('actor:', actor), 'threat_actor', actor_name FROM e
+  UNION ALL SELECT concat('tool:', tool), 'tool', tool FROM e WHERE outcome IS NOT NULL)),
+ c AS (SELECT *, CAST(CAST(concat('0x', substr(sha256(id), 1, 8)) AS BIGINT) % 5 AS INTEGER) AS cluster_id FROM en)"""
+
+
+def hashed_clusters(spark, sf):
+    """Nodes of the attack graph, and clusters by hash of the node, so that both engines group alike."""
+    nodes = graph.merge_nodes(graph.attack_map_graph(entries(spark, sf))[0])
+    number = F.conv(F.substring(F.sha2("node_id", 256), 1, 8), 16, 10).cast("long")
+    return nodes.select(F.col("node_id").alias("id"), (number % 5).cast("int").alias("cluster_id")), nodes
+
+
 @query(
     "g07_campaign_summary",
-    f"""WITH {GRAPH_SQL}, en AS (SELECT DISTINCT * FROM (SELECT concat('technique:', technique_id) AS id, 'technique' AS t, technique_id AS label FROM e UNION ALL SELECT concat('actor:', actor), 'threat_actor', actor_name FROM e
-  UNION ALL SELECT concat('tool:', tool), 'tool', tool FROM e WHERE outcome IS NOT NULL)),
- c AS (SELECT *, CAST(CAST(concat('0x', substr(sha256(id), 1, 8)) AS BIGINT) % 5 AS INTEGER) AS cluster_id FROM en)
- SELECT cluster_id, count(*) AS node_count, coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (t = 'technique'), '') AS techniques, coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (t = 'tool'), '') AS tools,
- coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (t = 'threat_actor'), '') AS actors, '' AS ioc_types, '' AS campaigns FROM c GROUP BY 1""",
+    CLUSTER_SQL + """ SELECT cluster_id, count(*) AS node_count, coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (t = 'technique'), '') AS techniques, coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (t = 'tool'), '') AS tools,
+ '' AS ioc_types, count(DISTINCT label) FILTER (t = 'threat_actor') AS actors, 0 AS campaigns FROM c GROUP BY 1""",
     ("technique_obs", "bundle_ioc"),
 )
 def campaign_summary(spark, sf):
-    """Clusters by hash of the node, so that both engines group alike."""
-    nodes = graph.merge_nodes(graph.attack_map_graph(entries(spark, sf))[0])
-    number = F.conv(F.substring(F.sha2("node_id", 256), 1, 8), 16, 10).cast("long")
-    clusters = nodes.select(F.col("node_id").alias("id"), (number % 5).cast("int").alias("cluster_id"))
-    out = graph.campaign_summary(clusters, nodes)
-    lists = ["techniques", "ioc_types", "tools", "actors", "campaigns"]
-    return out.withColumns({c: F.array_join(c, ",") for c in lists})
+    out = graph.campaign_summary(*hashed_clusters(spark, sf))
+    return out.withColumns({c: F.array_join(c, ",") for c in ("techniques", "ioc_types", "tools")})
+
+
+@query(
+    "g07_campaign_members",
+    CLUSTER_SQL + " SELECT DISTINCT cluster_id, t AS node_type, label AS name FROM c",
+    ("technique_obs", "bundle_ioc"),
+)
+def campaign_members(spark, sf):
+    return graph.campaign_members(*hashed_clusters(spark, sf))
 
 
 @query(

@@ -313,8 +313,9 @@ def other_delimited(spark, sf):
 
 
 def _documents(rows, group, item, wrap):
-    """JSON documents with a list of items each, as an API page would hold them."""
-    return rows.groupBy(group.alias("g")).agg(F.collect_list(item).alias("x")).select(F.to_json(wrap(F.col("x"))).alias("value"))
+    """JSON documents as API pages: the items of one group and at most a hundred keys each."""
+    page = F.floor(F.col("p_partkey") / 100)
+    return rows.groupBy(group.alias("g"), page.alias("page")).agg(F.collect_list(item).alias("x")).select(F.to_json(wrap(F.col("x"))).alias("value"))
 
 
 @query(
@@ -417,7 +418,8 @@ def advisories(spark, sf):
         F.lit("<item rdf:about='x'>\n<title>"), title, F.lit("</title>\n<link> "), link, F.lit(" </link><description>"), body,
         F.lit("</description></item>"),
     )
-    docs = p.groupBy("p_brand").agg(F.concat_ws("\n", F.collect_list(item)).alias("value")).select("value")
+    page = F.floor(k / 100)
+    docs = p.groupBy(page.alias("page")).agg(F.concat_ws("\n", F.collect_list(item)).alias("value")).select("value")
     return feeds.advisories(docs)
 
 
@@ -533,7 +535,8 @@ def layer_documents(spark, sf):
         F.concat(F.lit("T"), (1000 + F.col("o_orderkey") % 200).cast("string"), F.when(F.col("o_orderkey") % 3 == 0, ".002").otherwise("")).alias("techniqueID"),
         F.when(F.col("o_orderkey") % 4 != 0, F.floor(F.col("o_totalprice") / 5000).cast("double")).alias("score"),
     )
-    return o.groupBy("o_custkey").agg(F.collect_list(entry).alias("techniques")).select(
+    part = F.floor(F.col("o_orderkey") / 1000)
+    return o.groupBy("o_custkey", part.alias("part")).agg(F.collect_list(entry).alias("techniques")).select(
         F.to_json(F.struct(F.col("o_custkey").cast("string").alias("name"), "techniques")).alias("value")
     )
 
