@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hexvigil import dims
-from hexvigil.functions.hashing import indicator_hash
+from hexvigil.functions.hashing import indicator_hash, indicator_hmac
 from hexvigil.functions.noise import laplace, randomized_response, uniform
 from hexvigil.functions.prefix import running_total
-from hexvigil.functions.scrub import scrub_infra, scrub_pii
+from hexvigil.functions.scrub import scrub, scrub_infra, scrub_pii
 
 
 def noise_records(evals: DataFrame, epsilon: float, key: list[str], secret: str, digits: int | None = 1) -> DataFrame:
@@ -113,3 +113,53 @@ def apply_level(df: DataFrame, level: str, key: list[str], secret: str) -> DataF
     if policy["strip_timing"]:
         df = df.drop(*TIMING_FIELDS)
     return df.withColumns({"privacy_level": F.lit(level), "min_k": F.lit(policy["min_k"])})
+
+
+def anonymize_evals(evals: DataFrame, epsilon: float | None = None, key: list[str] | None = None, secret: str = "") -> DataFrame:
+    """Scrubbed text fields, optionally noised numbers."""
+    present = [c for c in TEXT_FIELDS if c in evals.columns]
+    clean = evals.withColumns({c: scrub(F.col(c)) for c in present})
+    return clean if epsilon is None else noise_records(clean, epsilon, key or [], secret)
+
+
+def anonymize_attack_maps(maps: DataFrame, epsilon: float | None = None, secret: str = "") -> DataFrame:
+    """Scrubbed notes of the map and of its nested techniques, optionally flipped outcomes.
+
+    Flipping works on the nested lists in place: a tool listed on both sides counts as
+    having detected, and the budget is split by the number of techniques.
+    """
+
+    def flipped(t: Column, detected: bool) -> Column:
+        tools = F.array_union(t.getField("detected_by"), t.getField("missed_by"))
+        eps = F.lit(float(epsilon)) / F.greatest(F.size("techniques"), F.lit(1))
+
+        def reported(tool: Column) -> Column:
+            u = uniform(secret, F.col("contribution_id").cast("string"), t.getField("technique_id"), tool)
+            return randomized_response(F.array_contains(t.getField("detected_by"), tool), eps, u)
+
+        return F.filter(tools, lambda tool: reported(tool) if detected else ~reported(tool))
+
+    def clean(t: Column) -> Column:
+        out = t.withField("notes", scrub(t.getField("notes")))
+        if epsilon is not None:
+            out = out.withField("detected_by", flipped(t, True)).withField("missed_by", flipped(t, False))
+        return out
+
+    cols = {"techniques": F.transform("techniques", clean)}
+    if "notes" in maps.columns:
+        cols["notes"] = scrub(F.col("notes"))
+    return maps.withColumns(cols)
+
+
+def anonymize_bundles(bundles: DataFrame, key: bytes | None = None) -> DataFrame:
+    """Indicators by hash only (keyed with ``key``), scrubbed notes; raw values are dropped."""
+
+    def hashed(i: Column) -> Column:
+        raw = i.getField("value_raw")
+        fresh = indicator_hash(raw) if key is None else indicator_hmac(key, raw)
+        return i.withField("value_hash", F.coalesce(i.getField("value_hash"), fresh)).dropFields("value_raw")
+
+    cols = {"iocs": F.transform("iocs", hashed)}
+    if "notes" in bundles.columns:
+        cols["notes"] = scrub(F.col("notes"))
+    return bundles.withColumns(cols)

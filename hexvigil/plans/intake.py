@@ -362,8 +362,8 @@ def breach_to_attack_map(spark, sf):
 
 @query(
     "in17_court_cases",
-    "SELECT conv_id, 'T1078,T1048' AS techniques, 'high' AS severity FROM conversations WHERE turn = 0",
+    "SELECT DISTINCT conv_id, 'T1078,T1048' AS techniques, 'high' AS severity FROM conversations",
 )
 def court_cases(spark, sf):
-    cases = bridge.table(spark, sf, "conversations").where("turn = 0").select("conv_id")
+    cases = bridge.table(spark, sf, "conversations").select("conv_id").distinct()
     return intake.court_case_to_attack_map(cases).withColumn("techniques", F.array_join("techniques", ","))

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from hexvigil import bridge, dims
 from hexvigil.functions.noise import gaussian, laplace, randomized_response, response_rate, uniform
+from hexvigil.functions.sql import register
 from hexvigil.operators import privacy
 from hexvigil.plans.registry import R, query, rounded
+from hexvigil.plans.text import CLEAN_SQL, NOTES, with_sentence
 
 SECRET = "noise-demo-secret"
 
@@ -162,3 +164,64 @@ def research_privacy(spark, sf):
     )
     out = privacy.apply_level(conv, "research", ["conv_id", "turn"], SECRET)
     return out.withColumn("notes_chars", F.length("notes").cast("long")).drop("notes")
+
+
+@query("t06_anonymize_evals", f"SELECT doc_id, clean AS notes FROM ({CLEAN_SQL})")
+def anonymize_evals(spark, sf):
+    docs = with_sentence(spark, sf, NOTES).withColumnRenamed("text", "notes")
+    return privacy.anonymize_evals(docs)
+
+
+@query(
+    "t06_anonymize_bundles",
+    "SELECT sha256(concat('host', CAST(l_partkey AS VARCHAR))) AS value_hash, count(*) AS n FROM lineitem GROUP BY 1",
+)
+def anonymize_bundles(spark, sf):
+    raw = F.concat(F.lit(" Host"), F.col("l_partkey").cast("string"))
+    entry = F.struct(raw.alias("value_raw"), F.lit(None).cast("string").alias("value_hash"))
+    bundles = bridge.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(entry).alias("iocs"))
+    flat = privacy.anonymize_bundles(bundles).select(F.explode("iocs").alias("i")).select("i.*")
+    return flat.groupBy("value_hash").agg(F.count("*").alias("n"))
+
+
+@query(
+    "t06_anonymize_attack_maps",
+    f"""SELECT technique_id, o.tool, CASE WHEN {u_sql('CAST(contribution_id AS VARCHAR)', 'technique_id', 'o.tool')} < exp(3.0 / k) / (1 + exp(3.0 / k)) THEN outcome = 'detected' ELSE outcome <> 'detected' END AS detected, 'mail [EMAIL]' AS notes, count(*) AS n
+ FROM technique_obs o JOIN (SELECT contribution_id AS c, count(*) AS k FROM technique_obs GROUP BY 1) x ON x.c = contribution_id WHERE outcome IS NOT NULL GROUP BY ALL""",
+    ("technique_obs",),
+)
+def anonymize_attack_maps(spark, sf):
+    obs = bridge.technique_obs(spark, sf, "contribution_id", "technique_id", "tool", "outcome")
+    none = F.array().cast("array<string>")
+    entry = F.struct(
+        "technique_id",
+        F.when(F.col("outcome") == "detected", F.array("tool")).otherwise(none).alias("detected_by"),
+        F.when(F.col("outcome") == "missed", F.array("tool")).otherwise(none).alias("missed_by"),
+        F.concat(F.lit("mail u"), F.col("contribution_id").cast("string"), F.lit("@example.org")).alias("notes"),
+    )
+    maps = obs.groupBy("contribution_id").agg(F.collect_list(entry).alias("techniques"))
+    out = privacy.anonymize_attack_maps(maps, 3.0, SECRET).select(F.explode("techniques").alias("t")).select("t.*")
+    both = F.concat(
+        F.transform("detected_by", lambda v: F.struct(v.alias("tool"), F.lit(True).alias("detected"))),
+        F.transform("missed_by", lambda v: F.struct(v.alias("tool"), F.lit(False).alias("detected"))),
+    )
+    flat = out.select("technique_id", "notes", F.explode(both).alias("x")).select("technique_id", "x.tool", "x.detected", "notes")
+    return flat.groupBy("technique_id", "tool", "detected", "notes").agg(F.count("*").alias("n"))
+
+
+@query(
+    "u01_sql_functions",
+    f"""SELECT vec_id, {R('list_cosine_similarity(embedding::DOUBLE[], list_reverse(embedding::DOUBLE[]))')} AS turned, {R('greatest(0.05, least(0.95, 1 / (1 + exp(-8 * (0.1 * (label / 10.0) - 0.4)))))')} AS weight,
+ sha256(CAST(vec_id AS VARCHAR)) AS hashed FROM embeddings""",
+)
+def sql_functions(spark, sf):
+    """The registered functions called from Spark SQL."""
+    register(spark)
+    return spark.sql(
+        """SELECT vec_id, round(cosine(e, reverse(e)) + 1e-9, 6) AS turned,
+        round(credibility_weight(label / 10D, 0D, 0D, 0D, 0D, 0D) + 1e-9, 6) AS weight,
+        indicator_hash(concat(' ', vec_id)) AS hashed FROM {vectors}""",
+        vectors=bridge.table(spark, sf, "embeddings").select(
+            "vec_id", "label", F.col("embedding").cast("array<double>").alias("e")
+        ),
+    )

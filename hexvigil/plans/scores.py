@@ -284,7 +284,7 @@ def compare_vendors(spark, sf):
    WHEN contains(lower(known_issues), 'ban') THEN 25 ELSE 60 END AS risk_score FROM registry LEFT JOIN cov ON v = vendor_id),
  so AS (SELECT *, CAST(least(100, floor(technique_coverage * 2 + compliance_score * 0.3 + insurance_score * 0.2 + risk_score * 0.2 + 1e-9)) AS INTEGER) AS overall FROM sc),
  req AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS request_id, s_name AS vendor_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey
-  WHERE l_quantity >= 48 UNION ALL SELECT DISTINCT CAST(o_custkey AS VARCHAR), 'Unlisted tool' FROM orders WHERE o_totalprice > 490000),
+  UNION ALL SELECT DISTINCT CAST(o_custkey AS VARCHAR), 'Unlisted tool' FROM orders),
  j AS (SELECT request_id, req.vendor_id, so.vendor_id IS NOT NULL AS found, display_name, technique_coverage, compliance_score, insurance_score, risk_score, overall, typical_deploy_days
   FROM req LEFT JOIN so ON so.vendor_id = req.vendor_id),
  w AS (SELECT *, row_number() OVER o AS rn, lead(vendor_id) OVER o AS nv, lead(found) OVER o AS nf, lead(risk_score) OVER o AS nr, lead(typical_deploy_days) OVER o AS nd
@@ -296,7 +296,7 @@ def compare_vendors(spark, sf):
 )
 def rfp_comparison(spark, sf):
     o = bridge.table(spark, sf, "orders")
-    l = bridge.table(spark, sf, "lineitem").where("l_quantity >= 48")
+    l = bridge.table(spark, sf, "lineitem")
     s = bridge.table(spark, sf, "supplier")
     named = (
         l.join(o, l.l_orderkey == o.o_orderkey)
@@ -305,8 +305,7 @@ def rfp_comparison(spark, sf):
         .distinct()
     )
     unknown = (
-        o.where("o_totalprice > 490000")
-        .select(F.col("o_custkey").cast("string").alias("request_id"), F.lit("Unlisted tool").alias("vendor_id"))
+        o.select(F.col("o_custkey").cast("string").alias("request_id"), F.lit("Unlisted tool").alias("vendor_id"))
         .distinct()
     )
     return scores.rfp_comparison(
