@@ -7,6 +7,8 @@ import hashlib
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from hexvigil.functions.bind import once
+
 BLOCK = 64
 
 
@@ -36,14 +38,20 @@ def hmac_sha256(key: bytes, message: Column) -> Column:
 
 def hmac_column_key(key_hex: Column, message: Column) -> Column:
     """HMAC-SHA256 under a per-row key of 32 bytes given in hex (session keys, chain links)."""
-    bits = F.transform(F.sequence(F.lit(1), F.lit(63), F.lit(2)), lambda i: F.conv(F.substr(key_hex, i, F.lit(2)), 16, 10))
+    octets = F.transform(
+        F.sequence(F.lit(1), F.lit(63), F.lit(2)),
+        lambda i: F.conv(F.substr(key_hex, i, F.lit(2)), 16, 10).cast("long"),
+    )
 
-    def pad(value: int) -> Column:
-        mixed = F.transform(bits, lambda b: F.lpad(F.hex(b.cast("long").bitwiseXOR(F.lit(value).cast("long"))), 2, "0"))
+    def pad(key: Column, value: int) -> Column:
+        mixed = F.transform(key, lambda b: F.lpad(F.hex(b.bitwiseXOR(F.lit(value).cast("long"))), 2, "0"))
         return F.unhex(F.concat(F.array_join(mixed, ""), F.lit(f"{value:02x}" * 32)))
 
-    first = F.sha2(F.concat(pad(0x36), F.encode(message, "UTF-8")), 256)
-    return F.sha2(F.concat(pad(0x5C), F.unhex(first)), 256)
+    def digest(key: Column) -> Column:
+        first = F.sha2(F.concat(pad(key, 0x36), F.encode(message, "UTF-8")), 256)
+        return F.sha2(F.concat(pad(key, 0x5C), F.unhex(first)), 256)
+
+    return once(octets, digest)
 
 
 def indicator_hmac(key: bytes, col: Column | str) -> Column:

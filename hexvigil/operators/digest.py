@@ -7,6 +7,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hexvigil.functions.bind import once
 from hexvigil.functions.hashing import hmac_column_key, hmac_sha256, row_hash
 from hexvigil.functions.prefix import positions
 
@@ -252,25 +253,38 @@ def chain_lineage(records: DataFrame, secret: bytes) -> DataFrame:
     def link(acc: Column, stage: Column) -> Column:
         return F.concat(acc, F.array(hmac_column_key(F.element_at(acc, -1), F.to_json(stage))))
 
-    return records.withColumn("links", F.aggregate("stages", start, link))
+    return records.withColumn("links", once(F.col("stages"), lambda stages: F.aggregate(stages, start, link)))
 
 
 def verify_lineage(records: DataFrame) -> DataFrame:
     """H6: every link follows from the one before, and each stage takes in what the last gave out."""
-    n = F.size("stages")
-    steps = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    derived = F.forall(
-        steps,
-        lambda i: hmac_column_key(F.get("links", i), F.to_json(F.get("stages", i))) == F.get("links", i + 1),
-    )
-    inner = F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
-    continuous = F.forall(
-        inner, lambda i: F.get("stages", i).getField("input_hash") == F.get("stages", i - 1).getField("output_hash")
-    )
-    complete = F.size("links") == n + 1
-    return records.withColumns(
-        {"chain_intact": derived & complete, "continuous": continuous, "valid": derived & complete & continuous}
-    )
+
+    def check(r: Column) -> Column:
+        stages, links = r.getField("stages"), r.getField("links")
+        n = F.size(stages)
+        nothing = F.array().cast("array<int>")
+        steps = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(nothing)
+        derived = F.forall(
+            steps, lambda i: hmac_column_key(F.get(links, i), F.to_json(F.get(stages, i))) == F.get(links, i + 1)
+        )
+        inner = F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(nothing)
+        continuous = F.forall(
+            inner,
+            lambda i: F.get(stages, i).getField("input_hash") == F.get(stages, i - 1).getField("output_hash"),
+        )
+        return F.struct(
+            (derived & (F.size(links) == n + 1)).alias("chain_intact"), continuous.alias("continuous")
+        )
+
+    # One lambda over both lists: a filter on the outcome must not evaluate them again for every step.
+    checked = records.withColumn("__c", once(F.struct("stages", "links"), check))
+    return checked.withColumns(
+        {
+            "chain_intact": F.col("__c.chain_intact"),
+            "continuous": F.col("__c.continuous"),
+            "valid": F.col("__c.chain_intact") & F.col("__c.continuous"),
+        }
+    ).drop("__c")
 
 
 def stage_evidence(before: DataFrame, after: DataFrame, key: list[str], text: list[str], numeric: list[str]) -> DataFrame:
