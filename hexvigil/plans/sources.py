@@ -171,7 +171,7 @@ def stix_documents(spark, sf):
         F.struct(F.lit("other").alias("source_name"), F.lit("x").alias("external_id")),
         F.struct(F.lit("mitre-attack").alias("source_name"), number.alias("external_id")),
     )
-    no_ref = ref.getItem(F.lit(0))
+    no_ref = F.get(ref, F.lit(0))
     phase = F.array(F.struct(F.lit("mitre-attack").alias("kill_chain_name"), F.lit("impact").alias("phase_name")))
     technique = obj("attack-pattern", F.lit("p"), number, none, ref, phase)
     indicator = obj(
