@@ -4,16 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from hexvigil.llm import mixing
 from hexvigil.llm.common import table
 from hexvigil.llm.minhash import near_duplicates
+from hexvigil.llm.packing import best_fit
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
+    return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), shingle=4)
 
 
-QUERIES = {"op8_minhash": op8_minhash}
-ORACLES: dict[str, str] = {}
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+QUERIES = {"op2_mixing": op2_mixing, "op8_minhash": op8_minhash, "op10_packing": op10_packing}
+ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE}
 
 
 def queries():
