@@ -8,6 +8,7 @@ from functools import reduce
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from hexvigil.session import cut_lineage
 
@@ -20,6 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def with_fields(schema: StructType, ddl: str) -> StructType:
+    """The fields of ``schema``, then those of ``ddl``."""
+    return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
+
+
 def held_out(doc_id: Column | str) -> Column:
     """Rows that no model may learn from: crc32 of the id as text divides by 5.  A null id counts as empty text."""
     doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id

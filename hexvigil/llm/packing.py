@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from hexvigil.llm.common import passes
+from hexvigil.llm.common import passes, with_fields
 from hexvigil.session import cut_lineage
 
 LIMIT = 2048
@@ -206,7 +206,7 @@ def pack_pieces(pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
         .join(tallies.select("length", "_group", before.alias("_before")), ["length", "_group"])
         .select(*columns, (F.col("_before") + F.col("_in")).alias("_nth"))
     )
-    schema = numbered.drop("_nth").schema.add("sequence_id", "long").add("offset", "long")
+    schema = with_fields(numbered.drop("_nth").schema, "sequence_id long, offset long")
     return numbered.mapInPandas(_placer(counts), schema)
 
 

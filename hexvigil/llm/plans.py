@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from hexvigil.llm import mixing
 from hexvigil.llm.common import table
+from hexvigil.llm.langid import learn_and_identify
 from hexvigil.llm.minhash import near_duplicates
 from hexvigil.llm.packing import best_fit
+from hexvigil.llm.secrets import scan_secrets
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +17,16 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    return learn_and_identify(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return scan_secrets(docs).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), shingle=4)
 
@@ -23,7 +35,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {"op2_mixing": op2_mixing, "op8_minhash": op8_minhash, "op10_packing": op10_packing}
+QUERIES = {
+    "op2_mixing": op2_mixing,
+    "op3_language": op3_language,
+    "op7_secrets": op7_secrets,
+    "op8_minhash": op8_minhash,
+    "op10_packing": op10_packing,
+}
 ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE}
 
 
