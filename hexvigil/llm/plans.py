@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from hexvigil.llm import mixing
+from hexvigil.llm.ann import nearest
 from hexvigil.llm.common import table
 from hexvigil.llm.langid import learn_and_identify
 from hexvigil.llm.minhash import near_duplicates
 from hexvigil.llm.packing import best_fit
 from hexvigil.llm.secrets import scan_secrets
+from hexvigil.llm.vector_dedup import link_vectors
+
+
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +28,10 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learn_and_identify(docs).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_vectors(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return scan_secrets(docs).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
@@ -36,8 +46,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_nearest": op1_nearest,
     "op2_mixing": op2_mixing,
     "op3_language": op3_language,
+    "op5_vector_dedup": op5_vector_dedup,
     "op7_secrets": op7_secrets,
     "op8_minhash": op8_minhash,
     "op10_packing": op10_packing,
