@@ -9,30 +9,35 @@ is the k smallest of two sketches.  Steps, all on DataFrames:
    Two sketches with at least c common values share one among the rarest ``size - c + 1`` of either, so each class
    enters only those lists, rarest first; a class with fewer than c shared values enters none.  c is exact for sets
    that fit their sketch and lies six standard deviations below the expected overlap for larger ones.
-3. Members of a list are first compared with a member or two (a star), since a group of copies joins up that way
-   without meeting in pairs.  When the lists' remaining cross-component pairs are few, they are all compared.
-4. A pair passes the union-sketch estimate, then the exact comparison on full sets, and becomes an edge.
+3. The members of a list are compared by the union-sketch estimate, again with six deviations of room.  What is
+   similar there forms candidate components.  Long lists are cut into chunks at random; a list whose members are not
+   all in one component after that has its chunks compared pairwise too.
+4. Within a candidate component full sets are compared, exactly and block by block: a matrix of documents and the
+   shingles that several of them have, times its transpose, holds all intersections.
 
-Nothing is capped: what the stars leave is compared pair by pair, only within one component is a pair left out.
+Only spanning edges leave a task, never all pairs of a group, and nothing is capped.
 """
 
 from __future__ import annotations
 
-from math import floor, sqrt
+from math import ceil, floor, sqrt
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from hexvigil.llm.common import components, mix, shingle_sets
+from hexvigil.llm.vectors import local_roots
 from hexvigil.session import cut_lineage
 
 SKETCH = 64
-#: Further star rounds are worth it while this many pairs for each list entry would remain.
-PAIRS_AN_ENTRY = 4
-STARS = 6
+#: Entries of a list that one task compares; entries of short lists that share a task.
+CHUNK, BUNDLE = 512, 4096
+#: Shingles of a component that one task compares with as many others, and of small components that share a task.
+BLOCK = 400_000
+NONE = np.iinfo(np.int32).max
 
 
 def _sketcher(shingle: int, k: int):
@@ -48,58 +53,105 @@ def _sketcher(shingle: int, k: int):
     return run
 
 
+def _packed(batches):
+    for batch in batches:
+        yield batch.assign(sketch=[np.asarray(s, np.int32).tobytes() for s in batch["sketch"]])
+
+
 def _setter(shingle: int):
     def run(batches):
         for batch in batches:
-            texts = batch["text"].fillna("").tolist()
-            ids = batch["doc_id"].tolist()
+            texts, rest = batch["text"].fillna("").tolist(), batch.drop(columns="text")
             for at in range(0, len(texts), 1000):
                 sets = [s.tobytes() for s in shingle_sets(texts[at : at + 1000], shingle)]
-                yield pd.DataFrame({"doc_id": ids[at : at + 1000], "full": sets})
+                yield rest.iloc[at : at + 1000].assign(full=sets)
 
     return run
 
 
-def _verify(percent: int):
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch["x"], batch["y"], strict=True):
-                x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield batch.loc[keep, ["a", "b"]]
+def estimates(one: np.ndarray, many: np.ndarray, k: int) -> np.ndarray:
+    """Jaccard estimates of a sketch with each of many, from the k smallest of the union; NONE fills short sketches."""
+    both = np.sort(np.concatenate([np.broadcast_to(one, many.shape), many], axis=1), axis=1)
+    again = np.zeros(both.shape, bool)
+    again[:, 1:] = both[:, 1:] == both[:, :-1]
+    there = (both != NONE) & (np.cumsum(~again, axis=1) <= k)
+    return (again & there).sum(1) / np.maximum((~again & there).sum(1), 1)
+
+
+def _lister(percent: int, k: int):
+    least = percent / 100 - 6 * sqrt(percent / 100 * (1 - percent / 100) / k)
+
+    def spanning(sketches: np.ndarray, root: np.ndarray) -> np.ndarray:
+        """Joins the roots of members whose sketches are similar; pairs that are joined already are passed over."""
+        for i in range(len(root) - 1):
+            other = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
+            if len(other):
+                near = other[estimates(sketches[i], sketches[other], k) >= least]
+                joined = np.unique(np.append(root[near], root[i]))
+                if len(joined) > 1:
+                    root[np.isin(root, joined)] = joined[0]
+        return root
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["value", "doc"])
+        docs, values = rows["doc"].to_numpy(), rows["value"].to_numpy()
+        sketches = np.full((len(docs), k), NONE, np.int32)
+        for i, s in enumerate(rows["sketch"]):
+            own = np.frombuffer(s, np.int32)
+            sketches[i, : len(own)] = own
+        known = rows["root"].to_numpy()
+        out = []
+        cut = np.r_[0, np.flatnonzero(values[1:] != values[:-1]) + 1, len(values)]
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            if b - a > 1:
+                first = np.unique(known[a:b], return_index=True)[1][np.unique(known[a:b], return_inverse=True)[1]]
+                root = spanning(sketches[a:b], first.copy())
+                more = np.flatnonzero(root != first)
+                out.append(pd.DataFrame({"a": docs[a:b][more], "b": docs[a:b][root[more]]}))
+        return pd.concat(out).drop_duplicates() if out else pd.DataFrame({"a": [], "b": []}).astype("int64")
 
     return run
 
 
-def _links(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar; a union-sketch estimate six deviations below goes first."""
-    t = percent / 100
-    least = t - 6 * sqrt(t * (1 - t) / k)
-    near = (
-        pairs.join(sketches.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
-        .join(sketches.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
-        .filter((100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na")))
-        .withColumn("union", F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k))
-        .withColumn("common", F.array_intersect("sa", "sb"))
-        .filter(F.size(F.array_intersect("union", "common")) >= least * F.size("union"))
-        .select("a", "b")
-    )
-    return (
-        near.join(sets.select(F.col("doc_id").alias("a"), F.col("full").alias("x")), "a")
-        .join(sets.select(F.col("doc_id").alias("b"), F.col("full").alias("y")), "b")
-        .select("a", "b", "x", "y")
-        .mapInPandas(_verify(percent), "a long, b long")
-    )
+def similar_sets(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which pairs of sets (sorted distinct hashes) have 100 * intersection >= percent * union."""
+    sizes = np.array([len(s) for s in sets])
+    values = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    column, counts = np.unique(values, return_inverse=True, return_counts=True)[1:]
+    several = counts > 1
+    number = np.cumsum(several) - 1
+    owner, column = owner[several[column]], number[column[several[column]]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    common, width = np.zeros((len(sets), len(sets)), np.float64), 4096
+    for lo in range(0, int(several.sum()), width):
+        a, b = np.searchsorted(column, [lo, lo + width])
+        there = np.zeros((len(sets), width), np.float32)
+        there[owner[a:b], column[a:b] - lo] = 1
+        common += there @ there.T
+    np.fill_diagonal(common, sizes)
+    return (100 * common >= percent * (sizes[:, None] + sizes - common)) & (sizes > 0)
+
+
+def _verifier(percent: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, group in rows.groupby("root"):
+            ids = group["doc"].to_numpy()
+            root = local_roots(similar_sets([np.frombuffer(s, np.int64) for s in group["full"]], percent))
+            more = np.flatnonzero(root != np.arange(len(root)))
+            out.append(pd.DataFrame({"a": ids[more], "b": ids[root[more]]}))
+        return pd.concat(out)
+
+    return run
 
 
-def _rooted(entries: DataFrame, edges: DataFrame | None) -> DataFrame:
-    """(value, doc, root) with a class's current component; one of its own if it has no link yet."""
-    if edges is None:
-        return entries.withColumn("root", F.col("doc"))
-    found = components(edges).withColumnRenamed("node", "doc")
-    return entries.join(found, "doc", "left").select("value", "doc", F.coalesce("root", "doc").alias("root"))
+def _pairs_of(blocks: Column, own: Column) -> Column:
+    """The pairs of different blocks (i < j) that a row of block ``own`` belongs to; of a single block, itself."""
+    others = F.filter(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda x: x != own)
+    pairs = F.transform(others, lambda x: F.struct(F.least(x, own).alias("i"), F.greatest(x, own).alias("j")))
+    return F.when(blocks > 1, pairs).otherwise(F.array(F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"))))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int = SKETCH) -> DataFrame:
@@ -130,58 +182,58 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
     values = sketches.select("doc", need.alias("need"), F.explode("sketch").alias("value"))
     shared = values.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
     of_doc = W.partitionBy("doc", "need")
-    entries = cut_lineage(
+    entries = (
         values.join(shared, "value")
         .withColumn("mine", F.count("*").over(of_doc))
         .withColumn("nth", F.row_number().over(of_doc.orderBy("df", "value")))
         .filter(F.col("nth") <= F.col("mine") - F.col("need") + 1)
         .select("value", "doc")
     )
-    wanted = entries.select(F.col("doc").alias("doc_id")).distinct()
-    sketches = sketches.join(wanted.select(F.col("doc_id").alias("doc")), "doc", "left_semi")
-    sets = cut_lineage(docs.join(wanted, "doc_id", "left_semi").mapInPandas(_setter(shingle), "doc_id long, full binary"))
-    total = entries.count()
-
-    edges, rooted = None, entries.withColumn("root", F.col("doc"))
-    for star in range(STARS):
-        if star:
-            rooted = cut_lineage(_rooted(entries, edges))
-            per_root = rooted.groupBy("value", "root").agg(F.count("*").alias("n"))
-            left = per_root.groupBy("value").agg((F.sum("n") * (F.sum("n") - F.max("n"))).alias("pairs"))
-            if (left.agg(F.sum("pairs")).first()[0] or 0) <= PAIRS_AN_ENTRY * total:
-                break
-        # A few members of each list, other ones each round, are compared with all members of other components.
-        masks = [0, -1] if not star else [int(mix(np.array([star], np.uint64)).view(np.int64)[0])]
-        centres = rooted.groupBy("value").agg(*[F.min(F.col("doc").bitwiseXOR(m)).alias(f"c{i}") for i, m in enumerate(masks)])
-        centres = centres.select(
-            "value", F.explode(F.array(*[F.col(f"c{i}").bitwiseXOR(m) for i, m in enumerate(masks)])).alias("centre")
-        )
-        centres = centres.join(
-            rooted.select("value", F.col("doc").alias("centre"), F.col("root").alias("its")), ["value", "centre"]
-        )
-        pairs = (
-            rooted.join(centres, "value")
-            .filter("doc <> centre and root <> its")
-            .select(F.least("doc", "centre").alias("a"), F.greatest("doc", "centre").alias("b"))
-            .distinct()
+    entries = cut_lineage(entries)
+    lists = cut_lineage(entries.groupBy("value").agg(F.count("*").alias("members")).filter("members > 1"))
+    short = sketches.select("doc", F.transform("sketch", lambda v: F.shiftright(v, 32).cast("int")).alias("sketch"))
+    listed = entries.join(lists, "value").join(short, "doc")
+    listed = listed.mapInPandas(_packed, "value long, doc long, members long, sketch binary")
+    in_lists = lists.agg(F.sum("members")).first()[0] or 0
+    bundles, chunks = max(1, ceil(in_lists / BUNDLE)), F.ceil(F.col("members") / CHUNK)
+    long = F.col("members") > CHUNK
+    task = F.when(long, F.col("value")).otherwise(F.pmod(F.xxhash64("value"), F.lit(bundles)))
+    chunk = F.when(long, F.pmod(F.xxhash64("doc", "value"), chunks)).otherwise(0)
+    compare = _lister(percent, k)
+    found = (
+        listed.withColumns({"task": task, "long": long, "chunk": chunk, "root": F.col("doc")})
+        .groupBy("task", "long", "chunk").applyInPandas(compare, "a long, b long")
+    )
+    found = cut_lineage(found.distinct())
+    candidates = components(found)
+
+    # Long lists that are not within one component yet: each two of their chunks meet.
+    rooted = listed.filter(long).join(candidates.withColumnRenamed("node", "doc"), "doc", "left")
+    rooted = rooted.withColumn("root", F.coalesce("root", "doc"))
+    open_lists = cut_lineage(rooted.groupBy("value").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("value"))
+    if not open_lists.isEmpty():
+        own = F.pmod(F.xxhash64("doc", "value"), chunks)
+        more = (
+            rooted.join(open_lists, "value").withColumn("pair", F.explode(_pairs_of(chunks, own)))
+            .groupBy("value", "pair").applyInPandas(compare, "a long, b long")
         )
-        found = _links(pairs, sketches, sets, percent, k)
-        edges = cut_lineage(found if edges is None else edges.unionByName(found))
-    else:
-        rooted = cut_lineage(_rooted(entries, edges))
-        per_root = rooted.groupBy("value", "root").agg(F.count("*").alias("n"))
-
-    # All pairs of a list that are not yet in one component: those outside its largest component against every other.
-    main = per_root.groupBy("value").agg(F.max("n").alias("n"), F.count("*").alias("roots")).filter("roots > 1")
-    main = per_root.join(main, ["value", "n"]).groupBy("value").agg(F.min("root").alias("main"))
-    rest = rooted.join(main, "value").select("value", F.col("doc").alias("other"), F.col("root").alias("its"), "main")
-    pairs = (
-        rooted.join(rest.filter("its <> main").select("value", "other", "its"), "value")
-        .filter("root <> its")
-        .select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b"))
-        .distinct()
+        candidates = components(found.unionByName(more))
+
+    # Exact comparison of the full sets of each candidate component.
+    candidates = cut_lineage(candidates.withColumnRenamed("node", "doc"))
+    sized = candidates.join(sketches.select("doc", "n"), "doc")
+    blocks = sized.groupBy("root").agg(F.sum("n").alias("total")).withColumn("blocks", F.ceil(F.col("total") / BLOCK))
+    members = cut_lineage(candidates.join(blocks, "root").select(F.col("doc").alias("doc_id"), "root", "total", "blocks"))
+    bundles = max(1, ceil((blocks.filter("blocks = 1").agg(F.sum("total")).first()[0] or 0) / BLOCK))
+    sets = docs.join(members, "doc_id").mapInPandas(_setter(shingle), "doc_id long, root long, total long, blocks long, full binary")
+    own = F.pmod(F.xxhash64("doc"), F.col("blocks"))
+    task = F.when(F.col("blocks") > 1, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(bundles)))
+    edges = (
+        sets.withColumnRenamed("doc_id", "doc")
+        .withColumn("pair", F.explode(_pairs_of(F.col("blocks"), own)))
+        .select("doc", "root", "full", "pair", (F.col("blocks") > 1).alias("large"), task.alias("task"))
+        .groupBy("task", "large", "pair").applyInPandas(_verifier(percent), "a long, b long")
     )
-    edges = cut_lineage(edges.unionByName(_links(pairs, sketches, sets, percent, k)))
     roots = components(edges)
 
     classes = classes.withColumnRenamed("doc_id", "first")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hexvigil.llm.common import components, mix
-from hexvigil.llm.vectors import common_length, cuts, stacked, usable
+from hexvigil.llm.vectors import common_length, cuts, local_roots, stacked, usable
 from hexvigil.session import cut_lineage
 
 COSINE = 0.93
@@ -66,18 +66,6 @@ def _slicer(edges: np.ndarray):
     return run
 
 
-def local_roots(linked: np.ndarray) -> np.ndarray:
-    """The smallest index that links reach, for a symmetric matrix of links."""
-    root = np.arange(len(linked))
-    linked = linked | np.eye(len(linked), dtype=bool)
-    while True:
-        low = np.where(linked, root[None, :], len(root)).min(1)
-        low = np.minimum(low, low[low])
-        if (low == root).all():
-            return root
-        root = low
-
-
 def _window(cosine: float, window: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["key", "rep"])

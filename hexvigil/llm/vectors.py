@@ -34,3 +34,15 @@ def cuts(keyed: DataFrame, keys: str, orderings: int, parts: int) -> np.ndarray:
     accuracy = F.lit(20 * parts)
     found = keyed.agg(*[F.percentile_approx(F.col(keys)[o], at, accuracy).alias(f"o{o}") for o in range(orderings)]).first()
     return np.array([x or [0] * (parts - 1) for x in found], np.int64)
+
+
+def local_roots(linked: np.ndarray) -> np.ndarray:
+    """The smallest index that links reach, for a symmetric matrix of links."""
+    root = np.arange(len(linked))
+    linked = linked | np.eye(len(linked), dtype=bool)
+    while True:
+        low = np.where(linked, root[None, :], len(root)).min(1)
+        low = np.minimum(low, low[low])
+        if (low == root).all():
+            return root
+        root = low
