@@ -10,7 +10,9 @@ from hexvigil.llm.common import table
 from hexvigil.llm.langid import learn_and_identify
 from hexvigil.llm.minhash import near_duplicates
 from hexvigil.llm.packing import best_fit
+from hexvigil.llm.quality import score_quality
 from hexvigil.llm.secrets import scan_secrets
+from hexvigil.llm.toxicity import score_toxicity
 from hexvigil.llm.vector_dedup import link_vectors
 
 
@@ -32,6 +34,10 @@ def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_vectors(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return scan_secrets(docs).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
@@ -41,6 +47,10 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), shingle=4)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -50,8 +60,10 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_language": op3_language,
     "op5_vector_dedup": op5_vector_dedup,
+    "op6_toxicity": op6_toxicity,
     "op7_secrets": op7_secrets,
     "op8_minhash": op8_minhash,
+    "op9_quality": op9_quality,
     "op10_packing": op10_packing,
 }
 ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE}
