@@ -10,6 +10,7 @@ from hexvigil.llm.common import table
 from hexvigil.llm.langid import learn_and_identify
 from hexvigil.llm.minhash import near_duplicates
 from hexvigil.llm.packing import best_fit
+from hexvigil.llm.pii import find_pii
 from hexvigil.llm.quality import score_quality
 from hexvigil.llm.secrets import scan_secrets
 from hexvigil.llm.toxicity import score_toxicity
@@ -30,6 +31,10 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learn_and_identify(docs).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_vectors(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
 
@@ -55,16 +60,24 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # at the top of the repository; its stages import this subpackage
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_nearest": op1_nearest,
     "op2_mixing": op2_mixing,
     "op3_language": op3_language,
+    "op4_pii": op4_pii,
     "op5_vector_dedup": op5_vector_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_secrets": op7_secrets,
     "op8_minhash": op8_minhash,
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
+    "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE}
 
