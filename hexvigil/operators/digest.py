@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from hexvigil.functions.bind import once
 from hexvigil.functions.hashing import hmac_column_key, hmac_sha256, row_hash
 from hexvigil.functions.prefix import positions
+from hexvigil.session import cut_lineage
 
 EMPTY_ROOT = hashlib.sha256(b"empty").hexdigest()
 PAD_LEAF = hashlib.sha256(b"pad").hexdigest()
@@ -53,7 +54,7 @@ def _pad_hash(height: int) -> str:
     return h
 
 
-def _fold_blocks(level: DataFrame, bits: int, pad: str) -> DataFrame:
+def _fold_blocks(level: DataFrame, bits: int, pad: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """Blocks of 2^bits consecutive hashes with all their levels ``__l0`` (leaves) to ``__l<bits>`` (root).
 
     A block is bounded, so folding it inside one row is safe; each level is a column
@@ -61,10 +62,11 @@ def _fold_blocks(level: DataFrame, bits: int, pad: str) -> DataFrame:
     """
     size = 1 << bits
     blocks = (
-        level.groupBy(F.shiftright("idx", bits).alias("block"))
+        level.groupBy(*keys, F.shiftright("idx", bits).alias("block"))
         .agg(F.array_sort(F.collect_list(F.struct("idx", "hash"))).alias("__s"))
-        .select("block", F.transform("__s", lambda x: x.getField("hash")).alias("__raw"))
+        .select(*keys, "block", F.transform("__s", lambda x: x.getField("hash")).alias("__raw"))
         .select(
+            *keys,
             "block",
             F.concat("__raw", F.array_repeat(F.lit(pad), F.lit(size) - F.size("__raw"))).alias("__l0"),
         )
@@ -202,19 +204,41 @@ def receipts(leaves: DataFrame, root: DataFrame, key: bytes) -> DataFrame:
     )
 
 
+def member_roots(members: DataFrame, keys: list[str], block_bits: int = 10) -> DataFrame:
+    """(*keys, member_count, member_root): the Merkle root of each group's hashes, in hash order.
+
+    Numbering goes by the first digits of the hash and folding by blocks, so a large group
+    is spread; a group is done at its own depth, padded as ``merkle_root`` pads.
+    """
+    sizes = members.groupBy(*keys).agg(F.count("*").alias("member_count"))
+    depth = F.when(F.col("member_count") > 1, F.length(F.bin(F.col("member_count") - 1))).otherwise(0)
+    sizes = cut_lineage(sizes.withColumn("__depth", depth))
+    deepest = sizes.agg(F.max("__depth")).first()[0] or 0
+    numbered = positions(members.select(*keys, "leaf_hash"), keys, F.substring("leaf_hash", 1, 3), ["leaf_hash"], "idx")
+    level = numbered.join(sizes.drop("member_count"), keys).withColumnRenamed("leaf_hash", "hash")
+    height, done = 0, level.where("__depth = 0").select(*keys, F.col("hash").alias("member_root"))
+    while height < deepest:
+        bits = min(block_bits, deepest - height)
+        level = level.where(F.col("__depth") > height)
+        tops = _fold_blocks(level, bits, _pad_hash(height), (*keys, "__depth"))
+        reached = F.least(F.col("__depth") - height, F.lit(bits))
+        top = F.get(F.array(*[F.get(f"__l{k}", F.lit(0)) for k in range(1, bits + 1)]), reached - 1)
+        height += bits
+        level = tops.select(*keys, "__depth", F.col("block").alias("idx"), top.alias("hash"))
+        done = done.unionByName(level.where(F.col("__depth") <= height).select(*keys, F.col("hash").alias("member_root")))
+    return sizes.drop("__depth").join(done, keys)
+
+
 def aggregate_proofs(
     aggregates: DataFrame, members: DataFrame, root: DataFrame, keys: list[str], value_columns: list[str], key: bytes
 ) -> DataFrame:
     """H5: each aggregate with its root, signature and the checks on them.
 
     ``members(*keys, leaf_hash)`` stays a table of its own: the member hashes of one
-    aggregate may be a third of all rows, so the proof carries their number and an
-    order-free digest (sum of their leading bits) instead of a list.
+    aggregate may be a third of all rows, so the proof carries their number and the Merkle
+    root over them in hash order, against which any member list can be checked.
     """
-    weight = F.conv(F.substring("leaf_hash", 1, 12), 16, 10).cast("decimal(20,0)")
-    counted = members.groupBy(*keys).agg(
-        F.count("*").alias("member_count"), F.sum(weight).cast("string").alias("member_digest")
-    )
+    counted = member_roots(members, keys)
     body = F.to_json(F.struct(*[F.col(c) for c in [*keys, "contributor_count", "merkle_root", *sorted(value_columns)]]))
     out = (
         aggregates.join(counted, keys, "left")

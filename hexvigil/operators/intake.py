@@ -216,12 +216,20 @@ FRAMEWORK_ALIASES = [
 ]
 PASSING_STATUSES = ["passing", "pass", "passed", "compliant", "met", "true", "yes", "1"]
 
-# Largest dictionary that is carried inside expressions.
-MAX_DICTIONARY = 50_000
+# Entries of a dictionary that are carried inside an expression at a time.
+DICTIONARY_BLOCK = 20_000
 
 # ---------------------------------------------------------------------------
 
 
+def dictionary_blocks(entries: DataFrame, key: str) -> list[DataFrame]:
+    """``entries`` in blocks of about ``DICTIONARY_BLOCK`` rows; a dictionary of any size is gone through block by block."""
+    blocks = -(-entries.count() // DICTIONARY_BLOCK)
+    if blocks < 2:
+        return [entries]
+    return [entries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == i) for i in range(blocks)]
+
+
 def _literals(items) -> Column:
     return F.array(*[F.lit(i) for i in items])
 
@@ -619,13 +627,13 @@ def catalogue_risk(vulnerabilities: DataFrame, keywords: list[tuple[str, str]],
     return stats.join(first, "vendor_id").withColumn("risk_score", score)
 
 
-def repository_popularity(repos: DataFrame, top: int = 5) -> DataFrame:
-    """IN22: stars, forks, issues over a vendor's most starred repositories; score = min(10, stars / 1000)."""
-    order = Window.partitionBy("vendor_id").orderBy(F.col("stars").desc(), "repo")
+def repository_popularity(repos: DataFrame, top: int | None = None) -> DataFrame:
+    """IN22: stars, forks, issues over a vendor's repositories, or its ``top`` most starred; score = min(10, stars / 1000)."""
+    if top is not None:
+        order = Window.partitionBy("vendor_id").orderBy(F.col("stars").desc(), "repo")
+        repos = repos.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= top)
     return (
-        repos.withColumn("__r", F.row_number().over(order))
-        .where(F.col("__r") <= top)
-        .groupBy("vendor_id")
+        repos.groupBy("vendor_id")
         .agg(
             F.sum("stars").alias("total_stars"),
             F.sum("forks").alias("total_forks"),
@@ -639,16 +647,16 @@ def repository_popularity(repos: DataFrame, top: int = 5) -> DataFrame:
 
 def community_corpus(
     posts: DataFrame,
-    top: int = 12,
-    min_chars: int = 50,
+    top: int | None = None,
+    min_chars: int = 0,
     key_chars: int | None = None,
     post_chars: int | None = None,
     separator: str = "\n\n---\n",
 ) -> DataFrame:
     """IN23: cleaned, deduplicated posts of a vendor joined to one text, best ``rank`` first.
 
-    ``posts(vendor, rank, raw)``.  Whole posts are compared and kept; ``key_chars`` /
-    ``post_chars`` give the short comparison key and the per-post cut of the scrapers.
+    ``posts(vendor, rank, raw)``.  All posts that say anything are compared and kept whole;
+    ``top``, ``min_chars``, ``key_chars`` and ``post_chars`` give the cuts of the scrapers.
     """
     clean = F.trim(F.regexp_replace(F.regexp_replace(unescape_html(F.col("raw")), r"<[^>]+>", " "), r"\s{2,}", " "))
     texts = posts.select("vendor", "rank", clean.alias("post")).where(F.length("post") > min_chars)
@@ -661,8 +669,9 @@ def community_corpus(
     picked = (
         unique.select("vendor", F.col("p.rank").alias("__rank"), post.alias("post"))
         .withColumn("place", F.row_number().over(order))
-        .where(F.col("place") <= top)
     )
+    if top is not None:
+        picked = picked.where(F.col("place") <= top)
     return picked.groupBy("vendor").agg(
         F.count("*").alias("posts"),
         F.array_join(
@@ -677,9 +686,8 @@ def community_corpus(
 def match_tools(tools: DataFrame, registry: DataFrame, aliases: list[tuple[str, str]] = TOOL_ALIASES) -> DataFrame:
     """IN24: vendor id of every distinct tool name by seven rules in order of priority.
 
-    The registry is a dictionary that is carried as one array (its size is checked at
-    run time), so a tool is matched inside its own row and no pair of tool and vendor
-    is ever built.
+    A block of the registry is carried as one array, so a tool is matched inside its own row
+    and no pair of tool and vendor is ever built; the best rule of all blocks wins.
     """
     low = F.lower("vendor_id")
     entry = F.struct(
@@ -688,12 +696,6 @@ def match_tools(tools: DataFrame, registry: DataFrame, aliases: list[tuple[str,
         F.replace(low, F.lit("-"), F.lit(" ")).alias("spaced"),
         F.lower("display_name").alias("display"),
     )
-    listed = registry.agg(F.array_sort(F.collect_list(entry)).alias("a"))
-    checked = listed.select(
-        F.when(F.size("a") > MAX_DICTIONARY, F.raise_error(F.lit("registry too large for matching")))
-        .otherwise(F.col("a"))
-        .alias("a")
-    ).scalar()
     alias_list = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(v).alias("id")) for a, v in aliases])
     name = F.col("__name")
     vendors = F.col("__v")
@@ -709,18 +711,24 @@ def match_tools(tools: DataFrame, registry: DataFrame, aliases: list[tuple[str,
 
     def first(items: Column, test, rule: int) -> Column:
         hits = F.transform(
-            F.filter(items, test), lambda e: F.struct(e.getField("id").alias("vendor_id"), F.lit(rule).alias("rule"))
+            F.filter(items, test), lambda e: F.struct(F.lit(rule).alias("rule"), e.getField("id").alias("vendor_id"))
         )
         return F.try_element_at(hits, F.lit(1))
 
-    # Matching is work per row, so the few distinct names keep all the partitions they can use.
-    slots = tools.sparkSession.sparkContext.defaultParallelism
-    distinct = tools.select("tool").where(F.trim("tool") != "").distinct().repartition(slots, "tool")
-    return (
-        distinct.select("tool", F.lower(F.trim("tool")).alias("__name"), checked.alias("__v"))
-        .select("tool", F.coalesce(*[first(items, test, i) for i, (items, test) in enumerate(tests, 1)]).alias("__m"))
-        .select("tool", "__m.vendor_id", "__m.rule")
-    )
+    distinct = tools.select("tool").where(F.trim("tool") != "").distinct()
+    best = F.coalesce(*[first(items, test, i) for i, (items, test) in enumerate(tests, 1)])
+    matched = None
+    for block in dictionary_blocks(registry, "vendor_id"):
+        listed = block.agg(F.array_sort(F.collect_list(entry))).scalar()
+        found = distinct.select("tool", F.lower(F.trim("tool")).alias("__name"), listed.alias("__v")).select(
+            "tool", best.alias("__m")
+        )
+        if matched is not None:
+            found = matched.join(found.withColumnRenamed("__m", "__n"), "tool").select(
+                "tool", F.least("__m", "__n").alias("__m")
+            )
+        matched = found
+    return matched.select("tool", "__m.vendor_id", "__m.rule")
 
 
 def framework_coverage(controls: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

@@ -5,11 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hexvigil.operators.intake import MAX_DICTIONARY
-
-
-def _bounded(array: Column) -> Column:
-    return F.when(F.size(array) > MAX_DICTIONARY, F.raise_error(F.lit("technique map too large"))).otherwise(array)
+from hexvigil.operators.intake import dictionary_blocks
 
 
 def evidence_table(technique_map: DataFrame) -> DataFrame:
@@ -46,29 +42,20 @@ def technique_relevance(
 ) -> DataFrame:
     """Score of every technique a text gives evidence for, the ``top`` best per text.
 
-    Each text is read whole, once: its distinct words, and the dictionary phrases it
-    contains, become evidence rows that meet the techniques in an equi-join.  Words no
-    technique knows are dropped before anything is shuffled.
+    Each text is read whole.  Its distinct words meet the words of the techniques in an
+    equi-join.  Phrases may begin and end inside a word, so they are looked for in the text
+    itself, a block of the dictionary at a time; a dictionary of one block takes one pass.
     """
     evidence = evidence_table(technique_map)
-    phrases = _bounded(evidence.where("kind = 'phrase'").agg(F.collect_set("key")).scalar())
-    vocabulary = _bounded(evidence.where("kind = 'word'").agg(F.collect_set("key")).scalar())
     low = F.lower(text)
-    held = texts.select(key, low.alias("__low"), phrases.alias("__phrases"), vocabulary.alias("__vocabulary"))
-    read = held.select(
-        key,
-        F.filter("__phrases", lambda p: F.contains(F.col("__low"), p)).alias("__p"),
-        F.array_intersect(F.split(F.trim("__low"), r"\s+"), F.col("__vocabulary")).alias("__w"),
+    found = texts.select(
+        key, F.lit("word").alias("kind"), F.explode(F.array_distinct(F.split(F.trim(low), r"\s+"))).alias("__key")
     )
-    found = read.select(
-        key,
-        F.explode(
-            F.concat(
-                F.transform("__p", lambda p: F.struct(F.lit("phrase").alias("kind"), p.alias("key"))),
-                F.transform("__w", lambda w: F.struct(F.lit("word").alias("kind"), w.alias("key"))),
-            )
-        ).alias("e"),
-    ).select(key, "e.kind", F.col("e.key").alias("__key"))
+    for block in dictionary_blocks(evidence.where("kind = 'phrase'").select("key").distinct(), "key"):
+        phrases = block.agg(F.collect_set("key")).scalar()
+        held = texts.select(key, low.alias("__low"), phrases.alias("__phrases"))
+        hits = F.filter("__phrases", lambda p: F.contains(F.col("__low"), p))
+        found = found.unionByName(held.select(key, F.lit("phrase").alias("kind"), F.explode(hits).alias("__key")))
     scored = (
         found.join(evidence.withColumnRenamed("key", "__key"), ["kind", "__key"])
         .groupBy(key, "technique_id")

@@ -244,7 +244,7 @@ def vendor_detail(
             "would_buy_pct_all",
             F.coalesce("source_count", F.lit(0)).alias("source_count"),
             F.coalesce("confidence", F.lit("insufficient")).alias("confidence"),
-            F.slice("certifications", 1, 5).alias("certifications"),
+            "certifications",
             F.size("insurance_carriers").alias("carrier_count"),
         )
     )
@@ -338,14 +338,15 @@ def browse(
     vendor: str | None = None,
     category: str | None = None,
     contrib_type: str | None = None,
-    limit: int = 100,
+    limit: int | None = None,
     offset: int = 0,
     tie_break: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Filtered page, newest first; ``limit`` is held to 500."""
+    """Filtered rows, newest first, from ``offset``; all of them or a page of ``limit``."""
     page = _filtered(contributions, source=source, vendor=vendor, category=category, contrib_type=contrib_type)
     order = [F.col("received_at").desc(), *[F.col(c) for c in tie_break]]
-    return page.orderBy(*order).offset(offset).limit(min(limit, 500))
+    rest = page.orderBy(*order).offset(offset)
+    return rest if limit is None else rest.limit(limit)
 
 
 def browse_counts(

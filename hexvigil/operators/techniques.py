@@ -565,12 +565,16 @@ def histogram_sum(positions: DataFrame) -> DataFrame:
 
 
 def market_gap(
-    stacks: DataFrame, org_vertical: DataFrame, priority: DataFrame, technique_map: DataFrame
+    stacks: DataFrame, org_vertical: DataFrame, priority: DataFrame, technique_map: DataFrame, most: int | None = None
 ) -> DataFrame:
-    """Every priority technique of a stack's vertical with the tools that cover it, or what to buy instead."""
+    """Every priority technique of a stack's vertical with the tools that cover it, or what to buy instead.
+
+    ``most`` cuts the suggested vendors, which are those that the stack lacks.
+    """
     looked = technique_lookup(priority, technique_map, ["tactic", "categories", "primary_vendors"])
     owned = stacks.groupBy("stack_id").agg(F.collect_set(slug("tool")).alias("__tools"))
     wanted = F.transform(F.coalesce("primary_vendors", F.array().cast("array<string>")), lambda v: F.lower(v))
+    missing = F.array_except(wanted, "__tools")
     rank = F.col("rank")
     need = (
         owned.join(org_vertical.withColumnRenamed("org", "stack_id"), "stack_id")
@@ -588,7 +592,7 @@ def market_gap(
         F.when(~F.col("covered"), F.coalesce("categories", F.array().cast("array<string>"))).alias(
             "suggested_categories"
         ),
-        F.when(~F.col("covered"), F.array_except(F.slice(wanted, 1, 5), "__tools")).alias("suggested_vendors"),
+        F.when(~F.col("covered"), missing if most is None else F.slice(missing, 1, most)).alias("suggested_vendors"),
         F.when(~F.col("covered"), F.when(rank < 2, "critical").when(rank < 5, "high").otherwise("medium")).alias(
             "priority"
         ),

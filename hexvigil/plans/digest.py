@@ -96,11 +96,16 @@ def receipts(spark, sf):
     return digest.receipts(lf, digest.merkle_root(lf), KEY)
 
 
+GROUP_SQL = "gm AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY h) - 1 AS i, h FROM lf), gs AS (SELECT o_custkey, count(*) AS n, CAST(pow(2, ceil(log2(count(*)))) AS BIGINT) AS s FROM gm GROUP BY 1), g0 AS (SELECT o_custkey, i, h FROM gm UNION ALL SELECT o_custkey, unnest(range(n, s)), sha256('pad') FROM gs)"
+for _k in range(1, 13):
+    GROUP_SQL += f", g{_k} AS MATERIALIZED (SELECT o_custkey, i // 2 AS i, CASE WHEN count(*) = 2 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE any_value(h) END AS h FROM g{_k - 1} GROUP BY o_custkey, i // 2)"
+
+
 @query(
     "h05_aggregate_proofs",
-    f"""WITH {LEAF_SQL}, a AS (SELECT o_custkey, count(*) AS contributor_count, CAST(sum(o_orderkey) AS BIGINT) AS key_sum FROM orders GROUP BY 1),
- m AS (SELECT o_custkey, count(*) AS member_count, CAST(sum(CAST(concat('0x', substr(h, 1, 12)) AS BIGINT)) AS VARCHAR) AS member_digest FROM lf GROUP BY 1), r AS (SELECT h AS merkle_root FROM t{LEVELS})
- SELECT a.o_custkey, contributor_count, key_sum, member_count, member_digest, merkle_root,
+    f"""WITH {LEAF_SQL}, {GROUP_SQL}, a AS (SELECT o_custkey, count(*) AS contributor_count, CAST(sum(o_orderkey) AS BIGINT) AS key_sum FROM orders GROUP BY 1),
+ m AS (SELECT gs.o_custkey, gs.n AS member_count, g12.h AS member_root FROM gs JOIN g12 ON g12.o_custkey = gs.o_custkey), r AS (SELECT h AS merkle_root FROM t{LEVELS})
+ SELECT a.o_custkey, contributor_count, key_sum, member_count, member_root, merkle_root,
  {hmac_sql(KEY, "CAST(json_object('o_custkey', a.o_custkey, 'contributor_count', contributor_count, 'merkle_root', merkle_root, 'key_sum', key_sum) AS VARCHAR)")} AS signature,
  member_count = contributor_count AS commitment_count_matches, true AS merkle_root_present, true AS signature_present, member_count = contributor_count AS valid FROM a JOIN m ON m.o_custkey = a.o_custkey, r""",
 )

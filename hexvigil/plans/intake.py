@@ -261,8 +261,7 @@ def catalogue_risk(spark, sf):
 @query(
     "in22_repository_popularity",
     f"""SELECT vendor_id, CAST(sum(stars) AS BIGINT) AS total_stars, CAST(sum(forks) AS BIGINT) AS total_forks, CAST(sum(issues) AS BIGINT) AS total_issues, max(updated_at) AS latest_update, count(*) AS repos, {R('least(10.0, sum(stars) / 1000.0)')} AS score FROM
- (SELECT o_custkey AS vendor_id, o_orderkey AS repo, CAST(floor(o_totalprice / 100) AS BIGINT) AS stars, o_orderkey % 97 AS forks, o_orderkey % 31 AS issues, strftime(o_orderdate, '%Y-%m-%d') AS updated_at FROM orders
-  QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY floor(o_totalprice / 100) DESC, o_orderkey) <= 5) GROUP BY 1""",
+ (SELECT o_custkey AS vendor_id, o_orderkey AS repo, CAST(floor(o_totalprice / 100) AS BIGINT) AS stars, o_orderkey % 97 AS forks, o_orderkey % 31 AS issues, strftime(o_orderdate, '%Y-%m-%d') AS updated_at FROM orders) GROUP BY 1""",
 )
 def repository_popularity(spark, sf):
     repos = bridge.table(spark, sf, "orders").select(

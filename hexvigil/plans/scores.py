@@ -128,7 +128,7 @@ def vendor_confidence(spark, sf):
 
 
 MEASURED_SQL = """SELECT vendor, category, avg(overall_score) AS avg_score, count(*) AS contribution_count,
- count(DISTINCT source) AS source_count FROM evals GROUP BY vendor, category HAVING count(*) >= 5"""
+ count(DISTINCT source) AS source_count FROM evals GROUP BY vendor, category"""
 LISTING_SQL = f"""SELECT coalesce(m.vendor, r.vendor_id) AS vendor_id, coalesce(m.category, r.category) AS category,
  n.display_name AS display, avg_score, coalesce(contribution_count, 0) AS eval_count, coalesce(source_count, 0) AS source_count,
  r.vendor_id IS NOT NULL AS in_registry
@@ -148,7 +148,6 @@ def listing(spark, sf):
             F.sum("n").alias("contribution_count"),
             F.count("source").alias("source_count"),
         )
-        .where("contribution_count >= 5")
     )
     return scores.category_listing(bridge.registry(spark, sf), measured)
 
@@ -233,7 +232,7 @@ def my_position(spark, sf):
 DETAIL_SQL = f"""SELECT vendor_id, display_name, r.category, coalesce(contribution_count, 0) AS eval_count, avg_score, avg_detection_rate,
  would_buy_pct_all, coalesce(source_count, 0) AS source_count,
  CASE WHEN c.eval_count IS NULL THEN 'insufficient' ELSE {CONF_SQL.replace('eval_count', 'c.eval_count')} END AS confidence,
- array_to_string(certifications[1:5], ',') AS certifications, CAST(len(insurance_carriers) AS INTEGER) AS carrier_count
+ array_to_string(certifications, ',') AS certifications, CAST(len(insurance_carriers) AS INTEGER) AS carrier_count
  FROM registry r LEFT JOIN ({VENDOR_SQL}) s ON s.vendor = r.vendor_id
  LEFT JOIN (SELECT vendor, count(*) AS eval_count, count(DISTINCT source) AS source_count FROM evals GROUP BY vendor) c ON c.vendor = r.vendor_id"""
 

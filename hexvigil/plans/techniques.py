@@ -378,7 +378,7 @@ def histogram_decoded(spark, sf):
 GAP_SQL = f"""WITH p AS {PRIORITY_SQL}, lk AS (SELECT x.vertical, x.rank, x.technique_id, coalesce(e.categories, pa.categories, []) AS categories,
   list_transform(coalesce(e.primary_vendors, pa.primary_vendors, []), lambda v: lower(v)) AS pv FROM p x {LOOKUP}),
  ow AS (SELECT stack_id, list(DISTINCT lower(tool)) AS tools FROM stack GROUP BY 1),
- g AS (SELECT ow.stack_id, ov.vertical, lk.rank, lk.technique_id, list_sort(list_filter(pv, lambda v: list_contains(tools, v))) AS ct, categories, list_filter(pv[1:5], lambda v: NOT list_contains(tools, v)) AS sv
+ g AS (SELECT ow.stack_id, ov.vertical, lk.rank, lk.technique_id, list_sort(list_filter(pv, lambda v: list_contains(tools, v))) AS ct, categories, list_filter(pv, lambda v: NOT list_contains(tools, v)) AS sv
   FROM ow JOIN org_vertical ov ON ov.org = ow.stack_id JOIN lk ON lk.vertical = ov.vertical),
  gr AS (SELECT stack_id, vertical, rank, technique_id, len(ct) > 0 AS covered, array_to_string(ct, ',') AS covering_tools,
   CASE WHEN len(ct) = 0 THEN array_to_string(categories, ',') END AS suggested_categories, CASE WHEN len(ct) = 0 THEN array_to_string(sv, ',') END AS suggested_vendors,

@@ -264,9 +264,9 @@ for _entity, _char in (
 @query(
     "in23_community_corpus",
     f"""WITH p AS (SELECT regexp_extract(url, '^[^/]+//([^/:?#]+)', 1) AS vendor, page_id AS rank, trim(regexp_replace(regexp_replace({UNESCAPE_SQL}, '<[^>]+>', ' ', 'g'), '\\s{{2,}}', ' ', 'g')) AS post FROM pages),
- u AS (SELECT vendor, post, min(rank) AS rank FROM p WHERE length(post) > 50 GROUP BY 1, 2),
+ u AS (SELECT vendor, post, min(rank) AS rank FROM p WHERE length(post) > 0 GROUP BY 1, 2),
  r AS (SELECT *, row_number() OVER (PARTITION BY vendor ORDER BY rank) AS place FROM u)
- SELECT vendor, count(*) AS posts, string_agg(post, concat(chr(10), chr(10), '---', chr(10)) ORDER BY place) AS corpus FROM r WHERE place <= 12 GROUP BY vendor""",
+ SELECT vendor, count(*) AS posts, string_agg(post, concat(chr(10), chr(10), '---', chr(10)) ORDER BY place) AS corpus FROM r GROUP BY vendor""",
 )
 def community_corpus(spark, sf):
     posts = bridge.texts(spark, sf, "pages", "page_id").select(

@@ -73,10 +73,16 @@ def identity_object(spark: SparkSession, as_of: str) -> DataFrame:
 
 
 def stix_objects(
-    as_of: str, iocs: DataFrame | None = None, evals: DataFrame | None = None, techniques: DataFrame | None = None
+    as_of: str,
+    iocs: DataFrame | None = None,
+    evals: DataFrame | None = None,
+    techniques: DataFrame | None = None,
+    name_chars: int | None = None,
 ) -> DataFrame:
     """OUT1: one STIX object as JSON per row; ids depend on the content only, so exports can be repeated.
 
+    ``name_chars`` cuts the indicator in an object's name.
+
     ``iocs(ioc_type, value)``, ``evals(vendor, overall_score)``, ``techniques(technique_id, technique_name)``.
     """
     identity = _stix_id("identity", F.lit(PRODUCER))
@@ -107,7 +113,7 @@ def stix_objects(
                 F.to_json(
                     F.struct(
                         *common("indicator", _stix_id("indicator", F.concat_ws(":", kind, value))),
-                        F.concat(kind, F.lit(": "), F.substring(value, 1, 64)).alias("name"),
+                        F.concat(kind, F.lit(": "), value if name_chars is None else F.substring(value, 1, name_chars)).alias("name"),
                         pattern.alias("pattern"),
                         F.lit("stix").alias("pattern_type"),
                         stamp.alias("valid_from"),
@@ -233,15 +239,17 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").csv(path, header=True)
 
 
-def navigator_layers(gap_rows: DataFrame, domain: str = "enterprise-attack") -> DataFrame:
+def navigator_layers(gap_rows: DataFrame, domain: str = "enterprise-attack", most: int | None = None) -> DataFrame:
     """OUT4: one layer as JSON per stack, covered techniques green and gaps red.
 
     ``gap_rows`` come from the market-gap operator; a layer holds the priority
-    techniques of one vertical, so its list is short.
+    techniques of one vertical, so its list is short.  ``most`` cuts the categories that a
+    comment suggests.
     """
+    suggested = F.col("suggested_categories") if most is None else F.slice("suggested_categories", 1, most)
     covered = F.col("covered")
     note = F.when(covered, F.concat(F.lit("Covered by: "), F.array_join("covering_tools", ", "))).otherwise(
-        F.concat(F.lit("Suggested: "), F.array_join(F.slice("suggested_categories", 1, 3), ", "))
+        F.concat(F.lit("Suggested: "), F.array_join(suggested, ", "))
     )
     entry = F.struct(
         "rank",

@@ -27,20 +27,16 @@ class LineFeed:
     length: int | None = None
     skip_networks: bool = False
     comments: bool = True
-    cap: int = 300
 
 
 LINE_FEEDS = {
-    "bazaar": LineFeed("hash-sha256", "malware", "recent-malware", length=64, cap=200),
-    "firehol": LineFeed("ip", "firehol-level1", "blocklist-aggregated", skip_networks=True, cap=500),
-    "openphish": LineFeed("url", "phishing", "openphish-live", comments=False, cap=200),
+    "bazaar": LineFeed("hash-sha256", "malware", "recent-malware", length=64),
+    "firehol": LineFeed("ip", "firehol-level1", "blocklist-aggregated", skip_networks=True),
+    "openphish": LineFeed("url", "phishing", "openphish-live", comments=False),
     "emergingthreats": LineFeed("ip", "compromised", "emergingthreats-compromised"),
     "digitalside": LineFeed("ip", "malware", "digitalside-feed"),
     "cinsscore": LineFeed("ip", "suspicious", "cinsscore-feed"),
-    "bruteforceblocker": LineFeed("ip", "brute-force", "ssh-brute-force", cap=200),
-}
-DELIMITED_CAPS = {
-    "threatfox": 500, "urlhaus": 300, "ssl-blacklist": 200, "ipsum": 300, "dataplane-ssh": 200, "spamhaus-drop": 100,
+    "bruteforceblocker": LineFeed("ip", "brute-force", "ssh-brute-force"),
 }
 THREATFOX_TYPES = {
     "domain": "domain",

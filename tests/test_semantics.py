@@ -162,8 +162,9 @@ def test_tool_matching_priorities(spark):
 def test_short_keys_and_cuts_of_the_corpus(spark):
     long_a, long_b = "a" * 90 + " one", "a" * 90 + " two"
     posts = spark.createDataFrame([("v", 1, f"<p>{long_a}</p>"), ("v", 2, long_b), ("v", 3, "short &amp; dropped")], "vendor string, rank int, raw string")
-    assert intake.community_corpus(posts).first().posts == 2
-    cut = intake.community_corpus(posts, key_chars=80, post_chars=10).first()
+    assert intake.community_corpus(posts, min_chars=50).first().posts == 2
+    assert intake.community_corpus(posts).first().posts == 3
+    cut = intake.community_corpus(posts, min_chars=50, key_chars=80, post_chars=10).first()
     assert (cut.posts, cut.corpus) == (1, "a" * 10)
 
 
