@@ -91,6 +91,62 @@ def contribution_kinds(spark, sf):
     return mixed_files(spark, sf).groupBy("kind").agg(F.count("*").alias("n"))
 
 
+def array_json(spark, sf):
+    """One JSON array of quoted evaluations per order."""
+    e = bridge.evals(spark, sf, "contribution_id", "vendor", "overall_score", "deploy_days", "would_buy")
+    flag = F.when(F.col("would_buy"), F.lit("yes")).when(~F.col("would_buy"), F.lit("no"))
+    entry = F.struct(
+        F.col("contribution_id").cast("string").alias("contribution_id"),
+        "vendor",
+        F.when(F.col("deploy_days") == 7, F.lit("n/a")).otherwise(F.col("overall_score").cast("string")).alias("overall_score"),
+        F.concat(F.lit(" "), F.col("deploy_days").cast("string")).alias("deploy_days"),
+        flag.alias("would_buy"),
+    )
+    return e.groupBy("contribution_id").agg(F.to_json(F.collect_list(entry)).alias("value")).select("value")
+
+
+ORDERS_SQL = "SELECT count(DISTINCT l_orderkey) AS n FROM lineitem"
+
+
+@query(
+    "in01_mixed_shapes",
+    f"""SELECT 'eval' AS kind, '' AS reason, CAST(count(*) + count(*) FILTER (l_orderkey % 11 <> 0) AS BIGINT) AS n FROM lineitem
+ UNION ALL SELECT 'rejected', 'no JSON', count(*) FROM lineitem WHERE l_orderkey % 11 = 0
+ UNION ALL SELECT 'rejected', 'unknown kind', n FROM ({ORDERS_SQL}) UNION ALL SELECT 'attack_map', '', n FROM ({ORDERS_SQL}) UNION ALL SELECT 'ioc_bundle', '', n FROM ({ORDERS_SQL})
+ UNION ALL SELECT 'stix', '', n FROM ({ORDERS_SQL}) UNION ALL SELECT 'misp', '', n FROM ({ORDERS_SQL})""",
+)
+def mixed_shapes(spark, sf):
+    """Every shape in one folder: lines and arrays of evaluations, maps, bundles, exchange formats, and what is none of them."""
+    stray = array_json(spark, sf).select(F.lit('{"note": "nothing"}').alias("value"))
+    every = eval_json(spark, sf).unionAll(array_json(spark, sf)).unionAll(map_json(spark, sf)).unionAll(bundle_json(spark, sf))
+    every = every.unionAll(stix_documents(spark, sf)).unionAll(misp_documents(spark, sf)).unionAll(stray)
+    path = scratch_path(spark, "mixed")
+    every.write.text(path)
+    parsed = con.parse_contributions(con.read_documents(spark, path))
+    rejected = con.rejects(parsed).select(F.lit("rejected").alias("kind"), "reason")
+    taken = parsed.where("kind <> 'rejected'").select("kind", F.lit("").alias("reason"))
+    return taken.unionAll(rejected).groupBy("kind", "reason").agg(F.count("*").alias("n"))
+
+
+@query(
+    "in02_lenient_values",
+    f"""SELECT contribution_id, vendor, CASE WHEN deploy_days <> 7 THEN {R('overall_score')} END AS overall_score, deploy_days, would_buy, count(*) AS n,
+ CASE WHEN deploy_days = 7 THEN 'overall_score=n/a' ELSE '' END AS unreadable FROM
+ (SELECT CAST(l_orderkey AS VARCHAR) AS contribution_id, s_name AS vendor, l_quantity / 5 AS overall_score, CAST(l_linenumber AS INTEGER) AS deploy_days, CASE l_returnflag WHEN 'N' THEN true WHEN 'A' THEN false END AS would_buy
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey) GROUP BY ALL""",
+)
+def lenient_values(spark, sf):
+    """Quoted numbers and words for yes and no are read; what is no number is named."""
+    parsed = con.parse_contributions(array_json(spark, sf))
+    ev = rounded(con.evaluations(parsed).select("contribution_id", "vendor", "overall_score", "deploy_days", "would_buy"), "overall_score")
+    bad = con.unreadable_values(parsed).select(
+        F.col("contribution_id").alias("__c"), F.concat_ws("=", "field", "value").alias("unreadable")
+    ).distinct()
+    missing = (F.col("contribution_id") == F.col("__c")) & F.col("overall_score").isNull()
+    named = ev.join(bad, missing, "left").drop("__c").withColumn("unreadable", F.coalesce("unreadable", F.lit("")))
+    return named.groupBy(*named.columns).agg(F.count("*").alias("n"))
+
+
 @query(
     "in02_normalised_evals",
     f"""SELECT CAST(l_orderkey AS VARCHAR) AS contribution_id, s_name AS vendor, p_type AS category, {R('l_quantity / 5')} AS overall_score, {R('l_discount * 1000')} AS detection_rate, {R('l_tax * 100')} AS fp_rate,
@@ -106,14 +162,13 @@ def normalised_evals(spark, sf):
 
 @query(
     "in01_observations",
-    """SELECT technique_id, tool, outcome, observed, count(*) AS n FROM technique_obs GROUP BY ALL""".replace(
-        "SELECT technique_id, tool,", "SELECT technique_id, CASE WHEN outcome IS NOT NULL THEN tool END AS tool,"
-    ),
+    """SELECT CAST(contribution_id AS VARCHAR) AS contribution_id, technique_id, CASE WHEN outcome IS NOT NULL THEN tool END AS tool, outcome, observed, count(*) AS n FROM technique_obs GROUP BY ALL""",
     ("technique_obs",),
 )
 def parsed_observations(spark, sf):
     maps = con.attack_maps(con.parse_contributions(map_json(spark, sf)))
-    return observations(maps).groupBy("technique_id", "tool", "outcome", "observed").agg(F.count("*").alias("n"))
+    keys = ["contribution_id", "technique_id", "tool", "outcome", "observed"]
+    return observations(maps).groupBy(*keys).agg(F.count("*").alias("n"))
 
 
 @query(
@@ -199,13 +254,12 @@ def stix_documents(spark, sf):
 
 @query(
     "in04_stix_techniques",
-    """SELECT concat('bundle--', CAST(l_orderkey AS VARCHAR)) AS bundle_id, (SELECT 1) IS NOT NULL AS has_actor, concat('T', CAST(1000 + l_partkey % 200 AS VARCHAR)) AS technique_id, 'impact' AS tactic, count(*) AS n FROM lineitem GROUP BY ALL""",
+    """SELECT concat('bundle--', CAST(l_orderkey AS VARCHAR)) AS bundle_id, concat('Actor ', supplier) AS threat_name, technique_id, 'impact' AS tactic, count(*) AS n FROM
+ (SELECT l_orderkey, concat('T', CAST(1000 + l_partkey % 200 AS VARCHAR)) AS technique_id, max(CAST(l_suppkey AS VARCHAR)) OVER (PARTITION BY l_orderkey) AS supplier FROM lineitem) GROUP BY ALL""",
 )
 def stix_techniques(spark, sf):
     t = intel.stix_techniques(intel.parse_stix(stix_documents(spark, sf)))
-    return t.groupBy("bundle_id", F.col("threat_name").isNotNull().alias("has_actor"), "technique_id", "tactic").agg(
-        F.count("*").alias("n")
-    )
+    return t.groupBy("bundle_id", "threat_name", "technique_id", "tactic").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -222,18 +276,22 @@ MISP_KINDS = ["domain|ip", "ip-src", "sha1", "filename|sha256", "comment"]
 
 @query(
     "in05_misp_iocs",
-    """SELECT ['domain', 'ip', 'hash-sha1', 'hash-sha256'][CAST(l_partkey % 5 AS INTEGER) + 1] AS ioc_type, sha256(concat('m', CAST(l_partkey AS VARCHAR))) AS value_hash, count(*) AS n FROM lineitem WHERE l_partkey % 5 < 4 GROUP BY 1, 2""",
+    """SELECT CAST(l_orderkey AS VARCHAR) AS event_id, 'info' AS notes, ['domain', 'ip', 'hash-sha1', 'hash-sha256'][CAST(l_partkey % 5 AS INTEGER) + 1] AS ioc_type, sha256(concat('m', CAST(l_partkey AS VARCHAR))) AS value_hash, count(*) AS n FROM lineitem WHERE l_partkey % 5 < 4 GROUP BY ALL""",
 )
 def misp_iocs(spark, sf):
+    iocs = intel.misp_iocs(misp_documents(spark, sf))
+    return iocs.groupBy("event_id", "notes", "ioc_type", "value_hash").agg(F.count("*").alias("n"))
+
+
+def misp_documents(spark, sf):
     l = bridge.texts(spark, sf, "lineitem", "l_orderkey")
     kind = F.element_at(F.array(*[F.lit(k) for k in MISP_KINDS]), (F.col("l_partkey") % 5).cast("int") + 1)
     attr = F.struct(kind.alias("type"), F.concat(F.lit("M"), F.col("l_partkey").cast("string")).alias("value"))
-    docs = l.groupBy("l_orderkey").agg(F.collect_list(attr).alias("Attribute")).select(
+    return l.groupBy("l_orderkey").agg(F.collect_list(attr).alias("Attribute")).select(
         F.to_json(
             F.struct(F.struct(F.col("l_orderkey").cast("string").alias("uuid"), F.lit("info").alias("info"), "Attribute").alias("Event"))
         ).alias("value")
     )
-    return intel.misp_iocs(docs).groupBy("ioc_type", "value_hash").agg(F.count("*").alias("n"))
 
 
 @query(
