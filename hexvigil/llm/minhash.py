@@ -207,14 +207,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
     found = cut_lineage(found.distinct())
     candidates = components(found)
 
-    # Long lists that are not within one component yet: each two of their chunks meet.
+    # Long lists that are not within one component yet: what is outside a list's largest component meets all of it.
     rooted = listed.filter(long).join(candidates.withColumnRenamed("node", "doc"), "doc", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "doc"))
-    open_lists = cut_lineage(rooted.groupBy("value").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("value"))
+    per_root = cut_lineage(rooted.groupBy("value", "root").agg(F.count("*").alias("n")))
+    main = per_root.groupBy("value").agg(F.max("n").alias("n"), (F.sum("n") - F.max("n")).alias("outside")).filter("outside > 0")
+    main = per_root.join(main, ["value", "n"]).groupBy("value", "outside").agg(F.min("root").alias("main"))
+    open_lists = cut_lineage(main)
     if not open_lists.isEmpty():
-        own = F.pmod(F.xxhash64("doc", "value"), chunks)
+        across = F.ceil(F.col("outside") / CHUNK)
+        inside, apart = F.pmod(F.xxhash64("doc", "value"), chunks), F.pmod(F.xxhash64("doc"), across)
+        met = F.transform(F.sequence(F.lit(0).cast("long"), across - 1), lambda j: F.struct(inside.alias("i"), j.alias("j")))
+        meets = F.transform(F.sequence(F.lit(0).cast("long"), chunks - 1), lambda i: F.struct(i.alias("i"), apart.alias("j")))
         more = (
-            rooted.join(open_lists, "value").withColumn("pair", F.explode(_pairs_of(chunks, own)))
+            rooted.join(open_lists, "value")
+            .withColumn("pair", F.explode(F.when(F.col("root") == F.col("main"), met).otherwise(F.array_union(met, meets))))
             .groupBy("value", "pair").applyInPandas(compare, "a long, b long")
         )
         candidates = components(found.unionByName(more))

@@ -26,7 +26,7 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 #: Other places where a credential stands: further names, the password of an address, an authorisation header.
 _NAMED = re.compile(
     r"""\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private|client|auth)[_-]?(?:key|token|secret))\b"""
-    r"""["']?[\x20\t]*(?:[:=]|=>|is)[\x20\t]*["'`]?([!-&(-_a-~]{6,})""",
+    r"""["']?[\x20\t]*(?:[:=]|=>|is)[\x20\t]*["'`]?([!#-&(-_a-~]{6,})""",
     re.A | re.I,
 )
 _ADDRESS = re.compile(r"://[^\s:/@]+:([^\s@/]{6,})@")
