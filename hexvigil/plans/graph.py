@@ -109,20 +109,15 @@ def adjacency(spark, sf):
     return graph.adjacency(parts(spark, sf)[1])
 
 
-def attack_edges(spark, sf):
-    return graph.attack_map_graph(entries(spark, sf))[1]
-
-
 @query("g05_random_walks")
 def random_walks(spark, sf):
-    """One biased walk of five nodes from every actor, technique and tool."""
-    return graph.random_walks(attack_edges(spark, sf), walk_length=5, num_walks=1, p=2.0, q=0.5)
+    """Twenty walks of ten nodes from every node of the whole graph."""
+    return graph.random_walks(parts(spark, sf)[1])
 
 
 @query("g05_walk_embeddings")
 def walk_embeddings(spark, sf):
-    walks = graph.random_walks(attack_edges(spark, sf), walk_length=4, num_walks=1)
-    return graph.walk_embeddings(walks, dimensions=16, epochs=1)
+    return graph.walk_embeddings(graph.random_walks(parts(spark, sf)[1]))
 
 
 def embedded(spark, sf):
