@@ -14,7 +14,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
-from math import log
+from math import log, sqrt
 
 import numpy as np
 import pandas as pd
@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 from hexvigil.llm.common import held_out
 from hexvigil.llm.labelled import LEARN_ROWS, labelled_sample, logistic
 
-WINDOW = 56
+WINDOW = 40
+#: Windows are counted by how many bytes the toxic dictionary saves at least.
+MARGINS = (2, 3, 4, 5, 6)
 ORDINARY_BYTES, TOXIC_BYTES = 8192, 2048
 #: A word tells toxic documents apart if it stands in this share of them, is so many times commoner there, and has at
 #: least this share of the best word's weight (documents times log of the ratio).
@@ -42,8 +44,8 @@ class Model:
 
 
 def windows(text: str, size: int = WINDOW) -> list[bytes]:
-    """The whole text in lower case, runs of white space as one space, cut at spaces; longer words are cut as well."""
-    text, out, at = " ".join(text.lower().split()), [], 0
+    """All words of the text in lower case, joined by spaces and cut at spaces; longer words are cut as well."""
+    text, out, at = " ".join(_WORD.findall(text.lower())), [], 0
     while at < len(text):
         end = at + size
         if end < len(text):
@@ -56,7 +58,7 @@ def windows(text: str, size: int = WINDOW) -> list[bytes]:
 
 def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     settings = zstandard.ZstdCompressionParameters(
-        format=zstandard.FORMAT_ZSTD1_MAGICLESS, strategy=zstandard.STRATEGY_GREEDY, min_match=5, target_length=32,
+        format=zstandard.FORMAT_ZSTD1_MAGICLESS, strategy=zstandard.STRATEGY_GREEDY, min_match=6, target_length=32,
         window_log=15, chain_log=14, hash_log=14, search_log=3, write_content_size=0, write_checksum=0, write_dict_id=0,
     )
     content = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -64,13 +66,14 @@ def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
 
 
 def _measure(ordinary: bytes, toxic: bytes):
-    """Features of a text: its largest margin and the logarithm of the sum of margins above noise."""
+    """Features of a text: how many windows reach each margin, against the noise in so many and as a logarithm."""
     plain, both = _compressor(ordinary), _compressor(ordinary + toxic)
 
-    def features(text: str) -> tuple[float, float]:
+    def features(text: str) -> list[float]:
         parts = windows(text)
         margins = [len(plain.compress(w)) - len(both.compress(w)) for w in parts]
-        return max(0, *margins, 0), log(1 + sum(m - 3 for m in margins if m > 3))
+        reached = [sum(m >= k for m in margins) for k in MARGINS]
+        return [*(n / sqrt(len(parts) + 20) for n in reached), *(log(1 + n) for n in reached)]
 
     return features
 
@@ -116,7 +119,7 @@ def _scorer(model: Model):
     def run(batches):
         features = _measure(model.ordinary, model.toxic)
         for batch in batches:
-            found = np.array([features(t) for t in batch["text"].fillna("")]).reshape(len(batch), 2)
+            found = np.array([features(t) for t in batch["text"].fillna("")]).reshape(len(batch), 2 * len(MARGINS))
             score = 1 / (1 + np.exp(-(found @ model.weights[:-1] + model.weights[-1])))
             yield batch.drop(columns="text").assign(score=score)
 
@@ -127,7 +130,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn_rows: int = LEARN_R
     """One row per row of ``docs`` (doc_id, text): doc_id, held_out, score (0 to 1) and predicted (score >= 0.5).
 
     Learns from about ``learn_rows`` of the rows of ``labels`` (doc_id, toxic) outside the hold-out.  Null and empty
-    texts have no window and get the score of margin 0.  Without labels of both kinds all scores are 0.  A null doc_id
+    texts have no window and get the score of none.  Without labels of both kinds all scores are 0.  A null doc_id
     counts as held out; other columns are ignored.
     """
     model = fit(labelled_sample(docs, labels, "toxic", learn_rows))
