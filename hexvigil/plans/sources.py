@@ -667,7 +667,14 @@ def flat_csv(spark, sf):
     return back.groupBy(*back.columns).agg(F.count("*").alias("n"))
 
 
-@query("out4_navigator_layers")
+@query(
+    "out4_navigator_layers",
+    tplans.GAP_SQL + """ SELECT stack_id, CAST(json_object('name', concat_ws(' ', CAST(stack_id AS VARCHAR), vertical, 'coverage'), 'versions', json_object('layer', '4.5', 'attack', '14'), 'domain', 'enterprise-attack',
+ 'techniques', to_json(list({techniqueID: technique_id, score: CASE WHEN covered THEN 100 ELSE 25 END, color: CASE WHEN covered THEN '#31a354' ELSE '#de2d26' END,
+  comment: CASE WHEN covered THEN concat('Covered by: ', replace(covering_tools, ',', ', ')) ELSE concat('Suggested: ', replace(suggested_categories, ',', ', ')) END, enabled: true} ORDER BY rank)),
+ 'gradient', json_object('colors', ['#de2d26', '#fee08b', '#31a354'], 'minValue', 0, 'maxValue', 100)) AS VARCHAR) AS value FROM gr GROUP BY stack_id, vertical""",
+    ("technique_map", "stack", "org_vertical"),
+)
 def export_layers(spark, sf):
     return exports.navigator_layers(tplans.gap_rows(spark, sf))
 

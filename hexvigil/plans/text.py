@@ -191,7 +191,21 @@ def indicator_hmacs(spark, sf):
     return bridge.texts(spark, sf, "pages", "page_id").select("page_id", indicator_hmac(SECRET, "url").alias("value_hash"))
 
 
-@query("t05_session_hmac")
+def hmac_row_sql(key_hex: str, message: str) -> str:
+    """HMAC under a key of 32 bytes that a column gives in hex."""
+
+    def pad(value: int) -> str:
+        octets = f"list_transform(range(1, 64, 2), lambda i: format('{{:02x}}', xor(CAST(concat('0x', substr({key_hex}, i, 2)) AS INTEGER), {value})))"
+        return f"unhex(concat(list_aggregate({octets}, 'string_agg', ''), '{value:02x}' || repeat('{value:02x}', 31)))"
+
+    return f"sha256({pad(0x5C)} || unhex(sha256({pad(0x36)} || encode({message}))))"
+
+
+@query(
+    "t05_session_hmac",
+    f"""SELECT page_id, {hmac_row_sql('k', 'lower(trim(url))')} AS value_hash FROM
+ (SELECT *, sha256('{SECRET.decode()}'::BLOB || encode(regexp_extract(url, '^[^/]+//([^/:?#]+)', 1))) AS k FROM pages)""",
+)
 def session_hmacs(spark, sf):
     """Each host is a session with a key of its own, so its hashes match nobody else's."""
     pages = bridge.texts(spark, sf, "pages", "page_id")
