@@ -631,7 +631,25 @@ def export_inputs(spark, sf):
     return iocs, evals, tech
 
 
-@query("out1_stix_objects")
+def _uuid5_sql(kind: str, name: str) -> str:
+    h = f"sha1(unhex('{exports.DNS_NAMESPACE}') || encode({name}))"
+    variant = f"['8', '9', 'a', 'b'][CAST(concat('0x', substr({h}, 17, 1)) AS INTEGER) % 4 + 1]"
+    return f"concat('{kind}--', substr({h}, 1, 8), '-', substr({h}, 9, 4), '-5', substr({h}, 14, 3), '-', {variant}, substr({h}, 18, 3), '-', substr({h}, 21, 12))"
+
+
+def _object_sql(kind: str, name: str, rest: str) -> str:
+    identity = _uuid5_sql("identity", f"'{exports.PRODUCER}'")
+    return f"CAST(json_object('type', '{kind}', 'spec_version', '2.1', 'id', {_uuid5_sql(kind, name)}, 'created', '{AS_OF}', 'modified', '{AS_OF}', 'created_by_ref', {identity}, {rest}) AS VARCHAR) AS value"
+
+
+STIX_OBJECT_SQL = f"""SELECT CAST(json_object('type', 'identity', 'spec_version', '2.1', 'id', {_uuid5_sql("identity", f"'{exports.PRODUCER}'")}, 'created', '{AS_OF}', 'modified', '{AS_OF}', 'name', '{exports.PRODUCER}', 'identity_class', 'tool') AS VARCHAR) AS value
+ UNION ALL SELECT {_object_sql('indicator', "concat(ioc_type, ':', v)", f"'name', concat(ioc_type, ': ', v), 'pattern', concat('[', path, ' = ', chr(39), v, chr(39), ']'), 'pattern_type', 'stix', 'valid_from', '{AS_OF}', 'labels', ['malicious-activity']")} FROM
+ (SELECT DISTINCT ioc_type, value_hash AS v, CASE ioc_type WHEN 'ip' THEN 'ipv4-addr:value' WHEN 'domain' THEN 'domain-name:value' WHEN 'url' THEN 'url:value' WHEN 'email' THEN 'email-addr:value' WHEN 'hash-md5' THEN 'file:hashes.MD5' WHEN 'hash-sha256' THEN concat('file:hashes.', chr(39), 'SHA-256', chr(39)) END AS path FROM bundle_ioc)
+ UNION ALL SELECT {_object_sql('note', "concat('eval:', vendor, ':', CAST(m AS VARCHAR))", f"'content', concat('Vendor evaluation: ', vendor, ' scored ', CAST(m AS VARCHAR)), 'object_refs', [{_uuid5_sql('identity', chr(39) + exports.PRODUCER + chr(39))}]")} FROM (SELECT vendor, {R('avg(overall_score)')} AS m FROM evals GROUP BY vendor)
+ UNION ALL SELECT {_object_sql('attack-pattern', 'technique_id', "'name', concat(technique_id, ' ', name), 'external_references', [json_object('source_name', 'mitre-attack', 'external_id', technique_id, 'url', concat('https://attack.mitre.org/techniques/', replace(technique_id, '.', '/'), '/'))]")} FROM technique_map"""
+
+
+@query("out1_stix_objects", STIX_OBJECT_SQL, ("bundle_ioc", "evals", "technique_map"))
 def stix_objects(spark, sf):
     iocs, evals, tech = export_inputs(spark, sf)
     means = rounded(evals.groupBy("vendor").agg(F.avg("overall_score").alias("overall_score")), "overall_score")
