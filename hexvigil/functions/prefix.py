@@ -2,7 +2,7 @@
 
 A plain window over a group sorts the whole group in a single task.  Here equal
 values are counted first (map-side combined), the value range of each group is
-cut into buckets, and only bucket totals are accumulated per group.  A hot group
+cut into buckets at its quantiles, and only bucket totals are accumulated per group.  A hot group
 is thereby spread over as many tasks as it has buckets, and results stay exact.
 """
 
@@ -30,19 +30,32 @@ def _counted(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 def _bucketed(
     counts: DataFrame, keys: list[str], value: str, lo: float | None, hi: float | None, buckets: int
 ) -> DataFrame:
-    """Counts with the bucket ``__b`` of their value; values outside a known range fall into the end buckets."""
+    """Counts with the bucket ``__b`` of their value; values outside a known range fall into the end buckets.
+
+    Without a known range the buckets of a group hold about as many distinct values each,
+    whatever single values lie far out.
+    """
     v = F.col(value).cast("double")
     if lo is None or hi is None:
+        at = [i / buckets for i in range(1, buckets)]
         # The row total makes this read the same columns as every other use, so one shuffle serves all.
-        span = counts.groupBy(*keys).agg(F.min(v).alias("__lo"), F.max(v).alias("__hi"), F.sum("n").alias("__rows"))
-        span = span.where("__rows > 0").drop("__rows")
-        counts = _null_safe_join(counts, span, keys)
-        low, high = F.col("__lo"), F.col("__hi")
-    else:
-        low, high = F.lit(float(lo)), F.lit(float(hi))
-    share = F.when(high > low, (v - low) / (high - low)).otherwise(0.0)
+        cut = counts.groupBy(*keys).agg(
+            F.percentile_approx(v, at, F.lit(10 * buckets)).alias("__cuts"), F.sum("n").alias("__rows")
+        )
+        cut = cut.where("__rows > 0").drop("__rows")
+        return _null_safe_join(counts, cut, keys).withColumn("__b", _place(v, F.col("__cuts"), buckets)).drop("__cuts")
+    low, high = float(lo), float(hi)
+    share = (v - low) / (high - low) if high > low else F.lit(0.0)
     bucket = F.least(F.greatest(F.floor(share * buckets), F.lit(0)), F.lit(buckets - 1)).cast("int")
-    return counts.withColumn("__b", bucket).drop("__lo", "__hi")
+    return counts.withColumn("__b", bucket)
+
+
+def _place(v: Column, cuts: Column, buckets: int) -> Column:
+    """How many of the sorted cuts lie below a value: first among every 32nd, then in that stretch."""
+    step = 32
+    every = F.transform(F.sequence(F.lit(step), F.lit(buckets - 1), F.lit(step)), lambda i: F.get(cuts, i - 1))
+    stretch = F.size(F.filter(every, lambda c: c < v)) * step
+    return (stretch + F.size(F.filter(F.slice(cuts, stretch + 1, step), lambda c: c < v))).cast("int")
 
 
 def _bucket_offsets(placed: DataFrame, keys: list[str], value: str) -> DataFrame:

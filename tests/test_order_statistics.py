@@ -62,3 +62,13 @@ def test_running_total_and_positions(spark):
         assert got[i] == pytest.approx(sums[k])
     order = {r.i: r.position for r in prefix.positions(df, [], F.floor(F.col("i") / 100), ["i"]).collect()}
     assert order == {i: i for *_, i in data}
+
+
+def test_buckets_stay_even_beside_a_far_value(spark):
+    counts = spark.range(1, 100_000).select(F.lit("g").alias("k"), F.col("id").cast("double").alias("v"), F.lit(1).alias("n"))
+    counts = counts.unionByName(spark.range(1).select(F.lit("g").alias("k"), F.lit(1e12).alias("v"), F.lit(1).alias("n")))
+    sizes = prefix._bucketed(counts, ["k"], "v", None, None, prefix.BUCKETS).groupBy("__b").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 2 * 100_000 / 1024
+    order = prefix._bucketed(counts, ["k"], "v", None, None, prefix.BUCKETS).groupBy("__b").agg(F.min("v").alias("a"), F.max("v").alias("b"))
+    rows = order.orderBy("__b").collect()
+    assert all(x.b < y.a for x, y in zip(rows[:-1], rows[1:], strict=True))
