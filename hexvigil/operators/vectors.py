@@ -337,6 +337,42 @@ def similar_nodes(
     )
 
 
+def banded_pairs(ours: DataFrame, theirs: DataFrame, bands: int = 40, bits: int = 10, seed: int = 12) -> DataFrame:
+    """Pairs (our id, their id) that agree in all sign bits of a band, the candidates of ``similar_nodes_banded``."""
+
+    def coded(df: DataFrame, name: str) -> DataFrame:
+        def run(batches):
+            weights = 1 << np.arange(bits)
+            for pdf in batches:
+                if len(pdf):
+                    x = np.stack(pdf["vector"].to_numpy()).astype(float)
+                    planes = np.random.default_rng(seed).normal(size=(x.shape[1], bands * bits))
+                    code = ((x @ planes > 0).reshape(len(x), bands, bits) * weights).sum(axis=2)
+                    yield pd.DataFrame({"id": pdf["id"], "code": list(code.astype(np.int64))})
+
+        found = df.select("id", as_double("vector").alias("vector")).where(norm(F.col("vector")) > 0)
+        found = found.mapInPandas(run, f"id {dict(df.dtypes)['id']}, code array<long>")
+        return found.select(F.col("id").alias(name), F.posexplode("code").alias("band", "code"))
+
+    return coded(ours, "our_node").join(coded(theirs, "their_node"), ["band", "code"]).select("our_node", "their_node").distinct()
+
+
+def similar_nodes_banded(ours: DataFrame, theirs: DataFrame, threshold: float = 0.8, bands: int = 40, bits: int = 10) -> DataFrame:
+    """Pairs with cosine >= ``threshold`` found through bands of signed random projections, each checked exactly.
+
+    Compares only pairs that share a band, so it misses some: a pair at cosine c is found with
+    probability 1 - (1 - (1 - acos(c) / pi) ** bits) ** bands, 98 % at 0.8 and more above.
+    ``similar_nodes`` misses none, but compares all blocks where vectors don't cluster.
+    """
+    pairs = banded_pairs(ours, theirs, bands, bits)
+    left = ours.select(F.col("id").alias("our_node"), as_double("vector").alias("__a"))
+    right = theirs.select(F.col("id").alias("their_node"), as_double("vector").alias("__b"))
+    met = pairs.join(left, "our_node").join(right, "their_node")
+    return met.select("our_node", "their_node", cosine(F.col("__a"), F.col("__b")).alias("similarity")).where(
+        F.col("similarity") >= threshold
+    )
+
+
 def shared_campaigns(similar: DataFrame, nodes: DataFrame, top: int = 10) -> DataFrame:
     """What the matched nodes have in common, in one row; empty without a technique or indicator."""
     typed = similar.join(nodes.select(F.col("id").alias("our_node"), "node_type", "label"), "our_node")

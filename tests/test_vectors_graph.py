@@ -108,6 +108,18 @@ def test_similar_nodes_is_exact(spark, threshold, cells, block):
     assert pairs == expected
 
 
+def test_banded_nodes_compare_few_pairs(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(60, 24))
+    a = [(i, (centres[i % 60] + rng.normal(size=24) * 0.25).tolist()) for i in range(600)]
+    b = [(1000 + i, (centres[i % 60] + rng.normal(size=24) * 0.25).tolist()) for i in range(600)]
+    ours, theirs = (spark.createDataFrame(x, "id int, vector array<double>") for x in (a, b))
+    assert vectors.banded_pairs(ours, theirs).count() < 600 * 600 / 10
+    got = {(r.our_node, r.their_node) for r in vectors.similar_nodes_banded(ours, theirs).collect()}
+    exact = {(r.our_node, r.their_node) for r in vectors.similar_nodes(ours, theirs).collect()}
+    assert got <= exact and len(got) >= 0.97 * len(exact) > 0
+
+
 def edges(spark, rows):
     return spark.createDataFrame(rows, "source_id string, target_id string, weight double")
 
