@@ -65,18 +65,17 @@ def graph_edges(spark, sf):
     return edges.groupBy("source_id", "target_id", "edge_type").agg(F.count("*").alias("n"))
 
 
-@query(
-    "g02_merged_nodes",
-    f"""WITH {GRAPH_SQL}, tn AS (SELECT concat('technique:', technique_id) AS node_id, 'technique' AS node_type, technique_id AS label, min(tactic) AS property FROM e GROUP BY technique_id),
- ob AS (SELECT DISTINCT tool FROM e WHERE outcome IS NOT NULL)
- SELECT * FROM tn UNION ALL SELECT DISTINCT concat('actor:', actor), 'threat_actor', actor_name, NULL FROM e
+NODE_SQL = """tn AS (SELECT concat('technique:', technique_id) AS node_id, 'technique' AS node_type, technique_id AS label, min(tactic) AS property FROM e GROUP BY technique_id),
+ ob AS (SELECT DISTINCT tool FROM e WHERE outcome IS NOT NULL),
+ nd AS (SELECT * FROM tn UNION ALL SELECT DISTINCT concat('actor:', actor), 'threat_actor', actor_name, NULL FROM e
  UNION ALL SELECT concat('tool:', tool), 'tool', tool, NULL FROM ob
  UNION ALL SELECT concat('tool:', lower(vendor)), 'tool', vendor, min(category) FROM evals WHERE lower(vendor) NOT IN (SELECT tool FROM ob) GROUP BY vendor
  UNION ALL SELECT concat('ioc:', value_hash), 'ioc', min(ioc_type), NULL FROM i GROUP BY value_hash
  UNION ALL SELECT DISTINCT concat('campaign:', lower(campaign)), 'campaign', campaign, NULL FROM i WHERE campaign IS NOT NULL
- UNION ALL SELECT DISTINCT concat('actor:', replace(lower(ta), ' ', '_')), 'threat_actor', ta, NULL FROM i WHERE ta IS NOT NULL""",
-    ("technique_obs", "bundle_ioc", "evals"),
-)
+ UNION ALL SELECT DISTINCT concat('actor:', replace(lower(ta), ' ', '_')), 'threat_actor', ta, NULL FROM i WHERE ta IS NOT NULL)"""
+
+
+@query("g02_merged_nodes", f"WITH {GRAPH_SQL}, {NODE_SQL} SELECT * FROM nd", ("technique_obs", "bundle_ioc", "evals"))
 def merged_nodes(spark, sf):
     nodes, _ = parts(spark, sf)
     return graph.merge_nodes(*nodes)
@@ -129,14 +128,12 @@ def campaign_clusters(spark, sf):
     return graph.campaign_clusters(embedded(spark, sf), 5)
 
 
-CLUSTER_SQL = f"""WITH {GRAPH_SQL}, en AS (SELECT DISTINCT * FROM (SELECT concat('technique:', technique_id) AS id, 'technique' AS t, technique_id AS label FROM e UNION ALL SELECT concat('actor:', actor), 'threat_actor', actor_name FROM e
-  UNION ALL SELECT concat('tool:', tool), 'tool', tool FROM e WHERE outcome IS NOT NULL)),
- c AS (SELECT *, CAST(CAST(concat('0x', substr(sha256(id), 1, 8)) AS BIGINT) % 5 AS INTEGER) AS cluster_id FROM en)"""
+CLUSTER_SQL = f"""WITH {GRAPH_SQL}, {NODE_SQL}, c AS (SELECT node_type AS t, label, CAST(CAST(concat('0x', substr(sha256(node_id), 1, 8)) AS BIGINT) % 5 AS INTEGER) AS cluster_id FROM nd)"""
 
 
 def hashed_clusters(spark, sf):
-    """Nodes of the attack graph, and clusters by hash of the node, so that both engines group alike."""
-    nodes = graph.merge_nodes(graph.attack_map_graph(entries(spark, sf))[0])
+    """All nodes of the graph, and clusters by hash of the node, so that both engines group alike."""
+    nodes = graph.merge_nodes(*parts(spark, sf)[0])
     number = F.conv(F.substring(F.sha2("node_id", 256), 1, 8), 16, 10).cast("long")
     return nodes.select(F.col("node_id").alias("id"), (number % 5).cast("int").alias("cluster_id")), nodes
 
@@ -144,8 +141,8 @@ def hashed_clusters(spark, sf):
 @query(
     "g07_campaign_summary",
     CLUSTER_SQL + """ SELECT cluster_id, count(*) AS node_count, coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (t = 'technique'), '') AS techniques, coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (t = 'tool'), '') AS tools,
- '' AS ioc_types, count(DISTINCT label) FILTER (t = 'threat_actor') AS actors, 0 AS campaigns FROM c GROUP BY 1""",
-    ("technique_obs", "bundle_ioc"),
+ coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (t = 'ioc'), '') AS ioc_types, count(DISTINCT label) FILTER (t = 'threat_actor') AS actors, count(DISTINCT label) FILTER (t = 'campaign') AS campaigns FROM c GROUP BY 1""",
+    ("technique_obs", "bundle_ioc", "evals"),
 )
 def campaign_summary(spark, sf):
     out = graph.campaign_summary(*hashed_clusters(spark, sf))
@@ -155,7 +152,7 @@ def campaign_summary(spark, sf):
 @query(
     "g07_campaign_members",
     CLUSTER_SQL + " SELECT DISTINCT cluster_id, t AS node_type, label AS name FROM c",
-    ("technique_obs", "bundle_ioc"),
+    ("technique_obs", "bundle_ioc", "evals"),
 )
 def campaign_members(spark, sf):
     return graph.campaign_members(*hashed_clusters(spark, sf))
