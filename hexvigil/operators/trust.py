@@ -23,22 +23,26 @@ def behavioural_profiles(contributions: DataFrame, requests: DataFrame, matches:
     ``contributions(participant, contrib_type, vendor, integration, ts)``,
     ``requests(participant, query_type, vendor, ts)``, optional
     ``matches(participant, iocs_matched, techniques_corroborated)``.  The sets hold
-    dictionary names, so they are bounded by the vendor dictionary and combine map-side.
+    dictionary names; rows are counted per name by hash before the sets are collected.
     """
-    gave = contributions.groupBy("participant").agg(
+    span = [F.count("*").alias("n"), F.min("ts").alias("t0"), F.max("ts").alias("t1")]
+    vendor = F.lower("vendor").alias("vendor")
+    given = contributions.groupBy("participant", "contrib_type", vendor, "integration").agg(*span)
+    gave = given.groupBy("participant").agg(
         F.collect_set("contrib_type").alias("contribution_types"),
-        F.collect_set(F.lower("vendor")).alias("contributed_vendors"),
+        F.collect_set("vendor").alias("contributed_vendors"),
         F.collect_set("integration").alias("integration_sources"),
-        F.count("*").alias("__nc"),
-        F.min("ts").alias("__c0"),
-        F.max("ts").alias("__c1"),
+        F.sum("n").alias("__nc"),
+        F.min("t0").alias("__c0"),
+        F.max("t1").alias("__c1"),
     )
-    asked = requests.groupBy("participant").agg(
+    wanted = requests.groupBy("participant", "query_type", vendor).agg(*span)
+    asked = wanted.groupBy("participant").agg(
         F.collect_set("query_type").alias("query_types"),
-        F.collect_set(F.lower("vendor")).alias("queried_vendors"),
-        F.count("*").alias("__nq"),
-        F.min("ts").alias("__q0"),
-        F.max("ts").alias("__q1"),
+        F.collect_set("vendor").alias("queried_vendors"),
+        F.sum("n").alias("__nq"),
+        F.min("t0").alias("__q0"),
+        F.max("t1").alias("__q1"),
     )
     zero = F.lit(0)
     out = gave.join(asked, "participant", "full_outer").select(

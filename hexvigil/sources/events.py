@@ -16,7 +16,7 @@ from hexvigil.sources.intel import mapped
 # ---------------------------------------------------------------------------
 # Fixed values
 # ---------------------------------------------------------------------------
-CEF_HEADER = r"(?s)CEF:(\d+)\|([^|]*)\|([^|]*)\|([^|]*)\|([^|]*)\|([^|]*)\|([^|]*)\|(.*)"
+CEF_HEADER = r"(?s)CEF:(\d+\|.*)"
 CEF_FIELDS = {
     "src": "ip",
     "dst": "ip",
@@ -64,9 +64,11 @@ def parse_cef(lines: DataFrame, column: str = "value") -> DataFrame:
     """IN13: header fields and ``extensions array<struct<key, value>>`` of CEF lines; others are left out."""
     text = F.col(column)
     names = ["version", "device_vendor", "device_product", "device_version", "signature_id", "event_name", "severity"]
-    hits = lines.where(text.rlike(CEF_HEADER))
-    header = {n: F.regexp_extract(text, CEF_HEADER, i) for i, n in enumerate(names, 1)}
-    return hits.withColumns(header).withColumn("extensions", cef_extensions(F.regexp_extract(text, CEF_HEADER, 8)))
+    # The header is found once and cut at its seven bars; what follows the last one are the extensions.
+    fields = F.split(F.regexp_extract(text, CEF_HEADER, 1), r"\|", len(names) + 1)
+    hits = lines.withColumn("__f", fields).where(F.size("__f") == len(names) + 1)
+    header = {n: F.get("__f", F.lit(i)) for i, n in enumerate(names)}
+    return hits.withColumns(header).withColumn("extensions", cef_extensions(F.get("__f", F.lit(len(names))))).drop("__f")
 
 
 def cef_extensions(raw: Column) -> Column:
