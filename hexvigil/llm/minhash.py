@@ -40,14 +40,17 @@ BLOCK = 400_000
 NONE = np.iinfo(np.int32).max
 
 
+def _signature(s: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set of hashes."""
+    spread = mix(s.view(np.uint64) + np.uint64(0x632BE59BD9B4E019))
+    return int(np.add.reduce(s)), int(np.add.reduce(spread).view(np.int64))
+
+
 def _sketcher(shingle: int, k: int):
     def run(batches):
         for batch in batches:
             texts = batch["text"].fillna("").tolist()
-            out = []
-            for s in shingle_sets(texts, shingle):
-                spread = mix(s.view(np.uint64) + np.uint64(0x632BE59BD9B4E019))
-                out.append((len(s), int(np.add.reduce(s)), int(np.add.reduce(spread).view(np.int64)), s[:k]))
+            out = [(len(s), *_signature(s), s[:k]) for s in shingle_sets(texts, shingle)]
             yield pd.DataFrame(out, columns=["n_shingles", "sig_a", "sig_b", "sketch"]).assign(doc_id=batch["doc_id"].array)
 
     return run
@@ -59,12 +62,16 @@ def _packed(batches):
 
 
 def _setter(shingle: int):
+    """Full sets of the rows whose text is the wanted one; an id may come with several."""
+
     def run(batches):
         for batch in batches:
-            texts, rest = batch["text"].fillna("").tolist(), batch.drop(columns="text")
+            texts, wanted = batch["text"].fillna("").tolist(), list(zip(batch["sig_a"], batch["sig_b"], strict=True))
+            rest = batch.drop(columns=["text", "sig_a", "sig_b"])
             for at in range(0, len(texts), 1000):
-                sets = [s.tobytes() for s in shingle_sets(texts[at : at + 1000], shingle)]
-                yield rest.iloc[at : at + 1000].assign(full=sets)
+                sets = list(shingle_sets(texts[at : at + 1000], shingle))
+                own = [_signature(s) == w for s, w in zip(sets, wanted[at : at + 1000], strict=True)]
+                yield rest.iloc[at : at + 1000].assign(full=[s.tobytes() for s in sets])[own]
 
     return run
 
@@ -161,19 +168,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
     words, the whole sequence as one.  Documents link when 100 * intersection >= percent * union.  ``component_id`` is
     the smallest doc_id that links reach.  Null or wordless texts have an empty set and link with nothing.  Rows with
     a null doc_id link with nothing, have a null component_id and are kept.  Rows that repeat a doc_id are judged each
-    by its own text; equal rows share one component and are all kept if its id is theirs.  Other columns are ignored.
+    by its own text; rows with equal texts share a component and are kept if its id is theirs.  Other columns are
+    ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = cut_lineage(
-        docs.mapInPandas(_sketcher(shingle, k), "n_shingles long, sig_a long, sig_b long, sketch array<long>, doc_id long")
-    )
-    classes = signed.filter("n_shingles > 0 and doc_id is not null").groupBy("sig_a", "sig_b", "n_shingles").agg(
-        F.min("doc_id").alias("doc_id")
+    # Each row gets a number, which the checkpoint fixes; a class goes on under the smallest number of its rows.
+    schema = "n_shingles long, sig_a long, sig_b long, sketch array<long>, doc_id long"
+    signed = docs.mapInPandas(_sketcher(shingle, k), schema).withColumn("doc", F.monotonically_increasing_id())
+    signed = cut_lineage(signed)
+    key = ["sig_a", "sig_b", "n_shingles"]
+    classes = cut_lineage(
+        signed.filter("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc").alias("doc"), F.min("doc_id").alias("first"))
     )
     sketches = cut_lineage(
-        signed.join(classes, ["sig_a", "sig_b", "n_shingles", "doc_id"])
-        .select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "sketch")
-        .dropDuplicates(["doc", "sketch"])
+        signed.join(classes.select("doc"), "doc").select("doc", "doc_id", "sig_a", "sig_b", F.col("n_shingles").alias("n"), "sketch")
     )
 
     t = percent / 100
@@ -230,25 +238,27 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
     candidates = cut_lineage(candidates.withColumnRenamed("node", "doc"))
     sized = candidates.join(sketches.select("doc", "n"), "doc")
     blocks = sized.groupBy("root").agg(F.sum("n").alias("total")).withColumn("blocks", F.ceil(F.col("total") / BLOCK))
-    members = cut_lineage(candidates.join(blocks, "root").select(F.col("doc").alias("doc_id"), "root", "total", "blocks"))
+    members = cut_lineage(candidates.join(blocks, "root").join(sketches.select("doc", "doc_id", "sig_a", "sig_b"), "doc"))
     bundles = max(1, ceil((blocks.filter("blocks = 1").agg(F.sum("total")).first()[0] or 0) / BLOCK))
-    sets = docs.join(members, "doc_id").mapInPandas(_setter(shingle), "doc_id long, root long, total long, blocks long, full binary")
+    sets = docs.join(members, "doc_id").drop("doc_id").mapInPandas(
+        _setter(shingle), "doc long, root long, total long, blocks long, full binary"
+    )
     own = F.pmod(F.xxhash64("doc"), F.col("blocks"))
     task = F.when(F.col("blocks") > 1, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(bundles)))
     edges = (
-        sets.withColumnRenamed("doc_id", "doc")
-        .withColumn("pair", F.explode(_pairs_of(F.col("blocks"), own)))
+        sets.withColumn("pair", F.explode(_pairs_of(F.col("blocks"), own)))
         .select("doc", "root", "full", "pair", (F.col("blocks") > 1).alias("large"), task.alias("task"))
         .groupBy("task", "large", "pair").applyInPandas(_verifier(percent), "a long, b long")
     )
     roots = components(edges)
 
-    classes = classes.withColumnRenamed("doc_id", "first")
-    classes = classes.join(roots, classes["first"] == roots["node"], "left")
-    classes = classes.select("sig_a", "sig_b", "n_shingles", F.coalesce("root", "first").alias("least"))
+    # Components of classes under the smallest id of any of their rows.
+    classes = classes.join(roots.withColumnRenamed("node", "doc"), "doc", "left")
+    least = classes.filter("root is not null").groupBy("root").agg(F.min("first").alias("least"))
+    classes = classes.join(least, "root", "left").select(*key, F.coalesce("least", "first").alias("least"))
     own = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id"))
     return (
-        signed.join(classes, ["sig_a", "sig_b", "n_shingles"], "left")
+        signed.join(classes, key, "left")
         .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), own))
         .select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
     )

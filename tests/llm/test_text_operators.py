@@ -118,6 +118,13 @@ def test_near_duplicates_of_awkward_rows(spark):
     assert near_duplicates(empty_docs(spark)).count() == 0
 
 
+def test_rows_that_repeat_an_id_go_by_their_text(spark):
+    one, two = (" ".join(f"{k}{i}" for i in range(60)) for k in "ab")
+    rows = [(7, one), (7, two), (3, one + " more"), (9, two), (9, two + " again")]
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    assert Counter((r["doc_id"], r["component_id"]) for r in found) == Counter({(7, 3): 1, (7, 7): 1, (3, 3): 1, (9, 7): 2})
+
+
 def test_sketches_of_equal_words():
     one, two, three = shingle_sets(["A b c d e", "a  b\tC D e", "a b"], 4)
     assert (one == two).all() and len(one) == 2 and len(three) == 1
