@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hexvigil.session import cut_lineage
+
 BUCKETS = 1024
 
 
@@ -153,7 +155,14 @@ def exact_median_mad(
     df: DataFrame, keys: list[str], value: str, lo: float | None = None, hi: float | None = None
 ) -> DataFrame:
     """Median, and the upper-middle absolute deviation from it (element ``n // 2``)."""
-    counts = _counted(df, keys, value)
+    return median_mad_of_counts(_counted(df, keys, value), keys, value, lo, hi)
+
+
+def median_mad_of_counts(
+    counts: DataFrame, keys: list[str], value: str, lo: float | None = None, hi: float | None = None
+) -> DataFrame:
+    """Median and deviation of rows ``(*keys, value, n)``, which are read several times and so kept in a checkpoint."""
+    counts = cut_lineage(counts)
     med = _median(counts, keys, value, lo, hi, "median")
     apart = _null_safe_join(counts, med, keys).select(
         *keys, F.abs(F.col(value) - F.col("median")).alias("__dev"), "n"

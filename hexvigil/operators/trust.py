@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from hexvigil import dims
 from hexvigil.functions.noise import laplace, uniform
-from hexvigil.functions.prefix import exact_median_mad
+from hexvigil.functions.prefix import median_mad_of_counts
+from hexvigil.session import cut_lineage
 
 TRUST_THRESHOLD = 0.4
 DEFAULT_CREDIBILITY = 0.15
@@ -147,8 +148,8 @@ def robust_aggregate(
     sorted in one task.
     """
     present = values.where(F.col(value).isNotNull())
-    cells = present.groupBy(*keys, "participant", value).agg(F.count("*").alias("__n"))
-    centre = exact_median_mad(present, keys, value, lo, hi)
+    cells = cut_lineage(present.groupBy(*keys, "participant", value).agg(F.count("*").alias("__n")))
+    centre = median_mad_of_counts(cells.groupBy(*keys, value).agg(F.sum("__n").alias("n")), keys, value, lo, hi)
     base = F.coalesce("weight", F.lit(default_weight))
     rows = (
         cells.join(weights.select("participant", "weight"), "participant", "left")
