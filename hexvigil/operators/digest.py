@@ -112,6 +112,7 @@ def merkle_root(leaves: DataFrame, block_bits: int = 10) -> DataFrame:
     Leaves are padded to a power of two.  Each round folds blocks of 2^block_bits hashes
     in parallel; a billion leaves take three rounds, and only the last is one task.
     """
+    leaves = cut_lineage(leaves.select("leaf_index", "leaf_hash"))
     n = leaves.count()
     spark = leaves.sparkSession
     if n == 0:
@@ -137,9 +138,8 @@ def inclusion_proofs(leaves: DataFrame, block_bits: int = 10) -> DataFrame:
     The side of a sibling is the bit of the leaf index at its level.  Paths are built per
     block and lengthened by the path of the block, so leaves meet blocks once per round.
     """
-    n = leaves.count()
-    depth = _depth(n)
-    base = leaves.select(F.col("leaf_index").cast("long").alias("leaf_index"), "leaf_hash")
+    base = cut_lineage(leaves.select(F.col("leaf_index").cast("long").alias("leaf_index"), "leaf_hash"))
+    depth = _depth(base.count())
     if depth == 0:
         return base.withColumns({"path": F.array().cast("array<string>"), "root": F.col("leaf_hash")})
     level = base.select(F.col("leaf_index").alias("idx"), F.col("leaf_hash").alias("hash"))
@@ -147,7 +147,7 @@ def inclusion_proofs(leaves: DataFrame, block_bits: int = 10) -> DataFrame:
     height = 0
     while height < depth:
         bits = min(block_bits, depth - height)
-        blocks = _fold_blocks(level, bits, _pad_hash(height))
+        blocks = cut_lineage(_fold_blocks(level, bits, _pad_hash(height)))
         rounds.append((height, _paths(blocks, bits)))
         level = blocks.select(F.col("block").alias("idx"), F.get(f"__l{bits}", F.lit(0)).alias("hash"))
         height += bits

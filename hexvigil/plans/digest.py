@@ -42,7 +42,7 @@ def leaves(spark, sf):
     rows = digest.hashed_rows(
         bridge.table(spark, sf, "orders").select("o_orderdate", *COLUMNS), COLUMNS, "leaf_hash"
     ).select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("day"), "leaf_hash")
-    bucket = F.concat_ws("/", F.date_format("day", "yyyy-MM-dd"), F.substring("leaf_hash", 1, 1))
+    bucket = F.concat_ws("/", F.date_format("day", "yyyy-MM-dd"), F.substring("leaf_hash", 1, 3))
     return digest.leaf_order(rows, "leaf_hash", bucket, ["day", "leaf_hash"])
 
 
