@@ -313,6 +313,41 @@ def line_feed(spark, sf):
     return feeds.line_feed(feeds.read_lines(spark, path), "firehol")
 
 
+def _feed_sql(name: str) -> str:
+    feed = feeds.LINE_FEEDS[name]
+    kept = "m = 3" if feed.length else "m IN (2, 3)" if feed.skip_networks else "m > 0" if feed.comments else "true"
+    return f"SELECT '{name}' AS source, '{feed.ioc_type}' AS ioc_type, v AS value_raw, '{feed.threat_actor}' AS threat_actor, '{feed.campaign}' AS campaign FROM b WHERE {kept}"
+
+
+@query(
+    "in07_all_line_feeds",
+    """WITH a AS (SELECT p_partkey, p_partkey % 4 AS m, concat('10.', CAST(p_size AS VARCHAR), '.', CAST(p_partkey // 250 AS VARCHAR), '.', CAST(p_partkey % 250 AS VARCHAR)) AS ip FROM part),
+ b AS (SELECT m, CASE m WHEN 0 THEN concat('# ', ip) WHEN 1 THEN concat(ip, '/24') WHEN 2 THEN ip ELSE sha256(CAST(p_partkey AS VARCHAR)) END AS v FROM a) """
+    + " UNION ALL ".join(_feed_sql(name) for name in feeds.LINE_FEEDS),
+)
+def all_line_feeds(spark, sf):
+    """One file of comments, networks, addresses and hashes, read as each of the feeds."""
+    p = bridge.table(spark, sf, "part")
+    k = F.col("p_partkey")
+    ip = F.concat(
+        F.lit("10."), F.col("p_size").cast("string"), F.lit("."), F.floor(k / 250).cast("string"), F.lit("."), (k % 250).cast("string")
+    )
+    line = (
+        F.when(k % 4 == 0, F.concat(F.lit("# "), ip))
+        .when(k % 4 == 1, F.concat(ip, F.lit("/24")))
+        .when(k % 4 == 2, F.concat(F.lit("  "), ip, F.lit(" ")))
+        .otherwise(F.sha2(k.cast("string"), 256))
+    )
+    path = scratch_path(spark, "feeds")
+    p.select(line.alias("value")).write.text(path)
+    lines = feeds.read_lines(spark, path)
+    out = None
+    for name in feeds.LINE_FEEDS:
+        rows = feeds.line_feed(lines, name)
+        out = rows if out is None else out.unionAll(rows)
+    return out
+
+
 @query(
     "in08_threatfox",
     """SELECT 'threatfox' AS source, CASE p_partkey % 3 WHEN 0 THEN 'ip' WHEN 1 THEN 'domain' ELSE 'hash-md5' END AS ioc_type, CASE p_partkey % 3 WHEN 0 THEN concat('10.0.0.', CAST(p_partkey AS VARCHAR)) ELSE concat('v', CAST(p_partkey AS VARCHAR)) END AS value_raw,
