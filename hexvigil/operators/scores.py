@@ -225,12 +225,23 @@ def my_position(evals: DataFrame, lo: float = 0.0, hi: float = 10.0) -> DataFram
 
 
 def vendor_detail(
-    registry: DataFrame, scores: DataFrame, confidence_rows: DataFrame, vendors: list[str] | None = None
+    registry: DataFrame,
+    scores: DataFrame,
+    confidence_rows: DataFrame,
+    vendors: list[str] | None = None,
+    weighted: DataFrame | None = None,
 ) -> DataFrame:
-    """One profile row per vendor from registry and measurements (compare = two rows side by side)."""
+    """One profile row per vendor from registry and measurements (compare = two rows side by side).
+
+    ``weighted(vendor, weighted_score)`` adds the source-weighted score.
+    """
     s = scores.withColumnRenamed("vendor", "__sv")
     c = confidence_rows.select(F.col("vendor").alias("__cv"), "source_count", "confidence")
     base = registry if vendors is None else registry.where(F.col("vendor_id").isin(vendors))
+    extra = []
+    if weighted is not None:
+        base = base.join(weighted.select(F.col("vendor").alias("vendor_id"), "weighted_score"), "vendor_id", "left")
+        extra = ["weighted_score"]
     return (
         base.join(s, F.col("vendor_id") == F.col("__sv"), "left")
         .join(c, F.col("vendor_id") == F.col("__cv"), "left")
@@ -246,6 +257,10 @@ def vendor_detail(
             F.coalesce("confidence", F.lit("insufficient")).alias("confidence"),
             "certifications",
             F.size("insurance_carriers").alias("carrier_count"),
+            "compliance_frameworks",
+            "known_issues",
+            "typical_deploy_days",
+            *extra,
         )
     )
 

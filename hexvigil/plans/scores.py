@@ -232,8 +232,9 @@ def my_position(spark, sf):
 DETAIL_SQL = f"""SELECT vendor_id, display_name, r.category, coalesce(contribution_count, 0) AS eval_count, avg_score, avg_detection_rate,
  would_buy_pct_all, coalesce(source_count, 0) AS source_count,
  CASE WHEN c.eval_count IS NULL THEN 'insufficient' ELSE {CONF_SQL.replace('eval_count', 'c.eval_count')} END AS confidence,
- array_to_string(certifications, ',') AS certifications, CAST(len(insurance_carriers) AS INTEGER) AS carrier_count
- FROM registry r LEFT JOIN ({VENDOR_SQL}) s ON s.vendor = r.vendor_id
+ array_to_string(certifications, ',') AS certifications, CAST(len(insurance_carriers) AS INTEGER) AS carrier_count,
+ array_to_string(compliance_frameworks, ',') AS compliance_frameworks, known_issues, typical_deploy_days, weighted_score
+ FROM registry r LEFT JOIN (SELECT vendor, sum(overall_score * CASE source WHEN '1-URGENT' THEN 2.0 ELSE 1.0 END) / sum(CASE source WHEN '1-URGENT' THEN 2.0 ELSE 1.0 END) AS weighted_score FROM evals GROUP BY vendor) ws ON ws.vendor = r.vendor_id LEFT JOIN ({VENDOR_SQL}) s ON s.vendor = r.vendor_id
  LEFT JOIN (SELECT vendor, count(*) AS eval_count, count(DISTINCT source) AS source_count FROM evals GROUP BY vendor) c ON c.vendor = r.vendor_id"""
 
 
@@ -242,18 +243,22 @@ def detail(spark, sf):
         bridge.evals(spark, sf, *[c for c in AGG_IN if c != "category"]), ("vendor",)
     )
     conf = scores.vendor_confidence(bridge.evals(spark, sf, "vendor", "source"))
-    return scores.vendor_detail(bridge.registry(spark, sf), per_vendor, conf)
+    urgent = spark.range(1).select(F.lit("1-URGENT").alias("source"), F.lit(2.0).alias("weight"))
+    weighted = scores.weighted_score(bridge.evals(spark, sf, "vendor", "overall_score", "source"), urgent)
+    return scores.vendor_detail(bridge.registry(spark, sf), per_vendor, conf, weighted=weighted)
 
 
 @query(
     "j10_vendor_detail",
     f"""SELECT vendor_id, display_name, category, eval_count, {R('avg_score')} AS avg_score, {R('avg_detection_rate')} AS avg_detection_rate,
- {R('would_buy_pct_all')} AS would_buy_pct_all, source_count, confidence, certifications, carrier_count FROM ({DETAIL_SQL})""",
+ {R('would_buy_pct_all')} AS would_buy_pct_all, source_count, confidence, certifications, carrier_count,
+ compliance_frameworks, known_issues, typical_deploy_days, {R('weighted_score')} AS weighted_score FROM ({DETAIL_SQL})""",
     ("evals", "registry"),
 )
 def vendor_detail(spark, sf):
-    out = detail(spark, sf).withColumn("certifications", F.array_join("certifications", ","))
-    return rounded(out, "avg_score", "avg_detection_rate", "would_buy_pct_all")
+    lists = ["certifications", "compliance_frameworks"]
+    out = detail(spark, sf).withColumns({c: F.array_join(c, ",") for c in lists})
+    return rounded(out, "avg_score", "avg_detection_rate", "would_buy_pct_all", "weighted_score")
 
 
 @query(
