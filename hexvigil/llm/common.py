@@ -14,6 +14,8 @@ from hexvigil.session import cut_lineage
 
 #: Characters that one numpy pass works on; bounds a worker's memory whatever the batch holds.
 PASS_CHARS = 1_000_000
+#: Edges that one partition holds while components are found.
+EDGES = 50_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -116,19 +118,22 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of the undirected edges; root is the smallest node that links reach.
 
     Alternating large-star and small-star contraction: each round is two aggregations and two joins, the lineage
-    is cut by a reliable checkpoint, and the driver only sees a count and a sum.  Hubs are pre-aggregated, and the
-    join that gives a hub's minimum back is one that adaptive execution splits.
+    is cut by a reliable checkpoint, and the driver only sees counts and a sum.  Hubs are pre-aggregated, and the
+    join that gives a hub's minimum back is one that adaptive execution splits.  Few edges are worked on in few
+    partitions, as a round writes files for each.
     """
     flat = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).filter("u <> v")
     flat = cut_lineage(flat.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    parts = 1 + flat.count() // EDGES
     seen = None
     while True:
-        both = flat.unionByName(flat.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        flat = flat.coalesce(parts)
+        both = flat.unionByName(flat.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(parts)
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(parts)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        flat = cut_lineage(small.unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
+        small = large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).coalesce(parts)
+        flat = cut_lineage(small.filter("u <> v").distinct().coalesce(parts))
         state = flat.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break
