@@ -55,6 +55,8 @@ def _bucketed(
 def _place(v: Column, cuts: Column, buckets: int) -> Column:
     """How many of the sorted cuts lie below a value: first among every 32nd, then in that stretch."""
     step = 32
+    if buckets <= step:
+        return F.size(F.filter(cuts, lambda c: c < v)).cast("int")
     every = F.transform(F.sequence(F.lit(step), F.lit(buckets - 1), F.lit(step)), lambda i: F.get(cuts, i - 1))
     stretch = F.size(F.filter(every, lambda c: c < v)) * step
     return (stretch + F.size(F.filter(F.slice(cuts, stretch + 1, step), lambda c: c < v))).cast("int")

@@ -107,8 +107,8 @@ def test_sessions(spark):
             if t is not None and t < run[-1] + gap:
                 run.append(t)
                 continue
-            if run[-1] + gap <= newest - late:
-                expected.add((user, run[0], run[-1] + gap, len(run)))
+            expected.add((user, f"{run[0]:%F %T}", f"{run[-1] + gap:%F %T}", len(run), run[-1] + gap > newest - late))
             run = [t]
-    got = {(r.user_id, r.session_start, r.session_end, r.requests) for r in entry.queries()["s06_activity_sessions"](spark, sf).collect()}
-    assert got == expected
+    rows = entry.queries()["s06_activity_sessions"](spark, sf).collect()
+    assert {(r.user_id, r.session_start, r.session_end, r.requests, r.still_open) for r in rows} == expected
+    assert len(rows) == len(expected) and any(r.still_open for r in rows)
