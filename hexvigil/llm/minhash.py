@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from hexvigil.llm.common import components, mix, shingle_sets
+from hexvigil.llm.common import components, mix, shingle_sets, thinned
 from hexvigil.llm.vectors import local_roots
 from hexvigil.session import cut_lineage
 
@@ -212,7 +212,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
         listed.withColumns({"task": task, "long": long, "chunk": chunk, "root": F.col("doc")})
         .groupBy("task", "long", "chunk").applyInPandas(compare, "a long, b long")
     )
-    found = cut_lineage(found.distinct())
+    found = cut_lineage(thinned(found))
     candidates = components(found)
 
     # Long lists that are not within one component yet: what is outside a list's largest component meets all of it.
@@ -232,7 +232,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
             .withColumn("pair", F.explode(F.when(F.col("root") == F.col("main"), met).otherwise(F.array_union(met, meets))))
             .groupBy("value", "pair").applyInPandas(compare, "a long, b long")
         )
-        candidates = components(found.unionByName(more))
+        candidates = components(found.unionByName(thinned(more)))
 
     # Exact comparison of the full sets of each candidate component.
     candidates = cut_lineage(candidates.withColumnRenamed("node", "doc"))
@@ -250,7 +250,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
         .select("doc", "root", "full", "pair", (F.col("blocks") > 1).alias("large"), task.alias("task"))
         .groupBy("task", "large", "pair").applyInPandas(_verifier(percent), "a long, b long")
     )
-    roots = components(edges)
+    roots = components(thinned(edges))
 
     # Components of classes under the smallest id of any of their rows.
     classes = classes.join(roots.withColumnRenamed("node", "doc"), "doc", "left")

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hexvigil.llm.common import components, mix
+from hexvigil.llm.common import components, mix, thinned
 from hexvigil.llm.vectors import common_length, cuts, local_roots, stacked, usable
 from hexvigil.session import cut_lineage
 
@@ -126,7 +126,7 @@ def link_vectors(rows: DataFrame, cosine: float = COSINE, passes: int = PASSES,
         _slicer(cuts(keyed, "keys", passes, pieces)), "nth_pass int, piece int, key long, rep long, label long, vector binary"
     )
     edges = sliced.groupBy("nth_pass", "piece").applyInPandas(_window(cosine, window), "a long, b long")
-    roots = cut_lineage(components(edges).withColumnRenamed("node", "rep"))
+    roots = cut_lineage(components(thinned(edges)).withColumnRenamed("node", "rep"))
 
     # All members of a component meet, block by block; small components share a task.
     sizes = roots.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
