@@ -37,6 +37,8 @@ SKETCH = 64
 CHUNK, BUNDLE = 512, 4096
 #: Shingles of a component that one task compares with as many others, and of small components that share a task.
 BLOCK = 400_000
+#: Documents of a component in one block; a task's matrices grow with the square of two blocks.
+DOCS = 800
 NONE = np.iinfo(np.int32).max
 
 
@@ -131,14 +133,14 @@ def similar_sets(sets: list[np.ndarray], percent: int) -> np.ndarray:
     owner, column = owner[several[column]], number[column[several[column]]]
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    common, width = np.zeros((len(sets), len(sets)), np.float64), 4096
+    common, width = np.zeros((len(sets), len(sets)), np.float32), 4096  # whole numbers, exact below 2 ** 24
     for lo in range(0, int(several.sum()), width):
         a, b = np.searchsorted(column, [lo, lo + width])
         there = np.zeros((len(sets), width), np.float32)
         there[owner[a:b], column[a:b] - lo] = 1
         common += there @ there.T
     np.fill_diagonal(common, sizes)
-    return (100 * common >= percent * (sizes[:, None] + sizes - common)) & (sizes > 0)
+    return ((100 + percent) * common.astype(np.int64) >= percent * (sizes[:, None] + sizes)) & (sizes > 0)
 
 
 def _verifier(percent: int):
@@ -237,7 +239,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
     # Exact comparison of the full sets of each candidate component.
     candidates = cut_lineage(candidates.withColumnRenamed("node", "doc"))
     sized = candidates.join(sketches.select("doc", "n"), "doc")
-    blocks = sized.groupBy("root").agg(F.sum("n").alias("total")).withColumn("blocks", F.ceil(F.col("total") / BLOCK))
+    blocks = sized.groupBy("root").agg(F.sum("n").alias("total"), F.count("*").alias("docs"))
+    blocks = blocks.select("root", "total", F.greatest(F.ceil(F.col("total") / BLOCK), F.ceil(F.col("docs") / DOCS)).alias("blocks"))
     members = cut_lineage(candidates.join(blocks, "root").join(sketches.select("doc", "doc_id", "sig_a", "sig_b"), "doc"))
     bundles = max(1, ceil((blocks.filter("blocks = 1").agg(F.sum("total")).first()[0] or 0) / BLOCK))
     sets = docs.join(members, "doc_id").drop("doc_id").mapInPandas(
