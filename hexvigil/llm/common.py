@@ -10,7 +10,7 @@ from pyspark.sql.types import StructType
 from hexvigil.session import cut_lineage
 
 #: Characters that one numpy pass works on; bounds a worker's memory whatever the batch holds.
-PASS_CHARS = 1_000_000
+PASS_CHARS = 300_000
 #: Edges that one partition holds while components are found.
 EDGES = 50_000
 
