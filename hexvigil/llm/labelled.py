@@ -15,7 +15,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn_rows:
     """About ``learn_rows`` rows (doc_id, text, label) that may be learned from, chosen by a hash of the id.
 
     Labels are 0 or 1; others, nulls and held-out ids are left out, and of several labels of an id the larger counts.
-    With ``balance`` each label gets half of the rows, else all have the same chance.  The number of rows bounds what
+    With ``balance`` each label gets half of the rows, else all have the same chance; ``attrs["counts"]`` tells how many
+    rows of each label may be learned from.  The number of rows bounds what
     the driver gets and what is broadcast to find the texts.
     """
     known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
@@ -31,7 +32,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn_rows:
     ids = out.toPandas().sort_values("doc_id")
     wanted = F.broadcast(docs.sparkSession.createDataFrame(ids, "doc_id long, label int"))
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id").filter(F.col("text").isNotNull())
-    return found.toPandas().sort_values(["doc_id", "text"]).drop_duplicates("text").reset_index(drop=True)
+    sample = found.toPandas().sort_values(["doc_id", "text"]).drop_duplicates("text").reset_index(drop=True)
+    sample.attrs["counts"] = counts
+    return sample
 
 
 def logistic(features, labels, rounds: int = 25, ridge: float = 1e-2):

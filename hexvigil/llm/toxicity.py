@@ -3,10 +3,12 @@
 Two zstandard dictionaries are trained, one on ordinary documents, one on toxic ones.  A text goes through in short
 windows, each compressed with the ordinary dictionary and with both; how many bytes the toxic one saves is the
 window's margin, near 0 for ordinary text.  Toxic documents are mostly made of ordinary words, which would hide what
-tells them apart, so the samples for their dictionary keep the words that are much commoner in them.  Windows are so
-short that their literals are stored as they are, which leaves matches as the only thing that differs.
+tells them apart, so their dictionary is made of the words that stand in more of them than chance allows, each against
+its own count, so that a language with few toxic documents keeps its words.  Windows are so short that their literals
+are stored as they are, which leaves matches as the only thing that differs.  A window can also match part of a word
+that looks like one of these, so the different ones that stand in the text as they are count too.
 
-The margins' effect on the label is calibrated on the labelled sample by a logistic regression.
+The effect of margins and words on the label is calibrated on the labelled sample by a logistic regression.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
-from math import log, sqrt
+from math import lgamma, log, sqrt
 
 import numpy as np
 import pandas as pd
@@ -28,10 +30,9 @@ from hexvigil.llm.labelled import LEARN_ROWS, labelled_sample, logistic
 WINDOW = 40
 #: Windows are counted by how many bytes the toxic dictionary saves at least.
 MARGINS = (2, 3, 4, 5, 6)
-ORDINARY_BYTES, TOXIC_BYTES = 8192, 2048
-#: A word tells toxic documents apart if it stands in this share of them, is so many times commoner there, and has at
-#: least this share of the best word's weight (documents times log of the ratio).
-SHARE, RATIO, WEIGHT = 0.005, 4.0, 0.25
+ORDINARY_BYTES = 8192
+#: Share of the words taken as telling toxic documents apart that may be so by chance.
+FALSE_WORDS = 0.05
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -57,38 +58,57 @@ def windows(text: str, size: int = WINDOW) -> list[bytes]:
 
 
 def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
+    reach = max(14, len(dictionary).bit_length())
     settings = zstandard.ZstdCompressionParameters(
         format=zstandard.FORMAT_ZSTD1_MAGICLESS, strategy=zstandard.STRATEGY_GREEDY, min_match=6, target_length=32,
-        window_log=15, chain_log=14, hash_log=14, search_log=3, write_content_size=0, write_checksum=0, write_dict_id=0,
+        window_log=reach + 1, chain_log=reach, hash_log=reach, search_log=3, write_content_size=0, write_checksum=0, write_dict_id=0,
     )
     content = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     return zstandard.ZstdCompressor(dict_data=content, compression_params=settings)
 
 
 def _measure(ordinary: bytes, toxic: bytes):
-    """Features of a text: how many windows reach each margin, against the noise in so many and as a logarithm."""
+    """Features of a text: how many windows reach each margin, and how many words of the toxic dictionary it has, each
+    against the noise in so many and as a logarithm."""
     plain, both = _compressor(ordinary), _compressor(ordinary + toxic)
+    known = set(toxic.decode().split())
 
     def features(text: str) -> list[float]:
         parts = windows(text)
         margins = [len(plain.compress(w)) - len(both.compress(w)) for w in parts]
         reached = [sum(m >= k for m in margins) for k in MARGINS]
+        reached.append(len(known.intersection(_WORD.findall(text.lower()))))
         return [*(n / sqrt(len(parts) + 20) for n in reached), *(log(1 + n) for n in reached)]
 
     return features
 
 
-def contrast(toxic: list[str], ordinary: list[str]) -> set[str]:
-    """Words that are much commoner in toxic documents, counted once a document."""
+def _chance(k: int, n: int, share: float) -> float:
+    """Log of the probability that ``k`` or more of ``n`` documents are toxic by chance; ``k`` is above their mean."""
+    first = lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * log(share) + (n - k) * log(1 - share)
+    total = term = 1.0
+    for i in range(k, n):
+        term *= (n - i) / (i + 1) * share / (1 - share)
+        total += term
+        if term < 1e-12:
+            break
+    return first + log(total)
+
+
+def contrast(toxic: list[str], ordinary: list[str]) -> list[str]:
+    """Words that stand in more toxic documents than chance allows, counted once a document, the surest first.
+
+    Each word is tested on its own count (Benjamini and Hochberg's bound on the share of false ones).
+    """
     ours = Counter(w for t in toxic for w in set(_WORD.findall(t.lower())))
     theirs = Counter(w for t in ordinary for w in set(_WORD.findall(t.lower())))
-    weight = {}
+    share, tests, found = len(toxic) / (len(toxic) + len(ordinary)), len(ours | theirs), []
     for word, n in ours.items():
-        here, there = n / len(toxic), (theirs[word] + 0.5) / len(ordinary)
-        if len(word) > 2 and here >= SHARE and here >= RATIO * there:
-            weight[word] = n * log(here / there)
-    best = max(weight.values(), default=0)
-    return {w for w, v in weight.items() if v >= WEIGHT * best}
+        if len(word) > 2 and n > share * (n + theirs[word]):
+            found.append((_chance(n, n + theirs[word], share), word))
+    found.sort()
+    taken = max((i for i, (p, _) in enumerate(found, 1) if p <= log(FALSE_WORDS * i / tests)), default=0)
+    return [word for _, word in found[:taken]]
 
 
 def _trained(size: int, samples: list[bytes]) -> bytes:
@@ -100,18 +120,20 @@ def _trained(size: int, samples: list[bytes]) -> bytes:
 
 
 def fit(sample: pd.DataFrame) -> Model | None:
-    """The model of (text, label) rows, or None unless both labels occur."""
+    """The model of (text, label) rows, or None unless both labels occur.
+
+    If ``sample.attrs`` has the rows of each label that the sample stands for (``counts``), scores follow their odds.
+    """
     toxic, ordinary = (sample.loc[sample["label"] == v, "text"].tolist() for v in (1, 0))
     if not toxic or not ordinary:
         return None
-    telling = contrast(toxic, ordinary)
-    kept = [f" {' '.join(w for w in _WORD.findall(t.lower()) if w in telling)} ".encode() for t in toxic]
-    kept = [k for k in kept if len(k) > 2]
     plain = _trained(ORDINARY_BYTES, [w for t in ordinary[:2000] for w in windows(t)])
-    own = _trained(TOXIC_BYTES, kept * (1 + 2000 // len(kept))) if kept else b""
+    own = f" {' '.join(contrast(toxic, ordinary))} ".encode()
     features = _measure(plain, own)
     found = np.array([features(t) for t in toxic + ordinary])
     weights = logistic(found, np.r_[np.ones(len(toxic)), np.zeros(len(ordinary))])
+    if counts := sample.attrs.get("counts"):
+        weights[-1] += log(counts[1] / counts[0]) - log(len(toxic) / len(ordinary))
     return Model(plain, own, weights)
 
 
@@ -119,7 +141,7 @@ def _scorer(model: Model):
     def run(batches):
         features = _measure(model.ordinary, model.toxic)
         for batch in batches:
-            found = np.array([features(t) for t in batch["text"].fillna("")]).reshape(len(batch), 2 * len(MARGINS))
+            found = np.array([features(t) for t in batch["text"].fillna("")]).reshape(len(batch), 2 * len(MARGINS) + 2)
             score = 1 / (1 + np.exp(-(found @ model.weights[:-1] + model.weights[-1])))
             yield batch.drop(columns="text").assign(score=score)
 
@@ -129,11 +151,12 @@ def _scorer(model: Model):
 def score_toxicity(docs: DataFrame, labels: DataFrame, learn_rows: int = LEARN_ROWS) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, held_out, score (0 to 1) and predicted (score >= 0.5).
 
-    Learns from about ``learn_rows`` of the rows of ``labels`` (doc_id, toxic) outside the hold-out.  Null and empty
+    Learns from about ``learn_rows`` of the rows of ``labels`` (doc_id, toxic) outside the hold-out, half of them toxic
+    if there are so many; scores follow the odds of all.  Null and empty
     texts have no window and get the score of none.  Without labels of both kinds all scores are 0.  A null doc_id
     counts as held out; other columns are ignored.
     """
-    model = fit(labelled_sample(docs, labels, "toxic", learn_rows))
+    model = fit(labelled_sample(docs, labels, "toxic", learn_rows, balance=True))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out("doc_id").alias("held_out"))
     if model is None:
         scored = docs.select("doc_id", "held_out", F.lit(0.0).alias("score"))

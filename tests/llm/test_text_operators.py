@@ -430,3 +430,22 @@ def test_toxic_words_move_the_score(spark):
     features = toxicity._measure(model.ordinary, model.toxic)
     clean, toxic = (np.array(features(t)) @ model.weights[:-1] + model.weights[-1] for t in (plain[0], "what a villainous scoundrel " + plain[0]))
     assert clean < 0 < toxic
+
+
+def test_rarer_toxic_vocabularies_are_kept():
+    rng = np.random.default_rng(4)
+    plain = [" ".join(rng.choice(["lorem", "ipsum", "dolor", "amet"], 60)) for _ in range(900)]
+    common, rare = ["scoundrel", "villainous"], ["grobzz", "flegmaq", "hurlokk"]
+    bad = [f"{t} {' '.join(common)}" for t in plain[:100]] + [f"{t} {' '.join(rng.choice(rare, 2, False))}" for t in plain[100:112]]
+    assert set(toxicity.contrast(bad, plain[112:])) == {*common, *rare}
+
+
+def test_toxic_recall_in_each_language(spark):
+    sf = SF.replace("sf0.001", "sf0.1")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
+    truth = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
+    rows = plans.op6_toxicity(spark, sf).filter("held_out").join(docs, "doc_id").join(truth, "doc_id").collect()
+    for lang in ("en", "de", "fr", "es"):
+        toxic = [r["predicted"] for r in rows if r["lang"] == lang and r["toxic"] == 1]
+        assert sum(toxic) >= 0.75 * len(toxic) > 0, (lang, sum(toxic), len(toxic))
+    assert sum(r["predicted"] for r in rows if r["toxic"] == 0) <= 0.01 * sum(r["toxic"] == 0 for r in rows)
