@@ -127,7 +127,7 @@ def fit(sample: pd.DataFrame) -> Model | None:
     toxic, ordinary = (sample.loc[sample["label"] == v, "text"].tolist() for v in (1, 0))
     if not toxic or not ordinary:
         return None
-    plain = _trained(ORDINARY_BYTES, [w for t in ordinary[:2000] for w in windows(t)])
+    plain = _trained(ORDINARY_BYTES, [w for t in ordinary for w in windows(t)])
     own = f" {' '.join(contrast(toxic, ordinary))} ".encode()
     features = _measure(plain, own)
     found = np.array([features(t) for t in toxic + ordinary])

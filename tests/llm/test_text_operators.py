@@ -440,6 +440,15 @@ def test_rarer_toxic_vocabularies_are_kept():
     assert set(toxicity.contrast(bad, plain[112:])) == {*common, *rare}
 
 
+def test_late_ordinary_documents_reach_the_dictionary():
+    import pandas as pd
+
+    late = "zanthoxylum quorbellate vexillarium"
+    texts = ["lorem ipsum dolor amet consectetur"] * 2000 + [f"{late} {i % 7 * 'x'}" for i in range(2000)] + ["scoundrel"] * 40
+    model = toxicity.fit(pd.DataFrame({"text": texts, "label": [0] * 4000 + [1] * 40}))
+    assert b"quorbellate" in model.ordinary
+
+
 def test_toxic_recall_in_each_language(spark):
     sf = SF.replace("sf0.001", "sf0.1")
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
