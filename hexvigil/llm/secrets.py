@@ -23,10 +23,13 @@ KINDS = ("assign", "access", "hex", "guess")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-#: Other places where a credential stands: further names, the password of an address, an authorisation header.
+#: Other places where a credential stands: further names, the password of an address, an authorisation header.  A name
+#: may be part of a longer one (DB_PASSWORD_2, redisPassword, dbpass), but not of an English word; "is" follows whole words.
 _NAMED = re.compile(
-    r"""\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private|client|auth)[_-]?(?:key|token|secret))\b"""
-    r"""["']?[\x20\t]*(?:[:=]|=>|is)[\x20\t]*["'`]?([!#-&(-_a-~]{6,})""",
+    r"""((?<![A-Za-z]))?(?:(?<!com)(?<!by)(?<!tres)(?<!sur)pass|pass(?:word|wd|phrase|code)|pwd|secret(?:key)?|token"""
+    r"""|(?:api|access|private|client|auth)[_.-]?(?:key|token|secret))s?"""
+    r"""(?:[_.-]{0,4}[0-9]{1,64}+|[_.-]{1,4}[A-Za-z0-9]{1,64}+|(?-i:(?<=[a-z0-9])[A-Z]{1,64}[a-z0-9]{0,64}+)){0,32}+"""
+    r"""["']?[\x20\t]*(?:[:=]|=>|(?(1)\bis))[\x20\t]*["'`]?([!#-&(-_a-~]{6,})""",
     re.A | re.I,
 )
 _ADDRESS = re.compile(r"://[^\s:/@]+:([^\s@/]{6,})@")
@@ -117,7 +120,7 @@ def guessed_spans(text: str, taken: list[tuple[int, str, int]], bits: float) ->
     out = set()
     for pattern in (_NAMED, _ADDRESS, _HEADER):
         for m in pattern.finditer(text):
-            a, b = m.span(1)
+            a, b = m.span(m.lastindex)
             if all(b <= x or a >= y for x, _, y in taken) and guess_bits(text[a:b]) >= bits:
                 out.add((a, "guess", b))
     kept: list[tuple[int, str, int]] = []

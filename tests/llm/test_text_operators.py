@@ -324,6 +324,28 @@ def test_guessed_values_and_redaction(spark):
     assert clean[1]["n_chars"] == len(clean[1]["text"]) and clean[2]["text"] is None and clean[3]["n_chars"] == 5
 
 
+@pytest.mark.parametrize(
+    ("text", "value"),
+    [
+        ("AWS_SECRET_ACCESS_KEY=wJ4lrXUtnFEMI7K9MDENGbPxRfiCYzz", "wJ4lrXUtnFEMI7K9MDENGbPxRfiCYzz"),
+        ("DB_PASS=Xk93vLp0Zt7wQqR", "Xk93vLp0Zt7wQqR"),
+        ("db_pwd: Xk93vLp0Zt7wQqR", "Xk93vLp0Zt7wQqR"),
+        ("DB_PASSWORD=x!9$kQ#2vLp0Zt7w", "x!9$kQ#2vLp0Zt7w"),
+        ('redisPassword: "x!9$kQ#2vLp0"', "x!9$kQ#2vLp0"),
+        ("password1 = x!9$kQ#2vLp0", "x!9$kQ#2vLp0"),
+        ("dbpass=Xk93vLp0Zt7wQqR", "Xk93vLp0Zt7wQqR"),
+        ("spring.datasource.password.prod = x!9$kQ#2vLp0", "x!9$kQ#2vLp0"),
+        ("DB_PASS=changeme", None),
+        ("compass: northwesterly", None),
+        ("secretary: Johannesburg", None),
+        ("trespass is unconstitutional", None),
+    ],
+)
+def test_credential_names_inside_longer_ones(text, value):
+    base = secrets.base_spans(text)
+    assert base == [] and [text[a:b] for a, _, b in secrets.guessed_spans(text, base, secrets.BITS)] == ([value] if value else [])
+
+
 def test_secret_scan_of_table_and_awkward_rows(spark):
     docs = read(spark, "documents").select("doc_id", "text").collect()
     found = {r["doc_id"]: r for r in plans.op7_secrets(spark, SF).collect()}
