@@ -1,7 +1,7 @@
 """Near-duplicate embeddings by sorted projection passes.
 
 Each pass orders the vectors of a label lexicographically by the sign bits of random projections, a pass's bits being
-new ones.  The order is cut into even slices, each with the slice before it, and a window slides over the sorted rows:
+new ones, and there are as many as the labels need (``_enough``).  The order is cut into even slices, each with the slice before it, and a window slides over the sorted rows:
 a row is compared with the rows of its own and the previous window, in matrix products.  Verified pairs of all passes
 unite to components, and within each component all members are compared in blocks, so that links are counted in full
 whether or not a window met them.  Equal vectors are one point.
@@ -9,7 +9,7 @@ whether or not a window met them.  Equal vectors are one point.
 
 from __future__ import annotations
 
-from math import ceil
+from math import ceil, log, pi
 
 import numpy as np
 import pandas as pd
@@ -21,7 +21,8 @@ from hexvigil.llm.vectors import common_length, cuts, local_roots, stacked, usab
 from hexvigil.session import cut_lineage
 
 COSINE = 0.93
-PASSES = 16
+#: Passes at least, and the share of pairs at the threshold that all passes together may miss.
+PASSES, MISSED = 16, 0.001
 #: Key of a row in a pass: label hash, sign bits, and a hash of the id that tells rows with equal bits apart.
 LABEL_BITS, SIGN_BITS, TIE_BITS = 18, 30, 15
 WINDOW = 512
@@ -32,14 +33,50 @@ BLOCK, BUNDLE = 1024, 8192
 SEED = 5
 
 
+def _units(vectors, length: int) -> np.ndarray:
+    vectors = np.array(vectors.tolist(), np.float64).reshape(len(vectors), length)
+    vectors = vectors / np.abs(vectors).max(1, initial=0, keepdims=True)  # no overflow in the norm
+    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+
+
+def _totals(length: int):
+    """For each label of a batch the sum of its unit vectors, and how many they are as one more component."""
+
+    def run(batches):
+        for batch in batches:
+            codes, labels = pd.factorize(batch["label"])
+            sums = np.zeros((len(labels), length + 1))
+            np.add.at(sums, codes, np.c_[_units(batch["vector"], length), np.ones(len(batch))])
+            yield pd.DataFrame({"label": np.asarray(labels, np.int64), "sums": list(sums)})
+
+    return run
+
+
+def _enough(points: DataFrame, length: int, cosine: float, passes: int, window: int) -> int:
+    """``passes``, or as many as miss at most ``MISSED`` of the pairs at the threshold in any label.
+
+    Around a mean of squared length c, vectors at ``cosine`` are at (cosine - c) / (1 - c), and a sign bit tells them
+    apart with their angle over pi.  They share a window if the bits agree that cut the label down to a window.  Labels
+    of one window are met whole, and where even c reaches the threshold, nearly all vectors link.
+    """
+    sums = points.select("label", "vector").mapInPandas(_totals(length), "label long, sums array<double>")
+    sums = sums.select("label", F.posexplode("sums").alias("at", "v")).groupBy("label", "at").agg(F.sum("v").alias("v"))
+    size = F.max(F.when(F.col("at") == length, F.col("v")))
+    square = F.sum(F.when(F.col("at") < length, F.col("v") * F.col("v")))
+    found = sums.groupBy("label").agg(size.alias("n"), square.alias("s")).filter(F.col("n") > window)
+    found = found.withColumn("c", F.col("s") / (F.col("n") * F.col("n"))).filter(F.col("c") < cosine)
+    agree = 1 - F.acos((F.lit(cosine) - F.col("c")) / (1 - F.col("c"))) / pi
+    shared = F.pow(agree, F.log2(F.col("n") / window))
+    most = found.agg(F.max(F.ceil(log(MISSED) / F.log1p(-shared)))).first()[0]
+    return max(passes, int(most or 0))
+
+
 def _keyer(length: int, passes: int):
     def run(batches):
         turns = np.random.default_rng(SEED).standard_normal((passes, length, SIGN_BITS))
         weights = 1 << np.arange(SIGN_BITS - 1, -1, -1, dtype=np.int64)
         for batch in batches:
-            vectors = np.array(batch["vector"].tolist(), np.float64).reshape(len(batch), length)
-            vectors = vectors / np.abs(vectors).max(1, initial=0, keepdims=True)  # no overflow in the norm
-            vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+            vectors = _units(batch["vector"], length)
             tie = (mix(batch["rep"].to_numpy().astype(np.uint64)) >> np.uint64(64 - TIE_BITS)).astype(np.int64)
             label = (mix(batch["label"].to_numpy().astype(np.uint64)) >> np.uint64(64 - LABEL_BITS)).astype(np.int64)
             keys = [
@@ -109,7 +146,7 @@ def link_vectors(rows: DataFrame, cosine: float = COSINE, passes: int = PASSES,
     reach, ``kept`` tells whether it is the row's own.  Rows with a null id or label, or a vector that is null, zero,
     holds null or non-finite components, or has another than the commonest length link with nothing; a null id has a
     null component and is kept.  Rows that repeat an id and a vector count as other rows and are all kept if its
-    component is theirs.
+    component is theirs.  Large labels get more than ``passes`` passes.
     """
     rows = rows.select(
         F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"), F.col("label").cast("long").alias("label")
@@ -118,6 +155,7 @@ def link_vectors(rows: DataFrame, cosine: float = COSINE, passes: int = PASSES,
     length = common_length(part, "vector")
     part = part.filter(F.size("vector") == length)
     points = cut_lineage(part.groupBy("label", "vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
+    passes = _enough(points, length, cosine, passes, window)
     keyed = cut_lineage(
         points.mapInPandas(_keyer(length, passes), "label long, vector binary, rep long, n long, keys array<long>")
     )

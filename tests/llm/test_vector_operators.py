@@ -118,5 +118,20 @@ def test_links_in_groups_of_copies(spark, monkeypatch, small):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"] or r["vec_id"] is None) for r in found)
 
 
+def test_links_in_a_label_of_many_windows_off_the_origin(spark):
+    rng, n, pairs, mean, cosine = np.random.default_rng(8), 3000, 150, 0.8, 0.935
+    z = rng.standard_normal((n, 63))
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    near, rho = rng.standard_normal((pairs, 63)), (cosine - mean) / (1 - mean)
+    near -= (near * z[:pairs]).sum(1, keepdims=True) * z[:pairs]
+    near /= np.linalg.norm(near, axis=1, keepdims=True)
+    z[pairs : 2 * pairs] = rho * z[:pairs] + np.sqrt(1 - rho * rho) * near
+    x = np.c_[np.full(n, np.sqrt(mean)), np.sqrt(1 - mean) * z] @ np.linalg.qr(rng.standard_normal((64, 64)))[0]
+    links = (x @ x.T >= 0.93).sum(1) - 1
+    rows = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], SCHEMA)
+    found = {r["vec_id"]: r["n_links"] for r in vector_dedup.link_vectors(rows, window=16).collect()}
+    assert links.sum() >= 2 * pairs and sum(found.values()) >= 0.99 * links.sum()
+
+
 def test_links_of_empty_table(spark):
     assert vector_dedup.link_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
