@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hexvigil.llm import mixing
+from hexvigil.llm import centroids, mixing
 from hexvigil.llm.ann import nearest
 from hexvigil.llm.common import table
 from hexvigil.llm.langid import learn_and_identify
@@ -60,6 +60,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    assigned, found = centroids.cluster_vectors(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+    return centroids.with_inertia(assigned, found)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # at the top of the repository; its stages import this subpackage
 
@@ -77,9 +82,10 @@ QUERIES = {
     "op8_minhash": op8_minhash,
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
+    "op11_centroids": op11_centroids,
     "pipeline": pipeline,
 }
-ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE, "op11_centroids": centroids.ORACLE}
 
 
 def queries():
