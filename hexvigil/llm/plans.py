@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hexvigil.llm import centroids, mixing
+from hexvigil.llm import centroids, divergence, mixing
 from hexvigil.llm.ann import nearest
 from hexvigil.llm.common import table
 from hexvigil.llm.langid import learn_and_identify
@@ -65,6 +65,10 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.with_inertia(assigned, found)
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents", "text", "lang", "source"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # at the top of the repository; its stages import this subpackage
 
@@ -83,9 +87,10 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
     "op11_centroids": op11_centroids,
+    "op12_divergence": op12_divergence,
     "pipeline": pipeline,
 }
-ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE, "op11_centroids": centroids.ORACLE}
+ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE, "op11_centroids": centroids.ORACLE, "op12_divergence": divergence.ORACLE}
 
 
 def queries():
