@@ -9,6 +9,7 @@ from hexvigil.llm.ann import nearest
 from hexvigil.llm.common import table
 from hexvigil.llm.langid import learn_and_identify
 from hexvigil.llm.minhash import near_duplicates
+from hexvigil.llm.ngram_lm import score_texts
 from hexvigil.llm.packing import best_fit
 from hexvigil.llm.pii import find_pii
 from hexvigil.llm.quality import score_quality
@@ -69,6 +70,10 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents", "text", "lang", "source"))
 
 
+def op13_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # at the top of the repository; its stages import this subpackage
 
@@ -88,6 +93,7 @@ QUERIES = {
     "op10_packing": op10_packing,
     "op11_centroids": op11_centroids,
     "op12_divergence": op12_divergence,
+    "op13_language_model": op13_language_model,
     "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE, "op11_centroids": centroids.ORACLE, "op12_divergence": divergence.ORACLE}
