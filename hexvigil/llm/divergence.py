@@ -1,6 +1,6 @@
 """Source divergence audit: how far the sources of a language lie from each other and which terms set one apart.
 
-Terms of all documents are written once, parted by language.  For each language a CountVectorizer keeps the terms of
+Documents are written once, parted by language, and cut into terms batch by batch.  For each language a CountVectorizer keeps the terms of
 enough documents, without a cap on their number, and gives every document an exact sparse vector; vectors are summed
 by source inside the tasks and the sums added up by Spark.  Pairs of sources are then evaluated sparsely, terms dealt
 out by hash: a shard of terms meets each pair only where one of the two has the term, the rest of the vocabulary adds
@@ -20,7 +20,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -42,9 +42,27 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _NONE = "\0"
 
 
-def terms(text: str = "text") -> Column:
-    """All terms of a text, A-Z lower-cased."""
-    return F.regexp_extract_all(F.translate(F.coalesce(F.col(text), F.lit("")), _UPPER, _LOWER), F.lit(TERM), F.lit(0))
+#: By byte: A-Z as a-z, all that no term holds as a space, the rest as it is.
+_TABLE = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c > 0x7F or 0x61 <= c <= 0x7A else 0x20 for c in range(256))
+
+
+def _split(batches):
+    """(source, terms) of (source, text): a batch's bytes are translated at once, then cut at spaces."""
+    for batch in batches:
+        text = batch.column("text").cast(pa.string())
+        _, offsets, data = text.buffers()
+        clean = pa.StringArray.from_buffers(len(text), offsets, pa.py_buffer((data.to_pybytes() if data else b"").translate(_TABLE)), offset=text.offset)
+        words = pc.ascii_split_whitespace(clean)
+        values, owner = pc.list_flatten(words), pc.list_parent_indices(words)
+        real = pc.greater(pc.binary_length(values), 0)
+        each = np.bincount(owner.filter(real).to_numpy(), minlength=len(text))
+        ends = pa.array(np.concatenate([[0], np.cumsum(each)]), pa.int32())
+        yield pa.RecordBatch.from_arrays([batch.column("source"), pa.ListArray.from_arrays(ends, values.filter(real))], ["source", "terms"])
+
+
+def terms(docs: DataFrame) -> DataFrame:
+    """(source, terms) of (source, text) without nulls: all terms of each text, A-Z lower-cased."""
+    return docs.select("source", "text").mapInArrow(_split, "source string, terms array<string>")
 
 
 def _sums(batches):
@@ -110,15 +128,15 @@ def term_counts(docs: DataFrame, min_docs: int = MIN_DOCS, shard_terms: int = SH
     A null text, lang or source counts as ''.  Repeated rows are documents of their own.
     """
     spark = docs.sparkSession
-    path, out = scratch_path(spark, "terms"), scratch_path(spark, "term-counts")
-    named = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), terms().alias("terms"))
+    path, out = scratch_path(spark, "languages"), scratch_path(spark, "term-counts")
+    named = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")])
     named = named.withColumn("folder", F.concat(F.lit("l"), F.sha1(F.col("lang").cast("binary"))))
     named.write.partitionBy("folder").parquet(path)
-    written = spark.read.parquet(path)
-    distinct = written.select("lang", "folder", F.explode_outer("terms").alias("term")).groupBy("lang", "folder")
+    written = spark.read.schema("lang string, source string, text string, folder string").parquet(path)
     sizes = {}
-    for lang, folder, n in distinct.agg(F.approx_count_distinct("term")).collect():
-        own = spark.read.parquet(f"{path}/folder={folder}").select("source", "terms")
+    for lang, folder in written.select("lang", "folder").distinct().collect():
+        own = terms(spark.read.parquet(f"{path}/folder={folder}"))
+        n = own.select(F.explode("terms").alias("term")).agg(F.approx_count_distinct("term")).first()[0]
         sizes[lang] = _vectorized(own, lang, min_docs, shard_terms, n, out)
     schema = "lang string, source string, term string, n long"
     counts = spark.read.schema(schema).parquet(out) if sizes else spark.createDataFrame([], schema)
