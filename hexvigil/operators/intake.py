@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hexvigil import dims
 from hexvigil.functions.bind import once
+from hexvigil.functions.phrases import containing
 from hexvigil.functions.scrub import strip_html, unescape_html
 
 # ---------------------------------------------------------------------------
@@ -217,19 +220,10 @@ FRAMEWORK_ALIASES = [
 PASSING_STATUSES = ["passing", "pass", "passed", "compliant", "met", "true", "yes", "1"]
 
 # Entries of a dictionary that are carried inside an expression at a time.
-DICTIONARY_BLOCK = 20_000
 
 # ---------------------------------------------------------------------------
 
 
-def dictionary_blocks(entries: DataFrame, key: str) -> list[DataFrame]:
-    """``entries`` in blocks of about ``DICTIONARY_BLOCK`` rows; a dictionary of any size is gone through block by block."""
-    blocks = -(-entries.count() // DICTIONARY_BLOCK)
-    if blocks < 2:
-        return [entries]
-    return [entries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == i) for i in range(blocks)]
-
-
 def _literals(items) -> Column:
     return F.array(*[F.lit(i) for i in items])
 
@@ -684,51 +678,46 @@ def community_corpus(
 
 
 def match_tools(tools: DataFrame, registry: DataFrame, aliases: list[tuple[str, str]] = TOOL_ALIASES) -> DataFrame:
-    """IN24: vendor id of every distinct tool name by seven rules in order of priority.
+    """IN24: vendor id and rule of every distinct tool name, by seven rules in order of priority; null where none holds.
 
-    A block of the registry is carried as one array, so a tool is matched inside its own row
-    and no pair of tool and vendor is ever built; the best rule of all blocks wins.
+    Equal names (rules 1 and 3) and the few aliases (2 and 5) meet in equi-joins and literals.  A display name that holds
+    the tool's (4) and ids that the tool's name holds (6, with spaces for dashes 7) are found through an index of
+    character n-grams, so work follows the matches and neither table is carried whole.  Of several vendors of a rule the
+    smallest id counts, of aliases the first.
     """
+    distinct = tools.select("tool").where(F.trim("tool") != "").distinct().withColumn("name", F.lower(F.trim("tool")))
+    names = distinct.select("name").distinct()
     low = F.lower("vendor_id")
-    entry = F.struct(
-        F.col("vendor_id").alias("id"),
-        low.alias("low"),
-        F.replace(low, F.lit("-"), F.lit(" ")).alias("spaced"),
-        F.lower("display_name").alias("display"),
+    keyed = registry.select(
+        "vendor_id", low.alias("low"), F.replace(low, F.lit("-"), F.lit(" ")).alias("spaced"), F.lower("display_name").alias("display")
     )
-    alias_list = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(v).alias("id")) for a, v in aliases])
-    name = F.col("__name")
-    vendors = F.col("__v")
-    tests = [
-        (vendors, lambda e: e.getField("low") == name),
-        (alias_list, lambda e: e.getField("a") == name),
-        (vendors, lambda e: e.getField("display") == name),
-        (vendors, lambda e: F.contains(e.getField("display"), name)),
-        (alias_list, lambda e: F.contains(name, e.getField("a"))),
-        (vendors, lambda e: F.contains(name, e.getField("low"))),
-        (vendors, lambda e: F.contains(name, e.getField("spaced"))),
-    ]
 
-    def first(items: Column, test, rule: int) -> Column:
-        hits = F.transform(
-            F.filter(items, test), lambda e: F.struct(F.lit(rule).alias("rule"), e.getField("id").alias("vendor_id"))
-        )
-        return F.try_element_at(hits, F.lit(1))
-
-    distinct = tools.select("tool").where(F.trim("tool") != "").distinct()
-    best = F.coalesce(*[first(items, test, i) for i, (items, test) in enumerate(tests, 1)])
-    matched = None
-    for block in dictionary_blocks(registry, "vendor_id"):
-        listed = block.agg(F.array_sort(F.collect_list(entry))).scalar()
-        found = distinct.select("tool", F.lower(F.trim("tool")).alias("__name"), listed.alias("__v")).select(
-            "tool", best.alias("__m")
-        )
-        if matched is not None:
-            found = matched.join(found.withColumnRenamed("__m", "__n"), "tool").select(
-                "tool", F.least("__m", "__n").alias("__m")
-            )
-        matched = found
-    return matched.select("tool", "__m.vendor_id", "__m.rule")
+    def smallest(column: str) -> DataFrame:
+        return keyed.groupBy(F.col(column).alias("key")).agg(F.min("vendor_id").alias("vendor_id"))
+
+    def hits(found: DataFrame, rule: int, place: Column | None = None) -> DataFrame:
+        return found.select("name", F.struct(F.lit(rule).alias("rule"), (F.lit(0) if place is None else place).alias("place"), "vendor_id").alias("hit"))
+
+    def by_alias(rule: int, test) -> DataFrame:
+        options = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(a).alias("a"), F.lit(v).alias("vendor_id")) for i, (a, v) in enumerate(aliases)])
+        first = F.try_element_at(F.filter(options, lambda e: test(e.getField("a"))), F.lit(1))
+        found = names.select("name", first.alias("e")).where("e is not null").select("name", "e.place", "e.vendor_id")
+        return hits(found, rule, F.col("place"))
+
+    def equal(column: str) -> DataFrame:
+        return names.join(smallest(column).withColumnRenamed("key", "name"), "name")
+
+    inside = containing(keyed.select(F.col("display").alias("long")), names.select(F.col("name").alias("short")))
+    inside = inside.withColumnsRenamed({"long": "key", "short": "name"}).join(smallest("display"), "key")
+    every = [hits(equal("low"), 1), hits(equal("display"), 3), hits(inside, 4)]
+    if aliases:
+        name = F.col("name")
+        every += [by_alias(2, lambda a: a == name), by_alias(5, lambda a: F.contains(name, a))]
+    for rule, column in ((6, "low"), (7, "spaced")):
+        part = containing(names.select(F.col("name").alias("long")), keyed.select(F.col(column).alias("short")))
+        every.append(hits(part.withColumnsRenamed({"long": "name", "short": "key"}).join(smallest(column), "key"), rule))
+    best = reduce(DataFrame.unionByName, every).groupBy("name").agg(F.min("hit").alias("hit"))
+    return distinct.join(best, "name", "left").select("tool", F.col("hit.vendor_id"), F.col("hit.rule"))
 
 
 def framework_coverage(controls: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hexvigil.operators.intake import dictionary_blocks
+from hexvigil.functions.phrases import phrases_in
 
 
 def evidence_table(technique_map: DataFrame) -> DataFrame:
@@ -43,19 +43,17 @@ def technique_relevance(
     """Score of every technique a text gives evidence for, the ``top`` best per text.
 
     Each text is read whole.  Its distinct words meet the words of the techniques in an
-    equi-join.  Phrases may begin and end inside a word, so they are looked for in the text
-    itself, a block of the dictionary at a time; a dictionary of one block takes one pass.
+    equi-join.  Phrases may begin and end inside a word, so an automaton of all of them reads
+    the text itself once.
     """
     evidence = evidence_table(technique_map)
     low = F.lower(text)
-    found = texts.select(
+    words = texts.select(
         key, F.lit("word").alias("kind"), F.explode(F.array_distinct(F.split(F.trim(low), r"\s+"))).alias("__key")
     )
-    for block in dictionary_blocks(evidence.where("kind = 'phrase'").select("key").distinct(), "key"):
-        phrases = block.agg(F.collect_set("key")).scalar()
-        held = texts.select(key, low.alias("__low"), phrases.alias("__phrases"))
-        hits = F.filter("__phrases", lambda p: F.contains(F.col("__low"), p))
-        found = found.unionByName(held.select(key, F.lit("phrase").alias("kind"), F.explode(hits).alias("__key")))
+    dictionary = evidence.where("kind = 'phrase'").select(F.col("key").alias("phrase"))
+    held = phrases_in(texts.select(key, low.alias("__low")), [key], "__low", dictionary)
+    found = words.unionByName(held.select(key, F.lit("phrase").alias("kind"), F.col("phrase").alias("__key")))
     scored = (
         found.join(evidence.withColumnRenamed("key", "__key"), ["kind", "__key"])
         .groupBy(key, "technique_id")
