@@ -36,6 +36,8 @@ SHARD_TERMS = 2_000_000
 SHARD_ROWS, BLOCK = 100_000, 256
 #: Entries of sparse vectors that a task adds up before it hands sums on.
 BUFFER = 1_000_000
+#: Bytes of text that a task cuts into terms at a time.
+SLICE = 4_000_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A term that no text holds, so that a vocabulary is never empty.
@@ -46,18 +48,31 @@ _NONE = "\0"
 _TABLE = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c > 0x7F or 0x61 <= c <= 0x7A else 0x20 for c in range(256))
 
 
+def _slices(text: pa.Array):
+    """(from, to) rows of about SLICE bytes, one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(text):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, "right")))
+        yield at, to
+        at = to
+
+
 def _split(batches):
-    """(source, terms) of (source, text): a batch's bytes are translated at once, then cut at spaces."""
+    """(source, terms) of (source, text): some MB of bytes are translated at once, then cut at spaces."""
     for batch in batches:
-        text = batch.column("text").cast(pa.string())
-        _, offsets, data = text.buffers()
-        clean = pa.StringArray.from_buffers(len(text), offsets, pa.py_buffer((data.to_pybytes() if data else b"").translate(_TABLE)), offset=text.offset)
-        words = pc.ascii_split_whitespace(clean)
-        values, owner = pc.list_flatten(words), pc.list_parent_indices(words)
-        real = pc.greater(pc.binary_length(values), 0)
-        each = np.bincount(owner.filter(real).to_numpy(), minlength=len(text))
-        ends = pa.array(np.concatenate([[0], np.cumsum(each)]), pa.int32())
-        yield pa.RecordBatch.from_arrays([batch.column("source"), pa.ListArray.from_arrays(ends, values.filter(real))], ["source", "terms"])
+        whole = batch.column("text").cast(pa.string())
+        for at, to in _slices(whole):
+            text = pa.concat_arrays([whole.slice(at, to - at)])
+            _, offsets, data = text.buffers()
+            clean = pa.StringArray.from_buffers(len(text), offsets, pa.py_buffer((data.to_pybytes() if data else b"").translate(_TABLE)))
+            words = pc.ascii_split_whitespace(clean)
+            values, owner = pc.list_flatten(words), pc.list_parent_indices(words)
+            real = pc.greater(pc.binary_length(values), 0)
+            each = np.bincount(owner.filter(real).to_numpy(), minlength=len(text))
+            ends = pa.array(np.concatenate([[0], np.cumsum(each)]), pa.int32())
+            parts = [batch.column("source").slice(at, to - at), pa.ListArray.from_arrays(ends, values.filter(real))]
+            yield pa.RecordBatch.from_arrays(parts, ["source", "terms"])
 
 
 def terms(docs: DataFrame) -> DataFrame:
