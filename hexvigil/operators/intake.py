@@ -219,8 +219,6 @@ FRAMEWORK_ALIASES = [
 ]
 PASSING_STATUSES = ["passing", "pass", "passed", "compliant", "met", "true", "yes", "1"]
 
-# Entries of a dictionary that are carried inside an expression at a time.
-
 # ---------------------------------------------------------------------------
 
 
