@@ -34,10 +34,10 @@ TOP_TERMS = 200
 SHARD_TERMS = 2_000_000
 #: Rows (source, term) of one task of the evaluation, and sources that one task compares with all others.
 SHARD_ROWS, BLOCK = 100_000, 256
-#: Entries of sparse vectors that a task adds up before it hands sums on.
-BUFFER = 1_000_000
+#: Sums by source and term that a task holds before it hands them on.
+BUFFER = 1_500_000
 #: Bytes of text that a task cuts into terms at a time.
-SLICE = 4_000_000
+SLICE = 2_000_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A term that no text holds, so that a vocabulary is never empty.
@@ -59,7 +59,10 @@ def _slices(text: pa.Array):
 
 
 def _split(batches):
-    """(source, terms) of (source, text): some MB of bytes are translated at once, then cut at spaces."""
+    """(source, terms, fresh) of (source, text): some MB of bytes are translated at once, then cut at spaces.
+
+    ``fresh`` lists the distinct terms of such a slice at its first row, all that counting distinct ones needs.
+    """
     for batch in batches:
         whole = batch.column("text").cast(pa.string())
         for at, to in _slices(whole):
@@ -71,48 +74,64 @@ def _split(batches):
             real = pc.greater(pc.binary_length(values), 0)
             each = np.bincount(owner.filter(real).to_numpy(), minlength=len(text))
             ends = pa.array(np.concatenate([[0], np.cumsum(each)]), pa.int32())
-            parts = [batch.column("source").slice(at, to - at), pa.ListArray.from_arrays(ends, values.filter(real))]
-            yield pa.RecordBatch.from_arrays(parts, ["source", "terms"])
+            values = values.filter(real)
+            once = values.unique()
+            fresh = pa.ListArray.from_arrays(pa.array([0, *[len(once)] * len(text)], pa.int32()), once)
+            parts = [batch.column("source").slice(at, to - at), pa.ListArray.from_arrays(ends, values), fresh]
+            yield pa.RecordBatch.from_arrays(parts, ["source", "terms", "fresh"])
 
 
 def terms(docs: DataFrame) -> DataFrame:
-    """(source, terms) of (source, text) without nulls: all terms of each text, A-Z lower-cased."""
-    return docs.select("source", "text").mapInArrow(_split, "source string, terms array<string>")
-
-
-def _sums(batches):
-    """Sums of the sparse vectors of each source, handed on whenever BUFFER entries have come together."""
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    sources: dict[str, int] = {}
-    size = 0
+    """(source, terms, fresh) of (source, text) without nulls: all terms of each text, A-Z lower-cased."""
+    return docs.select("source", "text").mapInArrow(_split, "source string, terms array<string>, fresh array<string>")
+
+
+def _merged(parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    number, place, count = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((place, number))
+    number, place = number[order], place[order]
+    first = np.flatnonzero((np.diff(number, prepend=-1) != 0) | (np.diff(place, prepend=-1) != 0))
+    return number[first], place[first], np.add.reduceat(count[order], first) if len(first) else count
+
+
+def _summing(limit: int):
+    """Sums of the sparse vectors of each source, merged as they come and handed on beyond ``limit`` entries."""
+
+    def run(batches):
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        sources: dict[str, int] = {}
+        size = least = 0
+
+        def flush(number, place, n):
+            for at in range(0, len(number), 100_000):
+                names = pa.array(list(sources)).take(pa.array(number[at : at + 100_000]))
+                yield pa.RecordBatch.from_arrays(
+                    [names, pa.array(place[at : at + 100_000], pa.int64()), pa.array(n[at : at + 100_000])], ["source", "place", "n"]
+                )
+
+        for batch in batches:
+            vector = batch.column("vector")
+            vector = getattr(vector, "storage", vector)
+            index, value = vector.field("indices"), vector.field("values")
+            each = pc.list_value_length(index).to_numpy(zero_copy_only=False)
+            coded = batch.column("source").dictionary_encode()
+            numbers = np.array([sources.setdefault(x, len(sources)) for x in coded.dictionary.to_pylist()], np.int32)
+            number = np.repeat(numbers[coded.indices.to_numpy()], each)
+            place = pc.list_flatten(index).to_numpy()
+            count = pc.list_flatten(value).to_numpy().astype(np.int64)
+            for at in range(0, len(number), limit):
+                held.append((number[at : at + limit], place[at : at + limit], count[at : at + limit]))
+                size += len(held[-1][0])
+                if size >= least + limit:
+                    held = [_merged(held)]
+                    size = least = len(held[0][0])
+                    if size >= limit:
+                        yield from flush(*held[0])
+                        held, size, least = [], 0, 0
+        if held:
+            yield from flush(*_merged(held))
 
-    def flush():
-        number, place, count = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((place, number))
-        number, place = number[order], place[order]
-        first = np.flatnonzero((np.diff(number, prepend=-1) != 0) | (np.diff(place, prepend=-1) != 0))
-        names = pa.array(list(sources)).take(pa.array(number[first]))
-        n = np.add.reduceat(count[order], first) if len(first) else count
-        return pa.RecordBatch.from_arrays([names, pa.array(place[first]), pa.array(n)], ["source", "place", "n"])
-
-    for batch in batches:
-        vector = batch.column("vector")
-        vector = getattr(vector, "storage", vector)
-        index, value = vector.field("indices"), vector.field("values")
-        each = pc.list_value_length(index).to_numpy(zero_copy_only=False)
-        coded = batch.column("source").dictionary_encode()
-        numbers = np.array([sources.setdefault(x, len(sources)) for x in coded.dictionary.to_pylist()], np.int64)
-        number = np.repeat(numbers[coded.indices.to_numpy()], each)
-        place = pc.list_flatten(index).to_numpy().astype(np.int64)
-        count = pc.list_flatten(value).to_numpy().astype(np.int64)
-        for at in range(0, len(number), BUFFER):
-            held.append((number[at : at + BUFFER], place[at : at + BUFFER], count[at : at + BUFFER]))
-            size += len(held[-1][0])
-            if size >= BUFFER:
-                yield flush()
-                held, size = [], 0
-    if held:
-        yield flush()
+    return run
 
 
 def _vectorized(docs: DataFrame, lang: str, min_docs: int, shard_terms: int, distinct: int, path: str) -> int:
@@ -129,7 +148,7 @@ def _vectorized(docs: DataFrame, lang: str, min_docs: int, shard_terms: int, dis
         vocabulary = spark.createDataFrame(
             pd.DataFrame({"place": np.arange(len(model.vocabulary)), "term": model.vocabulary}), "place long, term string"
         )
-        sums = model.transform(some).select("source", "vector").mapInArrow(_sums, "source string, place long, n long")
+        sums = model.transform(some).select("source", "vector").mapInArrow(_summing(BUFFER), "source string, place long, n long")
         sums = sums.groupBy("source", "place").agg(F.sum("n").alias("n"))
         named = sums.join(vocabulary, "place").select(F.lit(lang).alias("lang"), "source", "term", "n")
         named.write.mode("append").parquet(path)
@@ -150,9 +169,11 @@ def term_counts(docs: DataFrame, min_docs: int = MIN_DOCS, shard_terms: int = SH
     written = spark.read.schema("lang string, source string, text string, folder string").parquet(path)
     sizes = {}
     for lang, folder in written.select("lang", "folder").distinct().collect():
-        own = terms(spark.read.parquet(f"{path}/folder={folder}"))
-        n = own.select(F.explode("terms").alias("term")).agg(F.approx_count_distinct("term")).first()[0]
-        sizes[lang] = _vectorized(own, lang, min_docs, shard_terms, n, out)
+        cut = f"{path}-terms/{folder}"
+        terms(spark.read.parquet(f"{path}/folder={folder}")).write.parquet(cut)
+        own = spark.read.parquet(cut)
+        n = own.select(F.explode("fresh").alias("term")).agg(F.approx_count_distinct("term")).first()[0]
+        sizes[lang] = _vectorized(own.select("source", "terms"), lang, min_docs, shard_terms, n, out)
     schema = "lang string, source string, term string, n long"
     counts = spark.read.schema(schema).parquet(out) if sizes else spark.createDataFrame([], schema)
     kept = spark.createDataFrame(list(sizes.items()), "lang string, kept long")

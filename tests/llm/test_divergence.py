@@ -75,7 +75,7 @@ def test_shared_awkward_rows_and_empty_tables(spark):
     assert op.audit(empty_docs(spark)).count() == 0
 
 
-def test_a_task_hands_sums_on_before_they_grow(spark, monkeypatch):
+def test_a_task_hands_sums_on_before_they_grow():
     """Sums of few entries at a time give the same counts."""
     import pyarrow as pa
 
@@ -84,9 +84,8 @@ def test_a_task_hands_sums_on_before_they_grow(spark, monkeypatch):
     )
     batch = pa.RecordBatch.from_arrays([pa.array(["a", "b", "a"]), vector], ["source", "vector"])
     for size in (1, 2, 100):
-        monkeypatch.setattr(op, "BUFFER", size)
         total = Counter()
-        for part in op._sums([batch, batch]):
+        for part in op._summing(size)([batch, batch]):
             for s, p, n in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 total[s, p] += n
         assert total == {("a", 0): 2, ("a", 3): 12, ("a", 5): 2, ("a", 6): 18}
