@@ -72,28 +72,34 @@ class Category(StatefulProcessor):
         kind, status, name, supporters, votes = self.row.get() if self.row.exists() else (None, "unknown", None, 0, 0)
         batch = pd.concat(list(rows)).sort_values(["ts", "proposer"], kind="stable")
         before = (status, supporters, votes)
+        due = self.due.get()[0] if self.due.exists() else None
         for event in batch.itertuples():
+            at = int(event.ts.timestamp() * 1000)
+            if due is not None and at > due:
+                status = "expired"
             if status in ("revealed", "expired"):
                 break
-            who = (event.proposer,)
+            who, news = (event.proposer,), False
             if event.category_type is not None:
                 kind = kind or event.category_type
-                if not self.proposers.containsKey(who):
+                if news := not self.proposers.containsKey(who):
                     self.proposers.updateValue(who, (True,))
                     supporters += 1
                 status = "threshold_met" if supporters >= self.threshold else "pending"
             elif status == "threshold_met" and self.proposers.containsKey(who) and not self.voters.containsKey(who):
                 self.voters.updateValue(who, (True,))
-                votes += 1
+                votes, news = votes + 1, True
                 if votes >= self.quorum:
                     status, name = "revealed", event.name
+            if news and self.expire_ms is not None:
+                due = at + self.expire_ms
         if (status, supporters, votes) == before:
             return
         self.row.update((kind, status, name, supporters, votes))
-        if status == "revealed":
+        if status in ("revealed", "expired"):
             self._forget()
-        elif self.expire_ms is not None:
-            self._rearm(int(batch["ts"].max().timestamp() * 1000) + self.expire_ms)
+        elif due is not None:
+            self._rearm(due)
         yield self._state(key, kind, supporters, status, votes, name)
 
     def _rearm(self, at: int) -> None:
@@ -131,8 +137,9 @@ def categories(events: DataFrame, output: str, threshold: int = 3, quorum: int =
     """The state of each category hash after every batch that changes it.
 
     An event looks up or adds one entry, however many proposers a hash has; any text names a proposer.  With
-    ``expire_ms`` (the stream then needs a watermark on ``ts``) a hash without news for so long of event time, and not
-    revealed, becomes ``expired`` and its entries are dropped; later events don't bring it back.
+    ``expire_ms`` (the stream then needs a watermark on ``ts``) a hash that gains no proposer or voter for so long of event
+    time, and is not revealed, becomes ``expired`` and its entries are dropped: when the watermark passes, or by the event
+    that comes later; events don't bring it back.
     """
     mode = "None" if expire_ms is None else "EventTime"
     return events.groupBy("category_hash").transformWithStateInPandas(Category(threshold, quorum, expire_ms), output, "Update", mode)

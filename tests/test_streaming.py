@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hexvigil.operators import activity, scores, secure
 from hexvigil.streaming import operators as ops
+from hexvigil.streaming.processors import PROVIDER, entry_state
 from hexvigil.streaming.runner import folder_stream, run_append, run_update
 
 START = dt.datetime(2024, 1, 1)
@@ -49,7 +50,8 @@ def test_category_machine_equals_batch(spark, tmp_path):
         )
 
     stream = folder_stream(spark, str(tmp_path / "in"), 1)
-    states = run_update(ops.category_states(ops.category_events(*split(stream))), "categories", ["category_hash"])
+    with entry_state(spark):
+        states = run_update(ops.category_states(ops.category_events(*split(stream))), "categories", ["category_hash"])
     cols = ["category_hash", "category_type", "supporters", "status", "reveal_votes", "revealed_name"]
     got = sorted(tuple(r[c] for c in cols) for r in states.collect())
     batch = sorted(tuple(r[c] for c in cols) for r in secure.blind_categories(*split(full)).collect())
@@ -57,6 +59,73 @@ def test_category_machine_equals_batch(spark, tmp_path):
     assert [tuple(map(str, g)) for g in got] == [tuple(map(str, b)) for b in batch]
 
 
+def category_rows(spark, rows):
+    """(name, proposer, minute, proposal, part) as category events with their part."""
+    df = spark.createDataFrame([(n, p, START + dt.timedelta(minutes=m), k, i) for n, p, m, k, i in rows], "name string, proposer string, ts timestamp, proposal boolean, part int")
+    return df.select(
+        secure.category_hash(F.col("name"), F.lit("s")).alias("category_hash"), F.when(F.col("proposal"), "tool").alias("category_type"),
+        F.when(~F.col("proposal"), F.col("name")).alias("name"), "proposer", "ts", "part",
+    )
+
+
+def test_any_text_names_a_proposer(spark, tmp_path):
+    """A proposer with a line feed is one proposer, the empty text is one too."""
+    events = category_rows(spark, [("a", "x\ny", 0, True, 0), ("a", "x", 1, True, 1), ("a", "", 2, True, 1), ("a", "x\ny", 3, False, 2), ("a", "y", 4, False, 2)])
+    write_parts(events, str(tmp_path / "in"), "part", 3)
+    with entry_state(spark):
+        (row,) = run_update(ops.category_states(folder_stream(spark, str(tmp_path / "in"), 1)), "categories", ["category_hash"]).collect()
+    assert (row.supporters, row.status, row.reveal_votes) == (3, "threshold_met", 1)
+    assert spark.conf.get(PROVIDER, None) != "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def test_categories_without_news_expire(spark, tmp_path):
+    """Hash a gets no news for an hour of event time and expires, b stays, c is revealed in time and stays revealed."""
+    rows = [("a", "p", 0, True, 0), ("b", "p", 0, True, 0), *[("c", f"p{i}", i, True, 0) for i in range(3)], ("c", "p0", 5, False, 0), ("c", "p1", 5, False, 0)]
+    rows += [("b", "q", 50, True, 1), ("d", "p", 100, True, 2), ("b", "r", 101, True, 3), ("a", "q", 102, True, 3), ("e", "p", 140, True, 4)]
+    write_parts(category_rows(spark, rows), str(tmp_path / "in"), "part", 5)
+    stream = folder_stream(spark, str(tmp_path / "in"), 1).withWatermark("ts", "1 minute")
+    with entry_state(spark):
+        found = run_update(ops.category_states(stream, expire_ms=3_600_000), "categories", ["category_hash"]).collect()
+    name = {r.category_hash: n for n in "abcde" for r in spark.range(1).select(secure.category_hash(F.lit(n), F.lit("s")).alias("category_hash")).collect()}
+    assert {name[r.category_hash]: (r.status, r.supporters) for r in found} == {
+        "a": ("expired", 1), "b": ("threshold_met", 3), "c": ("revealed", 3), "d": ("pending", 1), "e": ("pending", 1),
+    }
+
+
+def test_ledger_looks_up_only_its_batch(spark, tmp_path):
+    """Repeats are dropped however late they come, rows of the given ledger too; state rows updated follow the batch."""
+    rows = [("a", 0), ("b", 0), ("b", 0), ("known", 1), ("a", 1), ("c", 1), ("d", 2), ("b", 3), ("a", 3), ("known", 3)]
+    write_parts(spark.createDataFrame(rows, "text string, part int"), str(tmp_path / "in"), "part", 4)
+    ledger = spark.createDataFrame([("known",), ("known",), ("other",)], "text string").select(F.sha2("text", 256).alias("content_hash"))
+    items = ops.hashed_items(folder_stream(spark, str(tmp_path / "in"), 1), "text")
+    with entry_state(spark):
+        query = (
+            ops.new_to_ledger(items, ledger).writeStream.format("memory").queryName("ledger_batches").outputMode("append")
+            .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+    assert sorted(r.text for r in spark.table("ledger_batches").collect()) == ["a", "b", "c", "d"]
+    updated = [p.stateOperators[0].numRowsUpdated for p in query.recentProgress if p.numInputRows]
+    assert updated[1:] == [1, 1, 0]
+
+
+def test_live_alerts_match_earlier_files(spark, tmp_path):
+    """Bundles match those of earlier files and earlier ones of their own file, not themselves."""
+    rnd = random.Random(5)
+    rows = []
+    for c in range(60):
+        for _ in range(rnd.randint(1, 6)):
+            rows.append((c, rnd.choice(["hot", "hot", *"abcdefgh"]), rnd.choice(["ip", "url", "hash-md5"]), START + dt.timedelta(days=c // 4), c // 15))
+    df = spark.createDataFrame(rows, "contribution_id long, value_hash string, ioc_type string, received_at timestamp, part int")
+    write_parts(df, str(tmp_path / "in"), "part", 4)
+    got = run_append(ops.live_match_alerts(folder_stream(spark, str(tmp_path / "in"), 1)), "alerts")
+    expected = sorted((c, h, k, n) for c, h, k, *_ in rows if (n := sum(h2 == h and c2 < c for c2, h2, *_ in rows)))
+    assert sorted((r.contribution_id, r.value_hash, r.ioc_type, r.known_rows) for r in got.collect()) == expected
+    assert {tuple(r.actions) for r in got.where("ioc_type = 'ip'").select("actions").collect()} == {
+        ("critical:block_network_indicators", "high:hunt_related_activity")
+    }
+
+
 def test_daily_counts_and_late_rows(spark, tmp_path):
     days = [(START + dt.timedelta(hours=6 * i), i // 8) for i in range(40)]
     late = [(START + dt.timedelta(hours=1), 5)]
