@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from hexvigil import bridge
 from hexvigil.functions import scrub
 from hexvigil.functions.hashing import indicator_hash, row_hash
-from hexvigil.operators import digest
+from hexvigil.operators import commitments as log, digest
 from hexvigil.plans.registry import R, query, rounded
+from hexvigil.session import cut_lineage
 from hexvigil.plans.text import NOTES, CLEAN_SQL, hmac_row_sql, hmac_sql, with_sentence
 
 KEY = b"receipt-demo-key"
@@ -230,3 +231,57 @@ def attest_table(spark, sf):
         F.avg((F.col("o_custkey") % 90) / 100.0 + 0.05).alias("credibility"),
     )
     return digest.attest_table(stats, digest.merkle_root(lf.select("leaf_index", "leaf_hash")), KEY)
+
+
+PARTS = 3  # appends of the orders, in the order of their leaves
+
+
+def appended(spark, sf):
+    """The orders' leaves, committed in three appends: the nodes and the frontier after each."""
+    lf = cut_lineage(leaves(spark, sf).select(F.col("leaf_index").cast("long").alias("leaf_index"), "leaf_hash"))
+    total, frontier, nodes, seen = lf.count(), log.Frontier(), None, []
+    for part in range(PARTS):
+        low, high = total * part // PARTS, total * (part + 1) // PARTS
+        batch = lf.where((F.col("leaf_index") >= low) & (F.col("leaf_index") < high))
+        fresh, frontier = log.append_leaves(frontier, batch.select((F.col("leaf_index") - low).alias("place"), "leaf_hash"))
+        nodes = fresh if nodes is None else nodes.unionByName(fresh)
+        seen.append(frontier)
+    return nodes, seen
+
+
+PREFIX_SQL = LEAF_SQL.split(", nn AS")[0] + f""", cuts AS (SELECT p, (SELECT count(*) FROM orders) * p // {PARTS} AS n FROM range(1, {PARTS + 1}) r(p)),
+ sz AS (SELECT p, n, CAST(pow(2, ceil(log2(n))) AS BIGINT) AS s FROM cuts), t0 AS (SELECT p, i, h FROM lf JOIN cuts ON i < n UNION ALL SELECT p, unnest(range(n, s)), sha256('pad') FROM sz)"""
+for _k in range(1, LEVELS + 1):
+    PREFIX_SQL += f", t{_k} AS MATERIALIZED (SELECT p, i // 2 AS i, CASE WHEN count(*) = 2 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE any_value(h) END AS h FROM t{_k - 1} GROUP BY p, i // 2)"
+
+
+@query(
+    "h02_appended_roots",
+    f"""WITH {PREFIX_SQL} SELECT n AS leaf_count, h AS root, lag(h) OVER (ORDER BY n) AS earlier_root, CASE WHEN p > 1 THEN true END AS consistent FROM t{LEVELS} JOIN cuts USING (p)""",
+)
+def appended_roots(spark, sf):
+    """The root after each append, and whether the proof that it continues the one before holds."""
+    nodes, seen = appended(spark, sf)
+    rows = []
+    for old, new in zip([None, *seen], seen):
+        holds = None
+        if old is not None:
+            holds = log.is_consistent(log.consistency(old, new, nodes), old.count, old.root(), new.root())
+        rows.append((new.count, new.root(), old.root() if old else None, holds))
+    return spark.createDataFrame(rows, "leaf_count long, root string, earlier_root string, consistent boolean")
+
+
+@query(
+    "h03_appended_proofs",
+    f"""WITH {LEAF_SQL} SELECT lf.i AS leaf_index, h AS leaf_hash, CAST(ceil(log2(n)) AS BIGINT) AS path_length, sha256(concat_ws('', {PATH_COLS})) AS path_digest, true AS valid FROM (SELECT i, h FROM lf) lf CROSS JOIN nn {PATH_JOINS}""".replace(
+        "h AS leaf_hash", "lf.h AS leaf_hash"
+    ),
+)
+def appended_proofs(spark, sf):
+    """Proofs from the stored nodes of three appends are those of the tree built at once."""
+    nodes, seen = appended(spark, sf)
+    proofs = digest.verify_proofs(log.inclusion(seen[-1], nodes))
+    return proofs.select(
+        "leaf_index", "leaf_hash", F.size("path").cast("long").alias("path_length"),
+        F.sha2(F.array_join("path", ""), 256).alias("path_digest"), "valid",
+    )
