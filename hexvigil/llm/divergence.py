@@ -13,6 +13,7 @@ and its terms lie in many shards.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -36,6 +37,8 @@ SHARD_TERMS = 2_000_000
 SHARD_ROWS, BLOCK = 100_000, 256
 #: Sums by source and term that a task holds before it hands them on.
 BUFFER = 1_500_000
+#: Sums travel packed, so many bits of the places of a vocabulary at a time.
+RANGE = 14
 #: Bytes of text that a task cuts into terms at a time.
 SLICE = 2_000_000
 
@@ -103,11 +106,17 @@ def _summing(limit: int):
         size = least = 0
 
         def flush(number, place, n):
-            for at in range(0, len(number), 100_000):
-                names = pa.array(list(sources)).take(pa.array(number[at : at + 100_000]))
-                yield pa.RecordBatch.from_arrays(
-                    [names, pa.array(place[at : at + 100_000], pa.int64()), pa.array(n[at : at + 100_000])], ["source", "place", "n"]
-                )
+            names, key = list(sources), number.astype(np.int64) << 32 | place >> RANGE
+            first = np.flatnonzero(np.diff(key, prepend=-1))
+            for at, to in zip(first, [*first[1:], len(key)], strict=True):
+                part = place[at:to].astype(np.uint32).tobytes(), n[at:to].astype(np.int64).tobytes()
+                yield names[number[at]], int(place[at] >> RANGE), *part
+
+        def rows(found):
+            columns = list(zip(*found, strict=True))
+            if columns:
+                types = pa.string(), pa.int64(), pa.binary(), pa.binary()
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["source", "part", "places", "counts"])
 
         for batch in batches:
             vector = batch.column("vector")
@@ -126,14 +135,24 @@ def _summing(limit: int):
                     held = [_merged(held)]
                     size = least = len(held[0][0])
                     if size >= limit:
-                        yield from flush(*held[0])
+                        yield from rows(flush(*held[0]))
                         held, size, least = [], 0, 0
         if held:
-            yield from flush(*_merged(held))
+            yield from rows(flush(*_merged(held)))
 
     return run
 
 
+def _total(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The sums of a source's terms of one range of places, from those of all tasks, which are read one after another."""
+    total = np.zeros(1 << RANGE, np.int64)
+    for batch in parts:
+        for places, counts in zip(batch["places"], batch["counts"], strict=True):
+            total[np.frombuffer(places, np.uint32) & ((1 << RANGE) - 1)] += np.frombuffer(counts, np.int64)
+    found = np.flatnonzero(total)
+    yield pd.DataFrame({"source": key[0], "place": (int(key[1]) << RANGE) + found, "n": total[found]})
+
+
 def _vectorized(docs: DataFrame, lang: str, min_docs: int, shard_terms: int, distinct: int, path: str) -> int:
     """Writes (lang, source, term, n) of the kept terms of one language's (source, terms) and returns their number."""
     spark, parts, kept = docs.sparkSession, 1 + distinct // shard_terms, 0
@@ -148,8 +167,10 @@ def _vectorized(docs: DataFrame, lang: str, min_docs: int, shard_terms: int, dis
         vocabulary = spark.createDataFrame(
             pd.DataFrame({"place": np.arange(len(model.vocabulary)), "term": model.vocabulary}), "place long, term string"
         )
-        sums = model.transform(some).select("source", "vector").mapInArrow(_summing(BUFFER), "source string, place long, n long")
-        sums = sums.groupBy("source", "place").agg(F.sum("n").alias("n"))
+        sums = model.transform(some).select("source", "vector").mapInArrow(
+            _summing(BUFFER), "source string, part long, places binary, counts binary"
+        )
+        sums = sums.groupBy("source", "part").applyInPandas(_total, "source string, place long, n long")
         named = sums.join(vocabulary, "place").select(F.lit(lang).alias("lang"), "source", "term", "n")
         named.write.mode("append").parquet(path)
     return kept
