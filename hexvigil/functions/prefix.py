@@ -3,7 +3,8 @@
 A plain window over a group sorts the whole group in a single task.  Here equal
 values are counted first (map-side combined), the value range of each group is
 cut into buckets at its quantiles, and only bucket totals are accumulated per group.  A hot group
-is thereby spread over as many tasks as it has buckets, and results stay exact.
+is thereby spread over as many tasks as it has buckets, and results stay exact.  Groups of a few
+thousand distinct values, however many rows they have, are accumulated as they are.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from hexvigil.session import cut_lineage
 
 BUCKETS = 1024
+#: A group of no more distinct values is accumulated in one go; only larger ones are cut into buckets.
+WHOLE = 8192
 
 
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -29,6 +32,20 @@ def _counted(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
 
 
+def _small(counts: DataFrame, keys: list[str]) -> bool:
+    """Whether no group has more than WHOLE distinct values; ``counts`` is read once more, so it should be kept."""
+    largest = counts.groupBy(*keys).agg(F.count("*").alias("__d")).agg(F.max("__d")).first()[0]
+    return (largest or 0) <= WHOLE
+
+
+def _accumulated(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``below`` and ``total`` of each counted value of small groups."""
+    group = Window.partitionBy(*keys)
+    before = group.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    below = F.coalesce(F.sum("n").over(before), F.lit(0))
+    return counts.select(*keys, value, "n", below.alias("below"), F.sum("n").over(group).alias("total"))
+
+
 def _bucketed(
     counts: DataFrame, keys: list[str], value: str, lo: float | None, hi: float | None, buckets: int
 ) -> DataFrame:
@@ -92,7 +109,10 @@ def cumulative_counts(
     ``lo``/``hi`` give the known range of the value (scores 0-10, rates 0-100).  Without
     them the range is measured per group.
     """
-    placed = _bucketed(_counted(df, keys, value), keys, value, lo, hi, buckets)
+    counts = cut_lineage(_counted(df, keys, value))
+    if _small(counts, keys):
+        return _accumulated(counts, keys, value)
+    placed = _bucketed(counts, keys, value, lo, hi, buckets)
     offsets = _bucket_offsets(placed, keys, value).drop("__bn", "__bmin", "__bmax")
     joined = _null_safe_join(placed, offsets, [*keys, "__b"])
     inside = Window.partitionBy(*keys, "__b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
@@ -114,6 +134,13 @@ def _rank_values(
     Bucket totals say which bucket holds a rank; only those buckets are looked into, and
     one that holds a single value not even that.
     """
+    def at(rank: Column) -> Column:
+        hit = (F.col("below") <= rank) & (rank < F.col("below") + F.col("n"))
+        return F.max(F.when(hit, F.col(value)))
+
+    picks = [at(rank).alias(name) for name, rank in ranks.items()]
+    if _small(counts, keys):
+        return _accumulated(counts, keys, value).groupBy(*keys).agg(*picks)
     placed = _bucketed(counts, keys, value, lo, hi, buckets)
     offsets = _bucket_offsets(placed, keys, value)
     holds = F.lit(False)
@@ -130,12 +157,7 @@ def _rank_values(
     below = F.col("__before") + F.coalesce(F.sum("n").over(inside), F.lit(0))
     deep = mixed.select(*keys, value, "n", below.alias("below"), "total")
     picked = plain.unionByName(deep)
-
-    def at(rank: Column) -> Column:
-        hit = (F.col("below") <= rank) & (rank < F.col("below") + F.col("n"))
-        return F.max(F.when(hit, F.col(value)))
-
-    return picked.groupBy(*keys).agg(*[at(rank).alias(name) for name, rank in ranks.items()])
+    return picked.groupBy(*keys).agg(*picks)
 
 
 def _median(counts: DataFrame, keys: list[str], value: str, lo: float | None, hi: float | None, name: str) -> DataFrame:
@@ -150,7 +172,7 @@ def exact_median(
     df: DataFrame, keys: list[str], value: str, lo: float | None = None, hi: float | None = None, name: str = "median"
 ) -> DataFrame:
     """Median that averages the two middle rows of an even group."""
-    return _median(_counted(df, keys, value), keys, value, lo, hi, name)
+    return _median(cut_lineage(_counted(df, keys, value)), keys, value, lo, hi, name)
 
 
 def exact_median_mad(
@@ -171,7 +193,7 @@ def median_mad_of_counts(
     )
     span = None if lo is None or hi is None else float(hi) - float(lo)
     mad = _rank_values(
-        apart.groupBy(*keys, "__dev").agg(F.sum("n").alias("n")),
+        cut_lineage(apart.groupBy(*keys, "__dev").agg(F.sum("n").alias("n"))),
         keys,
         "__dev",
         {"mad": F.floor(F.col("total") / 2)},

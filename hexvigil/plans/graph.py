@@ -62,7 +62,7 @@ GRAPH_SQL = """e AS (SELECT concat('org_', CAST(o_custkey AS VARCHAR)) AS actor,
 )
 def graph_edges(spark, sf):
     _, edges = parts(spark, sf)
-    return edges.groupBy("source_id", "target_id", "edge_type").agg(F.count("*").alias("n"))
+    return edges.groupBy("source_id", "target_id", "edge_type").agg(F.sum("weight").cast("long").alias("n"))
 
 
 NODE_SQL = """tn AS (SELECT concat('technique:', technique_id) AS node_id, 'technique' AS node_type, technique_id AS label, min(tactic) AS property FROM e GROUP BY technique_id),
@@ -214,12 +214,30 @@ def krum(spark, sf):
     return rounded(vectors.krum(updates(spark, sf)).select("group", "client", "score"), "score")
 
 
+MEDIAN_SQL = """WITH RECURSIVE v AS MATERIALIZED (SELECT label AS g, embedding::DOUBLE[] AS x FROM embeddings),
+ m AS (SELECT g, 0 AS it, list(a ORDER BY i) AS c, 1e308::DOUBLE AS shift FROM (SELECT g, i, avg(x[i]) AS a FROM v, range(1, len(x) + 1) r(i) GROUP BY g, i) GROUP BY g
+  UNION ALL SELECT g, it + 1, n, list_distance(n, c) FROM (SELECT g, it, any_value(c) AS c, list(s ORDER BY i) AS n FROM
+   (SELECT g, it, any_value(c) AS c, i, sum(x[i] * w) / sum(w) AS s FROM (SELECT m.g, it, c, x, 1 / greatest(list_distance(x, c), 1e-10) AS w FROM m JOIN v ON v.g = m.g WHERE shift >= 1e-6 AND it < 100) q,
+    range(1, len(x) + 1) r(i) GROUP BY g, it, i) GROUP BY g, it) z),
+ last AS (SELECT g, arg_max(c, it) AS c FROM m GROUP BY g)"""
+
+
 @query(
     "v04_geometric_median",
-    """SELECT label AS "group", true AS balanced FROM embeddings GROUP BY label""",
+    f"""{MEDIAN_SQL} SELECT g AS "group", CAST(i - 1 AS INTEGER) AS idx, {R('c[i]')} AS value FROM last, range(1, len(c) + 1) r(i)""",
 )
 def geometric_median(spark, sf):
-    """The unit vectors from the median to all vectors cancel out: their mean is shorter than a thousandth."""
+    median = vectors.geometric_median(updates(spark, sf))
+    return rounded(median.select("group", F.posexplode("vector").alias("idx", "value")), "value")
+
+
+@query(
+    "v04_median_pull",
+    f"""{MEDIAN_SQL}, u AS (SELECT v.g, i, avg((x[i] - c[i]) / greatest(list_distance(x, c), 1e-12)) AS s FROM v JOIN last ON last.g = v.g, range(1, len(x) + 1) r(i) GROUP BY 1, 2)
+ SELECT g AS "group", round(sqrt(sum(s * s)), 4) + 0.0 AS pull, sqrt(sum(s * s)) < 1e-3 AS balanced FROM u GROUP BY g""",
+)
+def median_pull(spark, sf):
+    """How far the unit vectors from the median to all vectors are from cancelling out: the length of their mean."""
     median = vectors.geometric_median(updates(spark, sf)).select("group", F.col("vector").alias("__m"))
     apart = updates(spark, sf).join(median, "group").withColumn(
         "vector", F.zip_with(as_double("vector"), "__m", lambda x, m: x - m)
@@ -229,7 +247,7 @@ def geometric_median(spark, sf):
     )
     pull = vectors.weighted_mean(unit.withColumn("weight", F.lit(1.0)))
     length = F.sqrt(F.sum(F.col("value") * F.col("value")))
-    return pull.groupBy("group").agg((length < 1e-3).alias("balanced"))
+    return pull.groupBy("group").agg((F.round(length, 4) + 0.0).alias("pull"), (length < 1e-3).alias("balanced"))
 
 
 @query(

@@ -27,8 +27,10 @@ def grouped(data):
     return groups
 
 
+@pytest.mark.parametrize("whole", [0, prefix.WHOLE])
 @pytest.mark.parametrize("continuous,lo,hi", [(False, 0.0, 10.0), (True, None, None), (True, 2.0, 6.0)])
-def test_median_and_mad(spark, continuous, lo, hi):
+def test_median_and_mad(spark, monkeypatch, continuous, lo, hi, whole):
+    monkeypatch.setattr(prefix, "WHOLE", whole)
     data = rows(1, continuous=continuous)
     df = spark.createDataFrame(data, "k string, v double, i int")
     got = {r.k: (r.median, r.mad) for r in prefix.exact_median_mad(df, ["k"], "v", lo, hi).collect()}
@@ -41,7 +43,9 @@ def test_median_and_mad(spark, continuous, lo, hi):
         assert got[k][1] == pytest.approx(dev[len(dev) // 2], abs=1e-12)
 
 
-def test_cumulative_counts(spark):
+@pytest.mark.parametrize("whole", [0, prefix.WHOLE])
+def test_cumulative_counts(spark, monkeypatch, whole):
+    monkeypatch.setattr(prefix, "WHOLE", whole)
     data = rows(2)
     df = spark.createDataFrame(data, "k string, v double, i int")
     groups = grouped(data)
