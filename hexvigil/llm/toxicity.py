@@ -1,18 +1,18 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on ordinary documents, one on toxic ones.  A text goes through in short
-windows, each compressed with the ordinary dictionary and with both; how many bytes the toxic one saves is the
-window's margin, near 0 for ordinary text.  Toxic documents are mostly made of ordinary words, which would hide what
-tells them apart, so their dictionary is made of the words that stand in more of them than chance allows, each against
-its own count, so that a language with few toxic documents keeps its words.  Windows are so short that their literals
-are stored as they are, which leaves matches as the only thing that differs.  A window can also match part of a word
-that looks like one of these, so the different ones that stand in the text as they are count too.
-
-The effect of margins and words on the label is calibrated on the labelled sample by a logistic regression.
+Two zstandard dictionaries are trained, one on ordinary text, one on toxic text.  Toxic documents are mostly made of
+ordinary words, which would hide what tells them apart, so their dictionary is trained on what is left of each when the
+words are taken out that chance explains.  A window is one word of a text, repeated until it is long enough for
+zstandard to compress it: the repeats cost next to nothing, so its length tells what the first costs.  Each is compressed
+with the ordinary dictionary and with both; how many bytes the toxic one saves is the window's margin.
+
+The features are compression lengths alone: how many windows reach each margin, and the largest margins.  Their effect
+on the label is calibrated on the labelled sample by a logistic regression.
 """
 
 from __future__ import annotations
 
+import random
 import re
 from collections import Counter
 from dataclasses import dataclass
@@ -27,13 +27,23 @@ from pyspark.sql import functions as F
 from hexvigil.llm.common import held_out
 from hexvigil.llm.labelled import LEARN_ROWS, labelled_sample, logistic
 
-WINDOW = 40
+#: Bytes of a stretch of text that dictionaries are trained on, and of a window at least.
+STRETCH, WINDOW = 60, 48
+#: Margins that a task keeps, so that a frequent word is compressed once; beyond it starts anew.
+KEPT = 200_000
 #: Windows are counted by how many bytes the toxic dictionary saves at least.
-MARGINS = (2, 3, 4, 5, 6)
-ORDINARY_BYTES = 8192
+MARGINS = (2, 3, 4, 5, 6, 8)
+#: How many of a text's largest margins count by themselves.
+LARGEST = 3
+ORDINARY_BYTES, TOXIC_BYTES = 65_536, 4_800
+#: Bytes that a training run keeps together, of ordinary and of toxic text.
+SEGMENTS = 32, 24
 #: Share of the words taken as telling toxic documents apart that may be so by chance.
 FALSE_WORDS = 0.05
 
+#: Bytes that a trained dictionary's entropy tables take at most.
+TABLES = 400
+
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -44,7 +54,7 @@ class Model:
     weights: np.ndarray
 
 
-def windows(text: str, size: int = WINDOW) -> list[bytes]:
+def stretches(text: str, size: int = STRETCH) -> list[bytes]:
     """All words of the text in lower case, joined by spaces and cut at spaces; longer words are cut as well."""
     text, out, at = " ".join(_WORD.findall(text.lower())), [], 0
     while at < len(text):
@@ -57,6 +67,11 @@ def windows(text: str, size: int = WINDOW) -> list[bytes]:
     return out
 
 
+def window(word: str) -> bytes:
+    part = f" {word}".encode()
+    return part * max(2, -(-WINDOW // len(part))) + b" "
+
+
 def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     reach = max(14, len(dictionary).bit_length())
     settings = zstandard.ZstdCompressionParameters(
@@ -68,17 +83,24 @@ def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
 
 
 def _measure(ordinary: bytes, toxic: bytes):
-    """Features of a text: how many windows reach each margin, and how many words of the toxic dictionary it has, each
-    against the noise in so many and as a logarithm."""
+    """Features of a text: how many windows reach each margin, against the noise in so many and as a logarithm, and the
+    largest margins."""
     plain, both = _compressor(ordinary), _compressor(ordinary + toxic)
-    known = set(toxic.decode().split())
+    known: dict[str, int] = {}
+
+    def margin(word: str) -> int:
+        found = known.get(word)
+        if found is None:
+            if len(known) >= KEPT:
+                known.clear()
+            x = window(word)
+            found = known[word] = len(plain.compress(x)) - len(both.compress(x))
+        return found
 
     def features(text: str) -> list[float]:
-        parts = windows(text)
-        margins = [len(plain.compress(w)) - len(both.compress(w)) for w in parts]
+        margins = sorted((margin(w) for w in set(_WORD.findall(text.lower()))), reverse=True)
         reached = [sum(m >= k for m in margins) for k in MARGINS]
-        reached.append(len(known.intersection(_WORD.findall(text.lower()))))
-        return [*(n / sqrt(len(parts) + 20) for n in reached), *(log(1 + n) for n in reached)]
+        return [*(n / sqrt(len(margins) + 20) for n in reached), *(log(1 + n) for n in reached), *(margins + [0] * LARGEST)[:LARGEST]]
 
     return features
 
@@ -111,14 +133,23 @@ def contrast(toxic: list[str], ordinary: list[str]) -> list[str]:
     return [word for _, word in found[:taken]]
 
 
-def _trained(size: int, samples: list[bytes]) -> bytes:
-    """A dictionary's bytes; the samples' own end where there are too few to train on."""
+def _trained(size: int, samples: list[bytes], segment: int) -> bytes:
+    """The content of a dictionary trained on the samples, without its entropy tables; the samples' own end where there
+    are too few to train on.  Training goes through them by sections, so they are shuffled first."""
+    samples = random.Random(0).sample(samples, len(samples))
     try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
+        return zstandard.train_dictionary(size + TABLES, samples, k=segment, d=6).as_bytes()[-size:]
     except zstandard.ZstdError:
         return b"".join(samples)[-size:]
 
 
+def surplus(toxic: list[str], ordinary: list[str]) -> list[bytes]:
+    """What is left of each toxic text when all words that chance explains are taken out."""
+    kept = set(contrast(toxic, ordinary))
+    left = ([w for w in _WORD.findall(t.lower()) if w in kept] for t in toxic)
+    return [f" {' '.join(words)} ".encode() for words in left if words]
+
+
 def fit(sample: pd.DataFrame) -> Model | None:
     """The model of (text, label) rows, or None unless both labels occur.
 
@@ -127,8 +158,8 @@ def fit(sample: pd.DataFrame) -> Model | None:
     toxic, ordinary = (sample.loc[sample["label"] == v, "text"].tolist() for v in (1, 0))
     if not toxic or not ordinary:
         return None
-    plain = _trained(ORDINARY_BYTES, [w for t in ordinary for w in windows(t)])
-    own = f" {' '.join(contrast(toxic, ordinary))} ".encode()
+    plain = _trained(ORDINARY_BYTES, [w for t in ordinary for w in stretches(t)], SEGMENTS[0])
+    own = _trained(TOXIC_BYTES, surplus(toxic, ordinary), SEGMENTS[1])
     features = _measure(plain, own)
     found = np.array([features(t) for t in toxic + ordinary])
     weights = logistic(found, np.r_[np.ones(len(toxic)), np.zeros(len(ordinary))])
@@ -141,7 +172,7 @@ def _scorer(model: Model):
     def run(batches):
         features = _measure(model.ordinary, model.toxic)
         for batch in batches:
-            found = np.array([features(t) for t in batch["text"].fillna("")]).reshape(len(batch), 2 * len(MARGINS) + 2)
+            found = np.array([features(t) for t in batch["text"].fillna("")]).reshape(len(batch), 2 * len(MARGINS) + LARGEST)
             score = 1 / (1 + np.exp(-(found @ model.weights[:-1] + model.weights[-1])))
             yield batch.drop(columns="text").assign(score=score)
 

@@ -454,6 +454,28 @@ def test_toxic_words_move_the_score(spark):
     assert clean < 0 < toxic
 
 
+def test_features_come_from_compression_lengths_alone():
+    """Words of the toxic dictionary that the ordinary one compresses as well give nothing: no word is counted as such."""
+    model = toxicity.Model(b" scoundrel villainous lorem ipsum dolor amet", b" scoundrel villainous ", np.zeros(16))
+    features = toxicity._measure(model.ordinary, model.toxic)
+    text = "scoundrel villainous lorem ipsum"
+    assert max(features(text)) <= max(features("lorem ipsum dolor amet"))
+    margins = toxicity._measure(b" lorem ipsum dolor amet", model.toxic)
+    assert margins("lorem scoundrel")[-toxicity.LARGEST :][0] >= 4 and max(margins("lorem ipsum")) <= 1
+    plain, both = (toxicity._compressor(d) for d in (b" lorem ipsum dolor amet", b" lorem ipsum dolor amet" + model.toxic))
+    x = toxicity.window("scoundrel")
+    assert margins("scoundrel")[-toxicity.LARGEST] == len(plain.compress(x)) - len(both.compress(x))
+
+
+def test_margins_stay_right_when_the_kept_ones_start_anew(monkeypatch):
+    model = toxicity.Model(b" lorem ipsum", b" scoundrel villainous ", np.zeros(16))
+    texts = ["lorem scoundrel", "ipsum", "villainous scoundrel lorem", "a b c d e scoundrel"]
+    expected = [toxicity._measure(model.ordinary, model.toxic)(t) for t in texts]
+    monkeypatch.setattr(toxicity, "KEPT", 2)
+    features = toxicity._measure(model.ordinary, model.toxic)
+    assert [features(t) for t in texts] == expected
+
+
 def test_rarer_toxic_vocabularies_are_kept():
     rng = np.random.default_rng(4)
     plain = [" ".join(rng.choice(["lorem", "ipsum", "dolor", "amet"], 60)) for _ in range(900)]
@@ -479,4 +501,6 @@ def test_toxic_recall_in_each_language(spark):
     for lang in ("en", "de", "fr", "es"):
         toxic = [r["predicted"] for r in rows if r["lang"] == lang and r["toxic"] == 1]
         assert sum(toxic) >= 0.75 * len(toxic) > 0, (lang, sum(toxic), len(toxic))
+    found = [r["predicted"] for r in rows if r["toxic"] == 1]
+    assert sum(found) >= 0.8 * len(found)
     assert sum(r["predicted"] for r in rows if r["toxic"] == 0) <= 0.01 * sum(r["toxic"] == 0 for r in rows)
