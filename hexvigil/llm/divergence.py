@@ -186,12 +186,12 @@ def term_counts(docs: DataFrame, min_docs: int = MIN_DOCS, shard_terms: int = SH
     path, out = scratch_path(spark, "languages"), scratch_path(spark, "term-counts")
     named = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")])
     named = named.withColumn("folder", F.concat(F.lit("l"), F.sha1(F.col("lang").cast("binary"))))
-    named.write.partitionBy("folder").parquet(path)
+    named.write.partitionBy("folder").option("compression", "zstd").parquet(path)
     written = spark.read.schema("lang string, source string, text string, folder string").parquet(path)
     sizes = {}
     for lang, folder in written.select("lang", "folder").distinct().collect():
         cut = f"{path}-terms/{folder}"
-        terms(spark.read.parquet(f"{path}/folder={folder}")).write.parquet(cut)
+        terms(spark.read.parquet(f"{path}/folder={folder}")).write.option("compression", "zstd").parquet(cut)
         own = spark.read.parquet(cut)
         n = own.select(F.explode("fresh").alias("term")).agg(F.approx_count_distinct("term")).first()[0]
         sizes[lang] = _vectorized(own.select("source", "terms"), lang, min_docs, shard_terms, n, out)
