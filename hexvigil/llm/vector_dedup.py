@@ -20,6 +20,8 @@ from hexvigil.llm.common import components, mix, thinned
 from hexvigil.llm.vectors import common_length, cuts, local_roots, stacked, usable
 from hexvigil.session import cut_lineage
 
+#: Parts that the members of a large component are spread over to meet its size.
+SALTS = 32
 COSINE = 0.93
 #: Passes at least, and the share of pairs at the threshold that all passes together may miss.
 PASSES, MISSED = 16, 0.001
@@ -167,8 +169,10 @@ def link_vectors(rows: DataFrame, cosine: float = COSINE, passes: int = PASSES,
     roots = cut_lineage(components(thinned(edges)).withColumnRenamed("node", "rep"))
 
     # All members of a component meet, block by block; small components share a task.
-    sizes = roots.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    members = roots.join(sizes, "root").join(keyed.select("rep", "label", "n", "vector"), "rep")
+    sizes = roots.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).filter("blocks > 1")
+    spread = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    members = roots.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).join(spread, ["root", "salt"], "left")
+    members = members.select("rep", "root", F.coalesce("blocks", F.lit(1)).cast("long").alias("blocks")).join(keyed.select("rep", "label", "n", "vector"), "rep")
     bundles = max(1, ceil(roots.count() / BUNDLE))
     block = F.pmod(F.xxhash64("rep"), F.col("blocks"))
     each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
