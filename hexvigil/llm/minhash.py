@@ -39,6 +39,8 @@ CHUNK, BUNDLE = 512, 4096
 BLOCK = 400_000
 #: Documents of a component in one block; a task's matrices grow with the square of two blocks.
 DOCS = 800
+#: Parts that the members of a large component are spread over to meet its size.
+SALTS = 32
 NONE = np.iinfo(np.int32).max
 
 
@@ -53,7 +55,7 @@ def _sketcher(shingle: int, k: int):
         for batch in batches:
             texts = batch["text"].fillna("").tolist()
             out = [(len(s), *_signature(s), s[:k]) for s in shingle_sets(texts, shingle)]
-            yield pd.DataFrame(out, columns=["n_shingles", "sig_a", "sig_b", "sketch"]).assign(doc_id=batch["doc_id"].array)
+            yield pd.DataFrame(out, columns=["n_shingles", "sig_a", "sig_b", "sketch"]).assign(doc_id=batch["doc_id"].array, digest=batch["digest"].array)
 
     return run
 
@@ -64,7 +66,7 @@ def _packed(batches):
 
 
 def _setter(shingle: int):
-    """Full sets of the rows whose text is the wanted one; an id may come with several."""
+    """Full sets of the rows whose text is the wanted one; texts with equal digests could be others."""
 
     def run(batches):
         for batch in batches:
@@ -164,7 +166,7 @@ def _pairs_of(blocks: Column, own: Column) -> Column:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int = SKETCH) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
+    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept, digest, grp.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased.  A document's set holds its distinct shingles; with fewer
     words, the whole sequence as one.  Documents link when 100 * intersection >= percent * union.  ``component_id`` is
@@ -172,10 +174,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
     a null doc_id link with nothing, have a null component_id and are kept.  Rows that repeat a doc_id are judged each
     by its own text; rows with equal texts share a component and are kept if its id is theirs.  Other columns are
     ignored.
+
+    ``digest`` (of the text) tells rows of one id apart, and ``grp`` numbers what links reach, so that two components
+    with the same smallest id stay two; it is null for rows that link with nothing by definition.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("digest"))
     # Each row gets a number, which the checkpoint fixes; a class goes on under the smallest number of its rows.
-    schema = "n_shingles long, sig_a long, sig_b long, sketch array<long>, doc_id long"
+    schema = "n_shingles long, sig_a long, sig_b long, sketch array<long>, doc_id long, digest long"
     signed = docs.mapInPandas(_sketcher(shingle, k), schema).withColumn("doc", F.monotonically_increasing_id())
     signed = cut_lineage(signed)
     key = ["sig_a", "sig_b", "n_shingles"]
@@ -183,7 +188,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
         signed.filter("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc").alias("doc"), F.min("doc_id").alias("first"))
     )
     sketches = cut_lineage(
-        signed.join(classes.select("doc"), "doc").select("doc", "doc_id", "sig_a", "sig_b", F.col("n_shingles").alias("n"), "sketch")
+        signed.join(classes.select("doc"), "doc").select("doc", "doc_id", "digest", "sig_a", "sig_b", F.col("n_shingles").alias("n"), "sketch")
     )
 
     t = percent / 100
@@ -241,10 +246,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
     sized = candidates.join(sketches.select("doc", "n"), "doc")
     blocks = sized.groupBy("root").agg(F.sum("n").alias("total"), F.count("*").alias("docs"))
     blocks = blocks.select("root", "total", F.greatest(F.ceil(F.col("total") / BLOCK), F.ceil(F.col("docs") / DOCS)).alias("blocks"))
-    members = cut_lineage(candidates.join(blocks, "root").join(sketches.select("doc", "doc_id", "sig_a", "sig_b"), "doc"))
+    blocks = cut_lineage(blocks)
+    # Only large components need their number of blocks; their members are spread over salts to get it.
+    spread = blocks.filter("blocks > 1").select("root", "blocks", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    members = candidates.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).join(spread, ["root", "salt"], "left")
+    members = members.select("doc", "root", F.coalesce("blocks", F.lit(1)).cast("long").alias("blocks"))
+    members = cut_lineage(members.join(sketches.select("doc", "doc_id", "digest", "sig_a", "sig_b"), "doc"))
     bundles = max(1, ceil((blocks.filter("blocks = 1").agg(F.sum("total")).first()[0] or 0) / BLOCK))
-    sets = docs.join(members, "doc_id").drop("doc_id").mapInPandas(
-        _setter(shingle), "doc long, root long, total long, blocks long, full binary"
+    # A row is found by its id and its text's digest; of rows that repeat both, one is read.
+    wanted = docs.join(members, ["doc_id", "digest"])
+    again = signed.join(members.select("doc_id", "digest"), ["doc_id", "digest"], "left_semi")
+    if not again.groupBy("doc_id", "digest").count().filter("count > 1").isEmpty():
+        same = ["doc", "root", "blocks", "sig_a", "sig_b"]
+        wanted = wanted.groupBy(*same).agg(F.first("text").alias("text"))
+    sets = wanted.select("text", "sig_a", "sig_b", "doc", "root", "blocks").mapInPandas(
+        _setter(shingle), "doc long, root long, blocks long, full binary"
     )
     own = F.pmod(F.xxhash64("doc"), F.col("blocks"))
     task = F.when(F.col("blocks") > 1, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(bundles)))
@@ -258,10 +274,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
     # Components of classes under the smallest id of any of their rows.
     classes = classes.join(roots.withColumnRenamed("node", "doc"), "doc", "left")
     least = classes.filter("root is not null").groupBy("root").agg(F.min("first").alias("least"))
-    classes = classes.join(least, "root", "left").select(*key, F.coalesce("least", "first").alias("least"))
+    grp = F.coalesce("root", "doc").alias("grp")
+    classes = classes.join(least, "root", "left").select(*key, F.coalesce("least", "first").alias("least"), grp)
     own = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id"))
     return (
         signed.join(classes, key, "left")
         .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), own))
-        .select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+        .select("doc_id", "n_shingles", "component_id", "kept", "digest", F.when(F.col("doc_id").isNotNull(), F.col("grp")).alias("grp"))
     )

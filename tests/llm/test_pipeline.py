@@ -74,7 +74,7 @@ def expected(rows, keeps):
 def test_pipeline_over_the_table(spark):
     docs = read(spark, "documents")
     rows = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in docs.collect()]
-    kept = {r["doc_id"] for r in langid.learn_and_identify(docs).collect() if r["lang_pred"] != "und" and r["score"] >= 0.5}
+    kept = {r["doc_id"] for r in langid.learn_and_identify(docs).collect() if r["lang_pred"] != "und"}
     assert len(kept) >= 0.98 * len(rows)
     found = corpus_pipeline.run(spark, SF).collect()
     assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in found) == expected(rows, kept)
@@ -97,3 +97,39 @@ def test_stages_keep_columns_and_stand_awkward_rows(spark, tmp_path):
     check_packed(corpus_pipeline.run(spark, str(tmp_path)).collect(), 2048)
     docs.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_rows_of_one_id_are_judged_by_their_text(spark, tmp_path):
+    """A clean text stays though another text of its id is a copy; of near copies under one id one stays."""
+    a, b = (" ".join(f"{k}{i}" for i in range(40)) for k in "ab")
+    rows = [(1, a), (5, a), (5, b), (7, b + " more"), (8, "x y z"), (9, "c " + a[:20]), (9, "c " + a[:20]), (9, "d e f g h i")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], COLUMNS)
+    left = sorted((r["doc_id"], r["text"]) for r in corpus_pipeline.deduplicate(spark, docs, str(tmp_path)).collect())
+    assert left == sorted([(1, a), (5, b), (8, "x y z"), (9, "c " + a[:20]), (9, "d e f g h i")])
+    near = [(3, a), (3, a + " end"), (3, "end " + a), (4, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in near], COLUMNS)
+    left = corpus_pipeline.deduplicate(spark, docs, str(tmp_path)).collect()
+    assert len(left) == 1 and left[0]["doc_id"] == 3
+
+
+def test_columns_named_as_results_pass_unchanged(spark, tmp_path):
+    text = "the quick brown fox jumps over the lazy dog and runs away"
+    names = "score spans size target times taken source_size threshold held_out lang_pred digest grp kept given_score _copy component_id".split()
+    schema = f"{COLUMNS}, {', '.join(f'`{n}` string' for n in names)}"
+    rows = [(i, f"{text} {i} " + " ".join(f"w{i * 31 + k}" for k in range(20)), "en", "s", 1, *[f"{n}{i}" for n in names]) for i in range(12)]
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        assert {tuple(r) for r in out.collect()} <= {tuple(r) for r in docs.collect()}, name
+
+
+def test_mixed_languages_stay(spark, tmp_path):
+    """Three languages in equal parts: none has half of the letters, yet the notice stays; digits alone go."""
+    parts = {r["lang"]: r["text"] for r in read(spark, "documents").filter("length(text) > 400").collect()}
+    mixed = " ".join(parts[k][:300] for k in ("en", "de", "fr"))
+    docs = read(spark, "documents").limit(0).unionByName(
+        spark.createDataFrame([(10**9, mixed, "en", "s", 1), (10**9 + 1, "12 34", "en", "s", 1)], COLUMNS)
+    ).unionByName(read(spark, "documents").filter("text is not null"))
+    ids = {r["doc_id"] for r in corpus_pipeline.language(spark, docs, str(tmp_path)).collect()}
+    assert 10**9 in ids and 10**9 + 1 not in ids
