@@ -16,35 +16,56 @@ from hexvigil.llm.minhash import near_duplicates
 from hexvigil.llm.mixing import mix_sources
 from hexvigil.llm.packing import best_fit
 from hexvigil.llm.secrets import redact
-from hexvigil.session import scratch_path
+from hexvigil.session import cut_lineage, scratch_path
 
-#: A document stays if its language has at least this share of its letters.
-LANGUAGE_SHARE = 0.5
+
+def _aside(docs: DataFrame, *results: str) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with the columns out of the way that have a result's name or begin with ``_``, and how to name them again."""
+    back = {}
+    for name in docs.columns:
+        if name in results or name.startswith("_"):
+            other = f"given_{name}"
+            while other in docs.columns or other in back:
+                other = f"given_{other}"
+            back[other] = name
+    return docs.withColumnsRenamed({name: other for other, name in back.items()}), back
+
+
+def _again(rows: DataFrame, back: dict[str, str], columns: list[str]) -> DataFrame:
+    """The columns of the input, under their own names."""
+    other = {name: given for given, name in back.items()}
+    return rows.select(*[F.col(f"`{other.get(c, c)}`").alias(c) for c in columns])
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without letters and those in which no language has half of the letters."""
-    found = learn_and_identify(docs)
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LANGUAGE_SHARE)).select(*docs.columns)
+    """Rejects documents whose language can't be told: those without letters, or all if nothing could be learned.
+
+    A text in several languages stays, as its spans tell them.
+    """
+    given, back = _aside(docs, "held_out", "lang_pred", "score", "spans")
+    return _again(learn_and_identify(given).filter(F.col("lang_pred") != "und"), back, docs.columns)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (five words a shingle, similarity 0.8) stays: its smallest doc_id.
+    """One document of each near-duplicate group (five words a shingle, similarity 0.8) stays.
 
-    Rows that repeat an id that stays are told apart by their text's hash, the least one stays.  Rows without an id
-    are no duplicates.
+    It is the one with the smallest doc_id, then the smallest digest of its text.  Rows are told apart by id and text, so
+    a text goes only by its own group.  Of rows that repeat both, one stays.  Rows without an id or words are no
+    duplicates of others.
     """
-    found = near_duplicates(docs, shingle=5, percent=80)
-    away = found.filter(~F.col("kept")).select("doc_id").distinct()
-    docs_left = docs.join(away, "doc_id", "left_anti")
-    again = found.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    if again.isEmpty():
-        return docs_left.select(*docs.columns)
-    rest = docs_left.join(again, "doc_id", "left_anti")
-    one = docs_left.join(again, "doc_id", "left_semi").withColumn("_text", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    least = one.groupBy("doc_id").agg(F.min("_text").alias("_text"))
-    one = one.join(least, ["doc_id", "_text"]).dropDuplicates(["doc_id"])
-    return rest.select(*docs.columns).unionByName(one.select(*docs.columns))
+    found = cut_lineage(near_duplicates(docs, shingle=5, percent=80).filter("doc_id is not null"))
+    key = ["doc_id", "digest"]
+    grouped = found.filter("grp is not null").select(*key, "grp", "kept").distinct()
+    stay = grouped.filter("kept").groupBy("grp").agg(F.min(F.struct(*key)).alias("x")).select("grp", "x.*")
+    away = grouped.join(stay, ["grp", *key], "left_anti").select(*key)
+    digest = F.xxhash64("text").alias("digest")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("given"))
+    keyed = keyed.join(away, key, "left_anti")
+    again = found.groupBy(*key).count().filter("count > 1").select(*key)
+    if not again.isEmpty():
+        once = keyed.join(again, key, "left_semi").dropDuplicates(key)
+        keyed = keyed.join(again, key, "left_anti").unionByName(once)
+    return keyed.select(*[F.col(f"given.`{c}`").alias(c) for c in docs.columns])
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +75,10 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or leaves out documents so that sources come near their target weights."""
-    mixed = mix_sources(docs).filter("times > 0")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select(*docs.columns)
+    given, back = _aside(docs, "size", "source_size", "target", "taken", "times", "threshold")
+    mixed = mix_sources(given).filter("times > 0")
+    copies = mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    return _again(copies, back, docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
