@@ -13,7 +13,7 @@ from hexvigil.llm.ngram_lm import score_texts
 from hexvigil.llm.packing import best_fit
 from hexvigil.llm.pii import find_pii
 from hexvigil.llm.quality import score_quality
-from hexvigil.llm.secrets import scan_secrets
+from hexvigil.llm.secrets import common_words, scan_secrets
 from hexvigil.llm.toxicity import score_toxicity
 from hexvigil.llm.vector_dedup import link_vectors
 
@@ -46,7 +46,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    return scan_secrets(docs).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+    return scan_secrets(docs, words=common_words(docs)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

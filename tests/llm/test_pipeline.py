@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from hexvigil.llm import langid, secrets
-from test_text_operators import brute_components, check_packed
+from test_text_operators import brute_components, check_packed, plain_words
 from tests_llm_data import SF, read
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -52,11 +52,11 @@ def expected(rows, keeps):
     rows = [r for r in rows if r[0] in keeps]
     component = brute_components([(d, t) for d, t, _, _ in rows], 5, 80)
     rows = [r for r in rows if component[r[0]][1] == r[0]]
-    clean = []
+    clean, rank = [], secrets.Ranks(plain_words([t for _, t, _, _ in rows]))
     for d, t, _, s in rows:
         found = secrets.base_spans(t)
         out, at = "", 0
-        for a, _, b in sorted(found + secrets.guessed_spans(t, found, secrets.BITS)):
+        for a, _, b in sorted(found + secrets.guessed_spans(t, found, secrets.BITS, rank)):
             out, at = (out + t[at:a] + "[secret]" if a >= at else out), max(at, b)
         clean.append((d, out + t[at:], s))
     copies = mixed(clean)

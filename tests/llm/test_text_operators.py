@@ -1,6 +1,7 @@
 """The text operators against brute force, on ordinary and awkward rows."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -305,6 +306,71 @@ def test_fixed_secret_patterns(parts):
     assert sorted(secrets.base_spans(text)) == sorted(plain_secrets(text))
 
 
+def plain_words(texts, most=secrets.LEARNED, least=secrets.LEAST):
+    """The commonest words by documents, counted in plain Python."""
+    import regex
+
+    df = Counter(w for t in texts for w in set(regex.findall(secrets._WORD, (t or "").lower())))
+    return [w for w, n in sorted(df.items(), key=lambda x: (-x[1], x[0])) if n >= least][:most]
+
+
+def test_words_are_ranked_by_documents(spark):
+    docs = read(spark, "documents")
+    texts = [r["text"] for r in docs.collect()]
+    assert secrets.common_words(docs) == plain_words(texts)
+    assert secrets.common_words(docs, 50, 10) == plain_words(texts, 50, 10)
+    assert secrets.common_words(awkward(spark), least=2) == plain_words([r["text"] for r in awkward(spark).collect()], least=2)
+    assert secrets.common_words(empty_docs(spark)) == []
+
+
+def brute_bits(value, rank):
+    """The cheapest of all segmentations."""
+    low = value.lower()
+    plain = low.translate(secrets._PLAIN)
+
+    def piece(i, j):
+        part, costs = low[i:j], []
+        if j - i == 1:
+            costs.append(secrets._alphabet(value[i]))
+        if j - i >= 3:
+            if len(set(part)) == 1:
+                costs.append(1 + secrets._alphabet(part[0]) + math.log2(j - i))
+            if all(x in secrets._NEXT for x in zip(part, part[1:], strict=False)):
+                costs.append(1 + math.log2(len(secrets.ROWS) * 10) + math.log2(j - i))
+            if place := rank.get(part) or rank.get(plain[i:j]):
+                costs.append(1 + math.log2(place + 1) + (value[i:j] != part) + 2 * (part != plain[i:j]))
+            m = secrets._DATE.fullmatch(part)
+            if m:
+                costs.append(1 + math.log2(365 * 120 if j - i > 4 else 120))
+        return min(costs, default=math.inf)
+
+    best = [0.0] + [math.inf] * len(value)
+    for j in range(1, len(value) + 1):
+        best[j] = min(best[i] + piece(i, j) for i in range(j))
+    return best[-1]
+
+
+def test_guess_cost_is_the_cheapest_segmentation():
+    rng = np.random.default_rng(6)
+    rank = secrets.Ranks(["qwe", "das", "aaa", "foobar", "ert"])
+    parts = ["qwe", "das", "aaaa", "2019", "1990-12-24", "foobar", "Foo", "p@ss", "x", "7", "#", "ert", "asdf", "0000", "Z"]
+    for _ in range(400):
+        value = "".join(rng.choice(parts, rng.integers(1, 6)))
+        assert secrets.guess_bits(value, rank) == pytest.approx(brute_bits(value, rank)), value
+
+
+def test_prose_is_no_secret():
+    for text in ("The secret is understanding your customers.", "His password is something you know", "the secret is patience"):
+        assert secrets.guessed_spans(text, [], secrets.BITS) == []
+    for text, value in (("the password is kT9vQ2mZ7xx", "kT9vQ2mZ7xx"), ('the password is "kTzvQqmZnxx"', "kTzvQqmZnxx"), ("password = xqzvkwjhpt", "xqzvkwjhpt")):
+        assert [text[a:b] for a, _, b in secrets.guessed_spans(text, [], secrets.BITS)] == [value], text
+
+
+def test_learned_words_make_values_cheap():
+    value = "quarterlyreportreminder"
+    assert secrets.guess_bits(value) >= secrets.BITS > secrets.guess_bits(value, secrets.Ranks(["quarterly", "report", "reminder"]))
+
+
 def test_guess_cost():
     assert secrets.guess_bits("") == 0
     cheap = ["password123", "qwertyuiop", "aaaaaaaaaaaa", "19991231", "changeme", "letmein2020"]
