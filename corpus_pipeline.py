@@ -15,7 +15,7 @@ from hexvigil.llm.langid import learn_and_identify
 from hexvigil.llm.minhash import near_duplicates
 from hexvigil.llm.mixing import mix_sources
 from hexvigil.llm.packing import best_fit
-from hexvigil.llm.secrets import redact
+from hexvigil.llm.secrets import common_words, redact
 from hexvigil.session import cut_lineage, scratch_path
 
 
@@ -69,8 +69,8 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces every secret of the texts; all documents stay."""
-    return redact(docs)
+    """Replaces every secret of the texts, words of these documents taken as easy to guess; all documents stay."""
+    return redact(docs, words=common_words(docs))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
