@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from hexvigil import dims
 from hexvigil.functions.noise import laplace, uniform
-from hexvigil.functions.prefix import cumulative_counts
+from hexvigil.functions.prefix import cumulative_counts, positions
 from hexvigil.functions.vectors import as_double, cosine, norm, squared_distance
 from hexvigil.session import cut_lineage
 
@@ -59,20 +59,87 @@ def trimmed_mean(updates: DataFrame, ratio: float = 0.1) -> DataFrame:
     return cum.groupBy("group", "idx").agg((F.sum(F.col("value") * kept) / F.sum(kept)).alias("value"))
 
 
+#: Vectors of a group in one block of the farthest-neighbour search; parts that the blocks of a group are spread over.
+FAR_BLOCK, FAR_SALTS = 256, 16
+
+
+def _farthest(far: int):
+    """For each row, a block of rivals beside a block of its group: each rival's ``far`` largest squared distances there."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                own, others = np.asarray(row.vectors).reshape(len(row.clients), -1), np.asarray(row.o_vectors).reshape(len(row.o_clients), -1)
+                for i, x in enumerate(own):
+                    d2 = ((others - x) ** 2).sum(1)
+                    d2[np.asarray(row.o_clients) == row.clients[i]] = -1.0
+                    top = np.sort(d2)[::-1][:far]
+                    out.append((row.group, row.clients[i], [float(v) for v in top if v >= 0]))
+            yield pd.DataFrame(out, columns=["group", "client", "d2"])
+
+    return run
+
+
+def farthest_sums(placed: DataFrame, rivals: DataFrame, far: int, block: int = FAR_BLOCK) -> DataFrame:
+    """(group, client, far_sum): the sum of the ``far`` largest squared distances from each rival to others of its group.
+
+    ``placed(group, client, vector, r)`` with the distance r to the group's centre, ``rivals`` rows of it.  The vectors of
+    a group lie in blocks by falling r.  Every rival meets the first block; the ``far``-th distance found there is a
+    threshold, and a further block is left out once r of none of its vectors plus that of a rival exceeds it.  Blocks meet
+    as rows, never vectors, and of a pair of blocks only ``far`` distances a rival come out.
+    """
+    top = placed.groupBy("group").agg(F.max("r").alias("__top"))
+    step = F.floor((1 - F.col("r") / F.greatest(F.col("__top"), F.lit(1e-300))) * 1023)
+    numbered = positions(placed.join(top, "group").withColumn("__step", step), ["group"], F.col("__step"), [F.col("r").desc(), "client"])
+    numbered = cut_lineage(numbered.select("group", "client", "vector", "r", F.floor(F.col("position") / block).alias("block")))
+
+    def blocks(rows: DataFrame) -> DataFrame:
+        each = rows.groupBy("group", "block").agg(F.collect_list(F.struct("client", "vector", "r")).alias("x"), F.max("r").alias("reach"))
+        part = lambda name: F.transform("x", lambda e: e.getField(name))
+        return each.select("group", "block", "reach", part("client").alias("clients"), F.flatten(part("vector")).alias("vectors"), part("r").alias("radii"))
+
+    all_blocks = cut_lineage(blocks(numbered))
+    asked = cut_lineage(blocks(numbered.join(rivals.select("group", "client"), ["group", "client"], "left_semi")))
+    others = all_blocks.select(
+        "group", F.col("block").alias("o_block"), F.col("reach").alias("o_reach"), F.col("clients").alias("o_clients"), F.col("vectors").alias("o_vectors"),
+        F.pmod(F.xxhash64("block"), F.lit(FAR_SALTS)).cast("int").alias("salt"),
+    )
+    kinds = dict(placed.dtypes)
+    schema = f"group {kinds['group']}, client {kinds['client']}, d2 array<double>"
+    columns = ["group", "clients", "vectors", "o_clients", "o_vectors"]
+    first = cut_lineage(asked.join(others.where("o_block = 0"), "group").select(*columns).mapInPandas(_farthest(far), schema))
+    # What a block must exceed for any of its rivals: the least of threshold minus r.
+    found = numbered.select("group", "client", "r", "block").join(first, ["group", "client"])
+    enough = F.when(F.size("d2") >= far, F.sqrt(F.element_at("d2", -1))).otherwise(F.lit(-1e300))
+    needed = found.groupBy("group", "block").agg(F.min(enough - F.col("r")).alias("beyond"))
+    salted = asked.join(needed, ["group", "block"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(FAR_SALTS - 1))))
+    rest = salted.join(others.where("o_block > 0"), ["group", "salt"]).where(F.col("o_reach") >= F.col("beyond") * (1 - 1e-12))
+    every = first.unionByName(rest.select(*columns).mapInPandas(_farthest(far), schema))
+    best = Window.partitionBy("group", "client").orderBy(F.col("v").desc())
+    return (
+        every.select("group", "client", F.explode("d2").alias("v"))
+        .withColumn("__p", F.row_number().over(best))
+        .where(F.col("__p") <= far)
+        .groupBy("group", "client")
+        .agg(F.sum("v").alias("far_sum"))
+    )
+
+
 def krum(updates: DataFrame, n_byzantine: int = 1) -> DataFrame:
     """V3: the client whose n - f - 2 nearest squared distances sum to least, per group, exactly.
 
     The sum over *all* others has the closed form n * r^2 + sum(r_j^2), with r the distance
     to the group mean, so only the f + 1 farthest have to be taken off.  Triangle bounds
     with the f + 1 largest r rule out every client that cannot win; for n clients the gap
-    they leave shrinks like 1/n, so a handful of candidates per group is compared with
-    the group.  Groups of at most 2f + 2 fall back to the mean.
+    they leave shrinks like 1/n.  The remaining ones look for their farthest others block by
+    block (``farthest_sums``).  Groups of at most 2f + 2 fall back to the mean.
     """
     far = n_byzantine + 1
     base = updates.select("group", "client", as_double("vector").alias("vector"))
     sizes = base.groupBy("group").agg(F.count("*").alias("n"))
     centre = assemble(weighted_mean(base), "centre")
-    placed = (
+    placed = cut_lineage(
         base.join(centre, "group")
         .join(sizes, "group")
         .withColumn("r2", squared_distance(F.col("vector"), F.col("centre")))
@@ -88,7 +155,7 @@ def krum(updates: DataFrame, n_byzantine: int = 1) -> DataFrame:
         .agg(F.collect_list("r").alias("far_r"))
     )
     totals = placed.groupBy("group").agg(F.sum("r2").alias("sum_r2"))
-    sums = placed.join(top, "group").join(totals, "group")
+    sums = placed.drop("vector").join(top, "group").join(totals, "group")
     grow = F.aggregate(
         "far_r", F.lit(0.0), lambda acc, big: acc + (F.col("r") + big) * (F.col("r") + big)
     )
@@ -98,25 +165,14 @@ def krum(updates: DataFrame, n_byzantine: int = 1) -> DataFrame:
     closed = F.col("n") * F.col("r2") + F.col("sum_r2")
     bounded = sums.withColumns({"closed": closed, "low": closed - grow, "high": closed - shrink})
     best = bounded.groupBy("group").agg(F.min("high").alias("__best"))
-    rivals = (
+    rivals = cut_lineage(
         bounded.where(F.col("n") > 2 * n_byzantine + 2)
         .join(best, "group")
         .where(F.col("low") <= F.col("__best") * (1 + 1e-9) + 1e-9)
-        .select("group", "client", "vector", "closed")
-    )
-    others = base.select("group", F.col("client").alias("__o"), F.col("vector").alias("__ov"))
-    apart = (
-        rivals.join(others, "group")
-        .where(F.col("client") != F.col("__o"))
-        .select("group", "client", "closed", "__o", squared_distance(F.col("vector"), F.col("__ov")).alias("d2"))
-    )
-    farthest = Window.partitionBy("group", "client").orderBy(F.col("d2").desc(), "__o")
-    scores = (
-        apart.withColumn("__p", F.row_number().over(farthest))
-        .where(F.col("__p") <= far)
-        .groupBy("group", "client")
-        .agg((F.first("closed") - F.sum("d2")).alias("score"))
+        .select("group", "client", "closed")
     )
+    apart = farthest_sums(placed.select("group", "client", "vector", "r"), rivals, far)
+    scores = rivals.join(apart, ["group", "client"]).withColumn("score", F.col("closed") - F.col("far_sum"))
     winner = scores.groupBy("group").agg(F.min(F.struct("score", "client")).alias("b"))
     picked = winner.select("group", F.col("b.client").alias("client"), F.col("b.score").alias("score")).join(
         base, ["group", "client"]

@@ -174,3 +174,47 @@ def test_merged_nodes_keep_the_first(spark):
     b = spark.createDataFrame([("tool:x", "tool", "other", "edr"), ("tool:y", "tool", "Y", None)], schema)
     got = {r.node_id: r.label for r in graph.merge_nodes(a, b).collect()}
     assert got == {"tool:x": "X", "tool:y": "Y"}
+
+
+def far_points(spark, n, spread, seed=8):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(0, 1, (n, 6)) * (rng.exponential(1, (n, 1)) ** 3 if spread else 1)
+    rows = [("hot" if i % 4 else "cold", i, x[i].tolist()) for i in range(n)]
+    df = spark.createDataFrame(rows, "group string, client long, vector array<double>")
+    centre = {g: np.mean([v for k, _, v in rows if k == g], 0) for g in ("hot", "cold")}
+    placed = spark.createDataFrame([(g, i, v, float(np.linalg.norm(np.array(v) - centre[g]))) for g, i, v in rows], "group string, client long, vector array<double>, r double")
+    return rows, df, placed
+
+
+@pytest.mark.parametrize("spread", [False, True])
+@pytest.mark.parametrize("far", [1, 3, 40])
+def test_farthest_neighbours_equal_all_pairs(spark, spread, far):
+    rows, df, placed = far_points(spark, 300, spread)
+    found = {(r.group, r.client): r.far_sum for r in vectors.farthest_sums(placed, df, far, block=16).collect()}
+    for g, i, v in rows:
+        d2 = sorted((float(((np.array(v) - np.array(w)) ** 2).sum()) for k, j, w in rows if k == g and j != i), reverse=True)
+        assert found[g, i] == pytest.approx(sum(d2[:far]), rel=1e-9)
+
+
+def test_blocks_that_lie_near_are_left_out(spark, monkeypatch):
+    """With a few far vectors nearly all blocks are skipped: distances computed are a small part of all pairs."""
+    _, df, placed = far_points(spark, 1200, True)
+    pairs, plain = [], vectors._farthest
+    count = spark.sparkContext.accumulator(0)
+
+    def counted(far):
+        inner = plain(far)
+
+        def run(batches):
+            def seen():
+                for b in batches:
+                    count.add(int(sum(len(x) * len(y) for x, y in zip(b["clients"], b["o_clients"], strict=True))))
+                    yield b
+
+            yield from inner(seen())
+
+        return run
+
+    monkeypatch.setattr(vectors, "_farthest", counted)
+    assert vectors.farthest_sums(placed, df, 2, block=16).count() == 1200
+    assert count.value < 0.35 * (900**2 + 300**2)
