@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from hexvigil import bridge
 from hexvigil.operators import activity as act
+from hexvigil.operators import activity_bitmaps as bits
+from hexvigil.session import scratch_path
 from hexvigil.plans.registry import R, query, rounded
 
 NOW = "2024-01-31 00:00:00"
@@ -154,3 +156,59 @@ def engagement_funnel(spark, sf):
 )
 def retention_cohorts(spark, sf):
     return act.retention_cohorts(bridge.members(spark, sf), bridge.request_log(spark, sf), NOW)
+
+
+QUERIED = F.col("endpoint").startswith("/query")
+
+
+def stored_days(spark, sf):
+    """The request log as stored day bitmaps, read back."""
+    path = scratch_path(spark, "days")
+    bits.store_days(bits.day_bitmaps(bridge.request_log(spark, sf), "user_id", "ts", {"queried": QUERIED}), path)
+    return spark.read.parquet(path)
+
+
+@query(
+    "a31_funnel_from_bitmaps",
+    """SELECT (SELECT count(*) FROM members) AS registered, (SELECT count(*) FROM members WHERE verified) AS verified,
+ (SELECT count(DISTINCT o_custkey) FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)) AS contributed,
+ (SELECT count(DISTINCT user_id) FROM request_log WHERE endpoint LIKE '/query%') AS queried,
+ (SELECT count(*) FROM (SELECT user_id FROM request_log GROUP BY user_id HAVING count(DISTINCT CAST(ts AS DATE)) > 1)) AS returned""",
+    ("members", "request_log"),
+)
+def funnel_from_bitmaps(spark, sf):
+    return bits.funnel(stored_days(spark, sf), bridge.members(spark, sf), bridge.evals(spark, sf, "submitter"))
+
+
+@query(
+    "a28_active_by_window",
+    """WITH d AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM request_log), e AS (SELECT DISTINCT day FROM d)
+ SELECT e.day, count(DISTINCT d.user_id) FILTER (d.day = e.day) AS daily, count(DISTINCT d.user_id) FILTER (d.day > e.day - 7) AS weekly, count(DISTINCT d.user_id) AS monthly
+ FROM e JOIN d ON d.day <= e.day AND d.day > e.day - 30 GROUP BY e.day""",
+    ("request_log",),
+)
+def active_by_window(spark, sf):
+    """Users active on each day, in the seven and in the thirty days that end with it."""
+    days = stored_days(spark, sf).where("kind = 'any'")
+    ends = days.select("bucket", "users", "day", F.explode(F.expr("sequence(day, date_add(day, 29))")).alias("end"))
+    ends = ends.join(days.select(F.col("day").alias("end")).distinct(), "end")
+    spans = {"daily": 1, "weekly": 7, "monthly": 30}
+    named = F.array_compact(F.array(*[F.when(F.date_diff("end", "day") < n, F.lit(k)) for k, n in spans.items()]))
+    counted = bits.users_of(ends.withColumn("span", F.explode(named)), "end", "span")
+    wide = counted.groupBy(F.col("end").alias("day")).pivot("span", list(spans)).agg(F.first("users"))
+    return wide.select("day", *spans)
+
+
+@query(
+    "a32_retention_from_bitmaps",
+    f"""WITH c AS (SELECT user_id, CAST(created_at AS DATE) AS d, CAST(date_trunc('week', created_at) AS DATE) AS week FROM members WHERE created_at >= TIMESTAMP '{NOW}' - INTERVAL 56 DAY),
+ u AS (SELECT c.user_id, week, max(CASE WHEN date_diff('day', d, CAST(ts AS DATE)) BETWEEN 7 AND 13 THEN 1 ELSE 0 END) AS w1,
+ max(CASE WHEN date_diff('day', d, CAST(ts AS DATE)) BETWEEN 14 AND 20 THEN 1 ELSE 0 END) AS w2, max(CASE WHEN date_diff('day', d, CAST(ts AS DATE)) BETWEEN 28 AND 34 THEN 1 ELSE 0 END) AS w4
+ FROM c LEFT JOIN request_log r ON r.user_id = c.user_id GROUP BY 1, 2)
+ SELECT week, count(*) AS size, CAST(sum(w1) AS BIGINT) AS retained_1w, CAST(sum(w2) AS BIGINT) AS retained_2w, CAST(sum(w4) AS BIGINT) AS retained_4w FROM u GROUP BY week""",
+    ("members", "request_log"),
+)
+def retention_from_bitmaps(spark, sf):
+    recent = bridge.members(spark, sf).where(F.col("created_at") >= F.expr(f"TIMESTAMP_NTZ '{NOW}' - INTERVAL 56 DAY"))
+    created = bits.day_bitmaps(recent, "user_id", "created_at")
+    return bits.retention(created, stored_days(spark, sf), {"retained_1w": (7, 14), "retained_2w": (14, 21), "retained_4w": (28, 35)})
