@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hexvigil import bridge
-from hexvigil.functions import scrub
+from hexvigil.functions import scrub, tables
 from hexvigil.functions.hashing import indicator_hash, row_hash
 from hexvigil.operators import commitments as log, digest
 from hexvigil.plans.registry import R, query, rounded
@@ -125,15 +125,8 @@ def _stage_sql(name, before, after, evidence):
     return f"CAST(json_object('stage_id', '{name}', 'input_hash', {before}, 'output_hash', {after}, 'evidence', {evidence}) AS VARCHAR)"
 
 
-@query(
-    "h06_lineage",
-    f"""WITH d AS MATERIALIZED (SELECT doc_id, sha256(text) AS f, sha256(clean) AS c, CAST(length(text) AS VARCHAR) AS n FROM ({CLEAN_SQL})),
- l0 AS MATERIALIZED (SELECT *, {hmac_sql(KEY, 'f')} AS k0 FROM d), l1 AS MATERIALIZED (SELECT *, {hmac_row_sql('k0', _stage_sql('extract', 'f', 'f', 'n'))} AS k1 FROM l0),
- l2 AS MATERIALIZED (SELECT *, {hmac_row_sql('k1', _stage_sql('anonymize', 'f', 'c', "'scrub'"))} AS k2 FROM l1)
- SELECT doc_id, k0 AS root_link, {hmac_row_sql('k2', _stage_sql('submit', 'c', 'c', "'batch'"))} AS last_link, true AS chain_intact, true AS continuous, true AS valid FROM l2""",
-)
-def lineage(spark, sf):
-    """Documents through extraction, scrubbing and submission, chained and verified."""
+def chained(spark, sf):
+    """Documents through extraction, scrubbing and submission, chained."""
     docs = with_sentence(spark, sf, NOTES).select(
         "doc_id",
         F.sha2("text", 256).alias("file_hash"),
@@ -157,7 +150,18 @@ def lineage(spark, sf):
             stage("submit", "clean_hash", "clean_hash", F.lit("batch")),
         ),
     )
-    out = digest.verify_lineage(digest.chain_lineage(records, KEY))
+    return digest.chain_lineage(records, KEY)
+
+
+@query(
+    "h06_lineage",
+    f"""WITH d AS MATERIALIZED (SELECT doc_id, sha256(text) AS f, sha256(clean) AS c, CAST(length(text) AS VARCHAR) AS n FROM ({CLEAN_SQL})),
+ l0 AS MATERIALIZED (SELECT *, {hmac_sql(KEY, 'f')} AS k0 FROM d), l1 AS MATERIALIZED (SELECT *, {hmac_row_sql('k0', _stage_sql('extract', 'f', 'f', 'n'))} AS k1 FROM l0),
+ l2 AS MATERIALIZED (SELECT *, {hmac_row_sql('k1', _stage_sql('anonymize', 'f', 'c', "'scrub'"))} AS k2 FROM l1)
+ SELECT doc_id, k0 AS root_link, {hmac_row_sql('k2', _stage_sql('submit', 'c', 'c', "'batch'"))} AS last_link, true AS chain_intact, true AS continuous, true AS valid FROM l2""",
+)
+def lineage(spark, sf):
+    out = digest.verify_lineage(chained(spark, sf))
     return out.select(
         "doc_id", F.element_at("links", 1).alias("root_link"), F.element_at("links", -1).alias("last_link"),
         "chain_intact", "continuous", "valid",
@@ -285,3 +289,17 @@ def appended_proofs(spark, sf):
         "leaf_index", "leaf_hash", F.size("path").cast("long").alias("path_length"),
         F.sha2(F.array_join("path", ""), 256).alias("path_digest"), "valid",
     )
+
+
+@query(
+    "h06_lineage_in_sql",
+    f"""WITH d AS MATERIALIZED (SELECT doc_id, sha256(text) AS f, sha256(clean) AS c, CAST(length(text) AS VARCHAR) AS n FROM ({CLEAN_SQL})),
+ l0 AS MATERIALIZED (SELECT *, {hmac_sql(KEY, 'f')} AS k0 FROM d), l1 AS MATERIALIZED (SELECT *, {hmac_row_sql('k0', _stage_sql('extract', 'f', 'f', 'n'))} AS k1 FROM l0),
+ l2 AS MATERIALIZED (SELECT *, {hmac_row_sql('k1', _stage_sql('anonymize', 'f', 'c', "'scrub'"))} AS k2 FROM l1)
+ SELECT CAST(doc_id AS VARCHAR) AS record, 3 AS steps, {hmac_row_sql('k2', _stage_sql('submit', 'c', 'c', "'batch'"))} AS last_link, true AS chain_intact, true AS continuous, true AS valid FROM l2""",
+)
+def lineage_in_sql(spark, sf):
+    """The chains verified link by link by a table function."""
+    tables.register(spark)
+    links = tables.link_rows(chained(spark, sf), "doc_id")
+    return spark.sql("SELECT * FROM verify_links(TABLE(SELECT * FROM {links}) PARTITION BY record ORDER BY step)", links=links)
