@@ -294,13 +294,17 @@ def prediction_metrics(rows: DataFrame, by: tuple[str, ...] = ("group",), epsilo
 BLOCK = 2048
 
 
+#: Pivots of the similarity join at most: what the driver holds and every task compares with.
+MOST_CELLS = 4096
+
+
 def similar_nodes(
-    ours: DataFrame, theirs: DataFrame, threshold: float = 0.8, cells: int = 64, block: int = BLOCK
+    ours: DataFrame, theirs: DataFrame, threshold: float = 0.8, cells: int | None = None, block: int = BLOCK
 ) -> DataFrame:
     """All pairs (our id, their id) with cosine >= ``threshold``, exactly.
 
-    Each of our vectors goes to the nearest of ``cells`` pivots; a cell's reach is its
-    largest angle to the pivot.  One of their vectors can only match inside a cell if its
+    Each of our vectors goes to the nearest of ``cells`` pivots, as many as the square root
+    of our vectors (at least 64, at most MOST_CELLS); a cell's reach is its largest angle to the pivot.  One of their vectors can only match inside a cell if its
     angle to the pivot is at most reach + acos(threshold), so it is sent to those cells
     only.  Cells are cut into blocks of bounded size, so a crowded cell is many tasks;
     two blocks meet as one matrix product and only the matches leave the task.
@@ -315,6 +319,7 @@ def similar_nodes(
 
     a, b = prepared(ours), prepared(theirs)
     schema_id = dict(ours.dtypes)["id"]
+    cells = cells or int(min(MOST_CELLS, max(64, np.sqrt(a.count()))))
     seeds = a.orderBy(F.xxhash64("id"), "id").limit(cells).select("vector").collect()
     if not seeds:
         return spark.createDataFrame([], f"our_node {schema_id}, their_node {schema_id}, similarity double")
@@ -339,7 +344,7 @@ def similar_nodes(
                     {"id": pdf["id"], "vector": list(x), "cell": cell, "angle": ang[np.arange(len(x)), cell]}
                 )
 
-    located = a.mapInPandas(home, f"id {schema_id}, vector array<double>, cell int, angle double")
+    located = cut_lineage(a.mapInPandas(home, f"id {schema_id}, vector array<double>, cell int, angle double"))
     reach = np.full(len(pivots), -1.0)
     counts = np.zeros(len(pivots), dtype=np.int64)
     for r in located.groupBy("cell").agg(F.max("angle").alias("m"), F.count("*").alias("n")).collect():
@@ -354,7 +359,7 @@ def similar_nodes(
                     {"id": pdf["id"].to_numpy()[row], "vector": list(x[row]), "cell": cell.astype(np.int32)}
                 )
 
-    sent = b.mapInPandas(send, f"id {schema_id}, vector array<double>, cell int")
+    sent = cut_lineage(b.mapInPandas(send, f"id {schema_id}, vector array<double>, cell int"))
     arrivals = {r.cell: r.n for r in sent.groupBy("cell").agg(F.count("*").alias("n")).collect()}
     parts = dims.frame(
         spark,
@@ -393,6 +398,14 @@ def similar_nodes(
     )
 
 
+def banding(rows: int, threshold: float, missed: float = 0.02) -> tuple[int, int]:
+    """(bands, bits): bits follow the rows, so that a code holds about as many vectors however many there are, and bands
+    keep the share of pairs at the threshold that are missed below ``missed``."""
+    bits = max(10, int(np.ceil(np.log2(max(rows, 1) / 16))))
+    agree = (1 - np.arccos(np.clip(threshold, -1.0, 1.0)) / np.pi) ** bits
+    return max(1, int(np.ceil(np.log(missed) / np.log1p(-min(agree, 1 - 1e-12))))), bits
+
+
 def banded_pairs(ours: DataFrame, theirs: DataFrame, bands: int = 40, bits: int = 10, seed: int = 12) -> DataFrame:
     """Pairs (our id, their id) that agree in all sign bits of a band, the candidates of ``similar_nodes_banded``."""
 
@@ -413,13 +426,18 @@ def banded_pairs(ours: DataFrame, theirs: DataFrame, bands: int = 40, bits: int
     return coded(ours, "our_node").join(coded(theirs, "their_node"), ["band", "code"]).select("our_node", "their_node").distinct()
 
 
-def similar_nodes_banded(ours: DataFrame, theirs: DataFrame, threshold: float = 0.8, bands: int = 40, bits: int = 10) -> DataFrame:
+def similar_nodes_banded(
+    ours: DataFrame, theirs: DataFrame, threshold: float = 0.8, bands: int | None = None, bits: int | None = None
+) -> DataFrame:
     """Pairs with cosine >= ``threshold`` found through bands of signed random projections, each checked exactly.
 
     Compares only pairs that share a band, so it misses some: a pair at cosine c is found with
-    probability 1 - (1 - (1 - acos(c) / pi) ** bits) ** bands, 98 % at 0.8 and more above.
+    probability 1 - (1 - (1 - acos(c) / pi) ** bits) ** bands, 98 % at the threshold and more above, with the bands and
+    bits that the number of vectors calls for (``banding``).
     ``similar_nodes`` misses none, but compares all blocks where vectors don't cluster.
     """
+    if bands is None or bits is None:
+        bands, bits = banding(max(ours.count(), theirs.count()), threshold)
     pairs = banded_pairs(ours, theirs, bands, bits)
     left = ours.select(F.col("id").alias("our_node"), as_double("vector").alias("__a"))
     right = theirs.select(F.col("id").alias("their_node"), as_double("vector").alias("__b"))

@@ -218,3 +218,13 @@ def test_blocks_that_lie_near_are_left_out(spark, monkeypatch):
     monkeypatch.setattr(vectors, "_farthest", counted)
     assert vectors.farthest_sums(placed, df, 2, block=16).count() == 1200
     assert count.value < 0.35 * (900**2 + 300**2)
+
+
+def test_codes_stay_small_as_vectors_grow():
+    """Bits follow the vectors, bands keep the missed share at the threshold."""
+    for rows in (0, 1000, 10**5, 10**7, 10**9):
+        for threshold in (0.5, 0.8, 0.95):
+            bands, bits = vectors.banding(rows, threshold)
+            assert rows / 2**bits <= 16
+            agree = (1 - np.arccos(threshold) / np.pi) ** bits
+            assert (1 - agree) ** bands <= 0.02 + 1e-9
