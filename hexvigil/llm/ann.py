@@ -1,8 +1,14 @@
 """Approximate nearest neighbours by shifted space-filling curves.
 
 Vectors are projected to a few dimensions, each time by another random rotation and shift, and ordered by their place
-on a Hilbert curve.  Each ordering is range-partitioned into blocks of about equal size; a query meets the rows of its
-own and the neighbouring blocks, blocked matrix products score them exactly, and the best of all orderings merge.
+on a Hilbert curve.  Each ordering is range-partitioned into blocks of about BLOCK_ROWS rows; a query meets the rows of
+its own and the neighbouring blocks, blocked matrix products score them exactly, and the best of all orderings merge.
+
+How many orderings and how many blocks on either side is measured, not set: a few queries are answered by brute force,
+and of all choices that would have met the wanted share of their neighbours the one with the fewest products is taken.
+Where vectors lie in clusters that is a few blocks whatever the table's size, so a row is shuffled once an ordering and a
+query a few times.  Where nothing tells near from far (isotropic vectors) no window is narrow, and the choice ends at one
+ordering whose window is the table: never more products than an exhaustive search.
 
 Largest inner products become nearest neighbours on a sphere by one more component that fills every vector up to the
 largest norm.  Equal vectors are one point of the curve, with the few smallest ids that a result can name.
@@ -24,8 +30,12 @@ from hexvigil.session import cut_lineage
 
 ORDERINGS = 24
 DIMENSIONS, CURVE_BITS, TIE_BITS = 6, 8, 15
-#: Blocks of an ordering, and how many on either side of its own a query meets; a block has some vectors at least.
-BLOCKS, REACH, LEAST_BLOCK = 64, 2, 32
+#: Rows of a block, and blocks of an ordering at most: the driver holds their bounds.
+BLOCK_ROWS, MOST_BLOCKS = 2048, 4096
+#: Queries that are answered by brute force to choose the windows, and the share of their neighbours that must be met.
+SAMPLE, TARGET = 64, 0.96
+#: Numbers of orderings that are tried.
+CHOICES = (1, 2, 3, 4, 6, 8, 12, 16, 24)
 #: Rows and queries that meet in one matrix product.
 ROWS, ASKED = 20_000, 5_000
 SEED = 20
@@ -96,9 +106,11 @@ def _dealer(edges: np.ndarray, subs: int, chunks: int, reach: int):
                 block = np.searchsorted(edges[o], keys[:, o], "right")
                 for c in range(chunks):
                     yield rows.assign(ordering=o, block=block, sub=sub, chunk=c, query=False)
-                for step in range(-reach, reach + 1):
+                for step in range(-min(reach, blocks), min(reach, blocks) + 1):
                     to = block[asked] + step
                     there = (to >= 0) & (to < blocks)
+                    if not there.any():
+                        continue
                     at = asked[there]
                     for s in range(subs):
                         yield rows.iloc[at].assign(ordering=o, block=to[there], sub=s, chunk=chunk[at].astype(int), query=True)
@@ -128,13 +140,62 @@ def _matcher(k: int):
     return run
 
 
-def nearest(rows: DataFrame, every: int = 20, k: int = 20, orderings: int = ORDERINGS, reach: int = REACH) -> DataFrame:
+def _brute(ids: np.ndarray, queries: np.ndarray, k: int):
+    """For each batch its nearest rows to the sampled queries, with their keys."""
+
+    def run(batches):
+        for batch in batches:
+            if not len(batch):
+                continue
+            rep, scores = batch["rep"].to_numpy(), queries @ stacked(batch["vector"]).T
+            scores[ids[:, None] == rep] = -np.inf
+            n = min(k, len(rep))
+            top = np.argpartition(-scores, n - 1, axis=1)[:, :n]
+            q = np.repeat(np.arange(len(ids)), n)
+            out = pd.DataFrame({"q": q, "rep": rep[top.ravel()], "score": scores[q, top.ravel()], "keys": list(batch["keys"].iloc[top.ravel()])})
+            yield out[np.isfinite(out["score"])]
+
+    return run
+
+
+def windows(keyed: DataFrame, edges: np.ndarray, k: int, sample: int = SAMPLE, target: float = TARGET) -> tuple[int, int, float]:
+    """(orderings, reach, share met): the choice with the fewest products that meets ``target`` of the sample's neighbours.
+
+    The sample is ``sample`` queries by a hash of their id, the neighbours their ``k`` nearest of all rows, so the driver
+    gets sample x k keys.
+    """
+    asked = keyed.filter("asked").orderBy(F.xxhash64("rep"), "rep").limit(sample).select("rep", "vector", "keys").collect()
+    if not asked:
+        return 1, 0, 1.0
+    ids, queries = np.array([r["rep"] for r in asked], np.int64), stacked([r["vector"] for r in asked])
+    best = W.partitionBy("q").orderBy(F.desc("score"), "rep")
+    near = keyed.mapInPandas(_brute(ids, queries, k), "q int, rep long, score double, keys array<long>")
+    near = near.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= k).select("q", "keys").collect()
+    if not near:
+        return 1, 0, 1.0
+    place = lambda keys: np.stack([np.searchsorted(e, keys[:, o], "right") for o, e in enumerate(edges)], 1)
+    own, found = place(np.array([r["keys"] for r in asked])), place(np.array([r["keys"] for r in near]))
+    apart, blocks = np.abs(found - own[[r["q"] for r in near]]), edges.shape[1] + 1
+    tried = []
+    for o in sorted({min(c, len(edges)) for c in CHOICES}):
+        least = np.sort(apart[:, :o].min(1))
+        reach = int(least[min(len(least) - 1, ceil(target * len(least)) - 1)])
+        tried.append((o * min(2 * reach + 1, blocks), o, reach, float((least <= reach).mean())))
+    return min(tried)[1:]
+
+
+def nearest(
+    rows: DataFrame, every: int = 20, k: int = 20, orderings: int = ORDERINGS, reach: int | None = None, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
     """For each row of (vec_id, embedding) whose vec_id ``every`` divides, its ``k`` largest inner products with other rows.
 
     Returns query_id, rank (from 1), vec_id and score, nearest first, ties to the smaller vec_id; the score is exact,
     in double precision.  Rows whose id is null or whose vector is null, zero, holds null or non-finite components, or
     has another than the commonest length take no part; rows that repeat an id and a vector count once, and a query
     never finds its own id.  More rows than ``k`` may tie; fewer are returned only where fewer exist or are met.
+
+    ``orderings`` is how many are made; how many of them count and how many blocks on either side a query meets comes
+    from ``windows``, unless ``reach`` is given.
     """
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
     rows = rows.filter(usable("vector", "vec_id"))
@@ -152,10 +213,14 @@ def nearest(rows: DataFrame, every: int = 20, k: int = 20, orderings: int = ORDE
     keyed = cut_lineage(
         points.mapInPandas(_keyer(length, top or 1.0, orderings), "rep long, ids array<long>, asked boolean, vector binary, keys array<long>")
     )
-    blocks = min(BLOCKS, max(1, total // LEAST_BLOCK))
-    subs, chunks = max(1, ceil(total / blocks / ROWS)), max(1, ceil(asked * (2 * reach + 1) / blocks / ASKED))
+    blocks = min(MOST_BLOCKS, max(1, ceil(total / block_rows)))
+    edges = cuts(keyed, "keys", orderings, blocks)
+    if reach is None:
+        used, reach, _ = windows(keyed, edges, k)
+        edges = edges[:used]
+    subs, chunks = max(1, ceil(total / blocks / ROWS)), max(1, ceil(asked * min(2 * reach + 1, blocks) / blocks / ASKED))
     dealt = keyed.mapInPandas(
-        _dealer(cuts(keyed, "keys", orderings, blocks), subs, chunks, reach),
+        _dealer(edges, subs, chunks, reach),
         "ordering int, block int, sub int, chunk int, query boolean, rep long, vector binary",
     )
     met = dealt.groupBy("ordering", "block", "sub", "chunk").applyInPandas(_matcher(k + 1), "query long, found long, score double")

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hexvigil.llm.common import with_fields
+from hexvigil.session import cut_lineage
 
 #: Values in a credential's place from this cost on are secrets.
 BITS = 36.0
@@ -81,13 +82,23 @@ _RANK = Ranks()
 
 
 def common_words(docs: DataFrame, most: int = LEARNED, least: int = LEAST) -> list[str]:
-    """The ``most`` words of ``docs`` (text) that most documents hold, at least ``least``, lower-cased; ties by name.
+    """At most ``most`` words of ``docs`` (text), lower-cased, those that most documents hold, at least ``least``.
 
-    Each document counts a word once.  The number of words bounds what the driver gets and tasks are sent.
+    Each document counts a word once; the commonest come first, equal ones by name.  Counts are taken by steps of a 64th
+    of an octave, as far as all words of a step fit, so the driver gets the sizes of some thousand steps and ``most`` words.
     """
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)))
-    counted = docs.select(F.explode(words).alias("word")).groupBy("word").count().filter(F.col("count") >= least)
-    return [r["word"] for r in counted.orderBy(F.desc("count"), "word").limit(most).collect()]
+    counted = docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    counted = cut_lineage(counted.withColumn("step", F.floor(F.log2("n") * 64)))
+    total, lowest = 0, None
+    for step, n in sorted(((r["step"], r["count"]) for r in counted.groupBy("step").count().collect()), reverse=True):
+        if total + n > most:
+            break
+        total, lowest = total + n, step
+    if lowest is None:
+        return []
+    found = counted.filter(F.col("step") >= lowest).select("n", "word").collect()
+    return [r["word"] for r in sorted(found, key=lambda r: (-r["n"], r["word"]))]
 
 
 def guess_bits(value: str, rank: Ranks = _RANK) -> float:

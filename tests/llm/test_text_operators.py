@@ -307,11 +307,15 @@ def test_fixed_secret_patterns(parts):
 
 
 def plain_words(texts, most=secrets.LEARNED, least=secrets.LEAST):
-    """The commonest words by documents, counted in plain Python."""
+    """The commonest words by documents, counted in plain Python; whole steps of counts."""
     import regex
 
     df = Counter(w for t in texts for w in set(regex.findall(secrets._WORD, (t or "").lower())))
-    return [w for w, n in sorted(df.items(), key=lambda x: (-x[1], x[0])) if n >= least][:most]
+    ordered = sorted(((n, w) for w, n in df.items() if n >= least), key=lambda x: (-x[0], x[1]))
+    steps = [math.floor(math.log2(n) * 64) for n, _ in ordered]
+    if len(ordered) > most:
+        ordered = [x for x, s in zip(ordered, steps, strict=True) if s > steps[most]]
+    return [w for _, w in ordered]
 
 
 def test_words_are_ranked_by_documents(spark):

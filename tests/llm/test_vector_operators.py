@@ -78,6 +78,40 @@ def test_norms_copies_and_awkward_vectors(spark):
     assert ann.nearest(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def clustered(n, rng):
+    """Unit vectors in clusters of about 40."""
+    centres = rng.standard_normal((n // 40, 16))
+    x = centres[np.arange(n) % len(centres)] + 0.1 * rng.standard_normal((n, 16))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_windows_follow_the_data_not_the_table(spark, monkeypatch):
+    """In clusters a few blocks suffice at any size: what a row and a query are shuffled for stays the same."""
+    rng, chosen, dealt = np.random.default_rng(12), [], []
+    pick, deal = ann.windows, ann._dealer
+    monkeypatch.setattr(ann, "windows", lambda *a, **k: chosen.append(pick(*a, **k)) or chosen[-1])
+    monkeypatch.setattr(ann, "_dealer", lambda edges, subs, chunks, reach: dealt.append((len(edges), subs, chunks, reach)) or deal(edges, subs, chunks, reach))
+    for n in (2000, 8000):
+        x = clustered(n, rng)
+        table = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], SCHEMA)
+        found = collected(ann.nearest(table, block_rows=64).collect())
+        assert recall(found, brute_nearest(np.arange(n), x)) >= 0.9
+    copies = [o * chunks + o * min(2 * reach + 1, 10**9) * subs / 20 for o, subs, chunks, reach in dealt]
+    assert copies[1] <= 1.5 * copies[0] and all(share >= ann.TARGET for *_, share in chosen)
+    blocks, (o, reach, _) = 8000 / 64, chosen[1]
+    assert o * (2 * reach + 1) <= 0.5 * blocks
+
+
+def test_isotropic_vectors_take_no_more_products_than_all(spark, monkeypatch):
+    rng, dealt, deal = np.random.default_rng(13), [], ann._dealer
+    monkeypatch.setattr(ann, "_dealer", lambda edges, subs, chunks, reach: dealt.append((edges.shape, reach)) or deal(edges, subs, chunks, reach))
+    x = rng.standard_normal((1500, 48))
+    found = collected(ann.nearest(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], SCHEMA), block_rows=50).collect())
+    assert recall(found, brute_nearest(np.arange(1500), x)) >= 0.9
+    (orderings, cuts), reach = dealt[0]
+    assert orderings * min(2 * reach + 1, cuts + 1) <= cuts + 1
+
+
 def brute_links(rows, cosine=0.93):
     part = [
         (i, r) for i, r in enumerate(rows)
