@@ -90,6 +90,34 @@ weighs 75 kg and is 180 cm tall
 hash 9 f 86 d 081 8 was logged
 route 66 runs 3 940 km
 see section 4 . 2 or mail the team at once
+write to [email john (dot) smith (at) corp (dot) com] soon
+[email mary ( dot ) poe ( at ) mail ( dot ) org] knows more
+[email tim dot berg at post dot site dot net] is best
+[email kim_2 at box dot org] reads it
+[email dora at verlag dot de] hilft weiter
+[email ana @ casa . es] contesta
+[email lee - ray @ web . de] bitte
+[email a.b ( at ) c . net] is fine
+ask [email zoe [dot] hart [at] lab [dot] io] first
+the host [ip 10 (dot) 1 (dot) 2 (dot) 3] is down
+scan [ip 172 . 20 . 0 . 254] again
+card [card 5555 . 5555 . 5555 . 4444] please
+card [card 6011 / 0009 / 9013 / 9424] is lost
+card [card 3530_1113_3330_0000] works
+llama al [phone 91 423 55 66] mañana
+handy [phone 0151 / 234 56 78] abends
+fax [phone 555 . 200 . 1234] is broken
+appelle au [phone 05 61 22 33 44] ce soir
+order number 212 444 9081 shipped on monday
+ticket 8831 442 917 was closed
+serial 4419 2201 7781 is worn
+parcel 0049 1177 3321 left
+account 77 812 345 was checked
+reference 040 7654321 was stored
+the dot at the end is red
+a talk at dot com days 2001
+item number 300 412 7765 is sold
+our id 0171 2345 is new
 """
 
 #: Words near a span that tell its kind.

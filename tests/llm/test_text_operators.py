@@ -487,6 +487,72 @@ def test_pii_of_table_and_awkward_rows(spark):
     assert pii.find_pii(empty_docs(spark)).count() == 0
 
 
+#: Sentences that the field hasn't seen: other words and numbers than its table's, and near misses without any.
+UNSEEN = """
+write to [email anna ( dot ) schmidt ( at ) firma ( dot ) de] today
+[email peter dot jones at mail dot example dot org] answers fast
+reach [email m.meier (at) web.de] or his desk
+contact [email sales [at] shop [dot] com] for offers
+[email lucy_k at post dot net] is her address
+mailto [email bob - the - builder @ site . org] please
+email [email jane.roe at uni dot edu] before noon
+send it to [email x.y ( at ) z . com] now
+host [ip 10 . 20 . 30 . 40] does not answer
+the gate at [ip 192 . 168 . 7 . 1] is closed
+block [ip 172 [.] 16 [.] 0 [.] 9] at once
+server [ip 8 (dot) 8 (dot) 4 (dot) 4] is public
+card [card 5105 . 1051 . 0510 . 5100] was declined
+visa [card 4111 / 1111 / 1111 / 1111] expires soon
+pay with [card 4012 _ 8888 _ 8888 _ 1881] today
+phone [phone ( 089 ) 1234 567] in munich
+call [phone 555 . 123 . 4567] tonight
+tel [phone 0664 / 123 45 67] abends
+mobile [phone 07911 123 456] on weekends
+ring [phone ( 212 ) 555 0142] twice
+llame al [phone 93 412 33 22] hoy
+téléphone [phone 04 78 12 34 56] le matin
+order number 555 867 5309 shipped
+ticket 4471 223 118 is closed
+parcel 0034 9912 7781 left the depot
+account 12 345 678 was audited
+the meeting at 10 dot com boom starts soon
+look at the dot on the map at noon
+version 10 . 2 . 3 was released in 2021
+the ratio is 3 . 5 to 1 at best
+between 2010 and 2015 some 4 500 000 people moved
+his serial 8812 4410 2291 was scratched
+invoice number 2021 0045 7781 is due
+in room 212 555 people waited
+see chapter 10 . 20 . 30 of the book
+he arrived at dot net conference late
+the price rose from 1 299 to 1 499 dollars
+reference 030 1234567 was filed
+"""
+
+
+def test_field_on_unseen_sentences():
+    """Precision and recall of the spans that the field adds, by kind; a span counts if it overlaps one of its kind."""
+    emit, move = pii.train(pii.parse_table())
+    mark = re.compile(rf"\[({'|'.join(pii.KINDS)}) ((?:[^\[\]]|\[(?:at|dot|\.)\])*)\]")
+    right, wrong, missed = Counter(), Counter(), Counter()
+    for line in filter(None, UNSEEN.split("\n")):
+        plain, spans, last = "", [], 0
+        for m in mark.finditer(line):
+            plain += line[last : m.start()]
+            spans.append((len(plain), m[1], len(plain) + len(m[2])))
+            plain += m[2]
+            last = m.end()
+        plain += line[last:]
+        base = pii.base_spans(plain)
+        found = base + pii.tagged_spans([plain], [base], emit, move)[0]
+        same = lambda x, y: x[1] == y[1] and x[0] < y[2] and y[0] < x[2]
+        for x in found:
+            (right if any(same(x, y) for y in spans) else wrong)[x[1]] += 1
+        missed.update(y[1] for y in spans if not any(same(x, y) for x in found))
+    assert sum(right.values()) >= 0.8 * (sum(right.values()) + sum(missed.values())), missed
+    assert sum(wrong.values()) <= 0.1 * sum(right.values()), wrong
+
+
 # Classifiers
 
 
