@@ -158,13 +158,10 @@ def retention_cohorts(spark, sf):
     return act.retention_cohorts(bridge.members(spark, sf), bridge.request_log(spark, sf), NOW)
 
 
-QUERIED = F.col("endpoint").startswith("/query")
-
-
 def stored_days(spark, sf):
     """The request log as stored day bitmaps, read back."""
     path = scratch_path(spark, "days")
-    bits.store_days(bits.day_bitmaps(bridge.request_log(spark, sf), "user_id", "ts", {"queried": QUERIED}), path)
+    bits.store_days(bits.day_bitmaps(bridge.request_log(spark, sf), "user_id", "ts", {"queried": F.col("endpoint").startswith("/query")}), path)
     return spark.read.parquet(path)
 
 
