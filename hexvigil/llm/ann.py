@@ -217,7 +217,10 @@ def nearest(
     edges = cuts(keyed, "keys", orderings, blocks)
     if reach is None:
         used, reach, _ = windows(keyed, edges, k)
-        edges = edges[:used]
+        # Wide windows are few large blocks: what a query gets from each is ``k`` rows, whatever the table's size.
+        melt = max(1, reach // 2)
+        edges, reach = edges[:used, melt - 1 :: melt], ceil(reach / melt)
+        blocks = edges.shape[1] + 1
     subs, chunks = max(1, ceil(total / blocks / ROWS)), max(1, ceil(asked * min(2 * reach + 1, blocks) / blocks / ASKED))
     dealt = keyed.mapInPandas(
         _dealer(edges, subs, chunks, reach),
