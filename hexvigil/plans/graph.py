@@ -114,6 +114,23 @@ def random_walks(spark, sf):
     return graph.random_walks(parts(spark, sf)[1])
 
 
+@query(
+    "g05_walk_steps",
+    f"""WITH {GRAPH_SQL} SELECT start, 20 AS walks, 200 AS nodes, 180 AS along_edges FROM (SELECT source_id AS start FROM ed UNION SELECT target_id FROM ed)""",
+    ("technique_obs", "bundle_ioc"),
+)
+def walk_steps(spark, sf):
+    """What the walks must be: twenty of ten nodes from every node, each step along an edge of the graph."""
+    edges = parts(spark, sf)[1]
+    walks = graph.random_walks(edges)
+    step = F.posexplode(F.slice("path", 1, F.size("path") - 1)).alias("i", "src")
+    steps = walks.select("walk", "start", "path", step).select("walk", "start", "src", F.get("path", F.col("i") + 1).alias("dst"))
+    near = graph.undirected(edges).select("src", "dst").distinct().withColumn("known", F.lit(1))
+    taken = steps.join(near, ["src", "dst"], "left").groupBy("start").agg(F.count("known").cast("int").alias("along_edges"))
+    sizes = walks.groupBy("start").agg(F.count("*").cast("int").alias("walks"), F.sum(F.size("path")).cast("int").alias("nodes"))
+    return sizes.join(taken, "start").select("start", "walks", "nodes", "along_edges")
+
+
 @query("g05_walk_embeddings")
 def walk_embeddings(spark, sf):
     return graph.walk_embeddings(graph.random_walks(parts(spark, sf)[1]))
