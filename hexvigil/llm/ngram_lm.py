@@ -30,7 +30,7 @@ from hexvigil.session import scratch_path
 ORDER = 3
 #: Tokens of a block, and n-grams of a bucket: what one task holds at a time.  A block sends one row to each bucket that
 #: it has grams for, never more rows than grams; far beyond 10^12 tokens larger blocks keep these rows long.
-BLOCK_TOKENS, BUCKET_GRAMS = 1 << 20, 1 << 21
+BLOCK_TOKENS, BUCKET_GRAMS = 1 << 20, 1 << 20
 #: Hashes of two words and more have so many bits beyond those that count the corpus: a gram meets another by chance
 #: once in 2^20.  Single words keep 64 bits.
 SPARE_BITS = 20
@@ -106,7 +106,7 @@ def _encoder(order: int, limit: int):
         # Numbers of rows and blocks are unique, as only one attempt of a task writes its files.
         row = number = TaskContext.get().partitionId() << 33
         builders = [_Builder(tune, order, limit) for tune in (False, True)]
-        for batch in batches:
+        for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             facts = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "train", "tune")), strict=True)
             for (ident, train, tune), words in zip(facts, _tokens(texts), strict=True):
