@@ -6,8 +6,9 @@ import random
 from pyspark.sql import functions as F
 
 from hexvigil.operators import activity, scores, secure
+from hexvigil.plans import streams
 from hexvigil.streaming import operators as ops
-from hexvigil.streaming.processors import PROVIDER, entry_state
+from hexvigil.streaming.processors import PROVIDER, entry_state, live_matches
 from hexvigil.streaming.runner import folder_stream, run_append, run_update
 
 START = dt.datetime(2024, 1, 1)
@@ -181,3 +182,27 @@ def test_sessions(spark):
     rows = entry.queries()["s06_activity_sessions"](spark, sf).collect()
     assert {(r.user_id, r.session_start, r.session_end, r.requests, r.still_open) for r in rows} == expected
     assert len(rows) == len(expected) and any(r.still_open for r in rows)
+
+
+def test_live_alerts_count_by_hash_inside_a_bucket(spark, tmp_path):
+    """Hashes that share a state entry, null among them, are counted apart; rows without a date count but are not judged."""
+    day = START
+    rows = [(1, "a", "ip", day, 0), (2, "b", "ip", day, 0), (3, None, "ip", day, 0), (4, "a", "ip", None, 0), (5, "a", "ip", day, 1),
+            (6, None, "ip", day, 1), (7, "c", "ip", day, 1), (8, "a", "ip", None, 1)]
+    df = spark.createDataFrame(rows, "contribution_id long, value_hash string, ioc_type string, received_at timestamp, part int")
+    write_parts(df, str(tmp_path / "in"), "part", 2)
+    got = run_append(live_matches(folder_stream(spark, str(tmp_path / "in"), 1), buckets=1), "alerts")
+    assert sorted((r.contribution_id, r.value_hash, r.known_rows) for r in got.collect()) == [(5, "a", 2), (6, None, 1)]
+
+
+def test_live_alerts_write_their_files_in_parallel(spark, tmp_path, monkeypatch):
+    """No batch passes through one task; what arrives together is one batch however many files it takes."""
+    monkeypatch.setattr(streams, "scratch_path", lambda _, name: str(tmp_path / name))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        streams.live_alerts(spark, "/root/testdata/sf0.001").count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(list(tmp_path.glob("bundle-files/part-*"))) > 4
+    assert len(list(tmp_path.glob("live-alerts/state/commits/[0-9]*"))) == 4
