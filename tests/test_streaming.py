@@ -9,7 +9,7 @@ from hexvigil.operators import activity, scores, secure
 from hexvigil.plans import streams
 from hexvigil.streaming import operators as ops
 from hexvigil.streaming.processors import PROVIDER, entry_state, live_matches
-from hexvigil.streaming.runner import folder_stream, run_append, run_update
+from hexvigil.streaming.runner import folder_stream, run_append, run_batches, run_update
 
 START = dt.datetime(2024, 1, 1)
 
@@ -206,3 +206,18 @@ def test_live_alerts_write_their_files_in_parallel(spark, tmp_path, monkeypatch)
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert len(list(tmp_path.glob("bundle-files/part-*"))) > 4
     assert len(list(tmp_path.glob("live-alerts/state/commits/[0-9]*"))) == 4
+
+
+def test_batches_are_cut_into_files(spark, tmp_path, monkeypatch):
+    """A quarter of a table is no single task's to write; batches stay four."""
+    monkeypatch.setattr(streams, "scratch_path", lambda _, name: str(tmp_path / name))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "10")
+    try:
+        stream = streams.in_batches(spark, spark.range(1000), "numbers")
+        sizes = []
+        run_batches(stream, "numbers-out", lambda batch, _: sizes.append(batch.count()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(list((tmp_path / "numbers-files").glob("part-*"))) == 12
+    assert len(sizes) == 4 and sum(sizes) == 1000
