@@ -291,9 +291,10 @@ def prediction_metrics(rows: DataFrame, by: tuple[str, ...] = ("group",), epsilo
     )
 
 
-BLOCK = 2048
-
-
+#: Vectors of ours that a task of the similarity join holds at most, and about how many of theirs pass by.
+BLOCK = 16384
+#: Numbers of one product, and rows of one batch that is given on.
+NUMBERS, SENT = 1 << 22, 1 << 15
 #: Pivots of the similarity join at most: what the driver holds and every task compares with.
 MOST_CELLS = 4096
 
@@ -306,8 +307,9 @@ def similar_nodes(
     Each of our vectors goes to the nearest of ``cells`` pivots, as many as the square root
     of our vectors (at least 64, at most MOST_CELLS); a cell's reach is its largest angle to the pivot.  One of their vectors can only match inside a cell if its
     angle to the pivot is at most reach + acos(threshold), so it is sent to those cells
-    only.  Cells are cut into blocks of bounded size, so a crowded cell is many tasks;
-    two blocks meet as one matrix product and only the matches leave the task.
+    only, once for all that lie in one group.  A group holds up to ``block`` of our vectors and
+    a task meets it with about as many of theirs, which pass by in batches: products and
+    matches are bounded, and a vector is copied once per group it can match in.
 
     Pivots (``cells`` vectors) and reaches (``cells`` numbers) are all the driver holds.
     Zero vectors match nothing.
@@ -327,22 +329,25 @@ def similar_nodes(
     pivots /= np.linalg.norm(pivots, axis=1, keepdims=True)
     limit = float(np.arccos(np.clip(threshold, -1.0, 1.0)))
 
-    def unit(pdf: pd.DataFrame) -> np.ndarray:
-        x = np.stack(pdf["vector"].to_numpy()).astype(float)
+    step = max(1, NUMBERS // (4 * cells))
+
+    def unit(vectors) -> np.ndarray:
+        x = np.stack(vectors).astype(float)
         return x / np.linalg.norm(x, axis=1, keepdims=True)
 
-    def angles(x: np.ndarray) -> np.ndarray:
-        return np.arccos(np.clip(x @ pivots.T, -1.0, 1.0))
+    def angles(x: np.ndarray, to: np.ndarray = pivots) -> np.ndarray:
+        return np.arccos(np.clip(x @ to.T, -1.0, 1.0))
 
-    def home(batches):
+    def slices(batches):
         for pdf in batches:
-            if len(pdf):
-                x = unit(pdf)
-                ang = angles(x)
-                cell = ang.argmin(axis=1)
-                yield pd.DataFrame(
-                    {"id": pdf["id"], "vector": list(x), "cell": cell, "angle": ang[np.arange(len(x)), cell]}
-                )
+            for i in range(0, len(pdf), step):
+                yield pdf["id"].to_numpy()[i : i + step], unit(pdf["vector"].to_numpy()[i : i + step])
+
+    def home(batches):
+        for ids, x in slices(batches):
+            ang = angles(x)
+            cell = ang.argmin(axis=1)
+            yield pd.DataFrame({"id": ids, "vector": list(x), "cell": cell, "angle": ang[np.arange(len(x)), cell]})
 
     located = cut_lineage(a.mapInPandas(home, f"id {schema_id}, vector array<double>, cell int, angle double"))
     reach = np.full(len(pivots), -1.0)
@@ -350,51 +355,118 @@ def similar_nodes(
     for r in located.groupBy("cell").agg(F.max("angle").alias("m"), F.count("*").alias("n")).collect():
         reach[r.cell], counts[r.cell] = r.m, r.n
 
-    def send(batches):
-        for pdf in batches:
-            if len(pdf):
-                x = unit(pdf)
-                row, cell = np.nonzero((reach >= 0) & (angles(x) <= reach + limit + 1e-9))
-                yield pd.DataFrame(
-                    {"id": pdf["id"].to_numpy()[row], "vector": list(x[row]), "cell": cell.astype(np.int32)}
-                )
+    # Neighbouring cells share a group until it is full; a cell that is larger than a group has several of its own.
+    ranges: list[tuple[int, int]] = []
+    placed = []
+    room = 0
+    for cell in range(len(pivots)):
+        parts = max(1, -(-int(counts[cell]) // block))
+        if parts > 1 or counts[cell] > room or not ranges:
+            ranges += [(cell, cell + 1)] * parts
+            room = block if parts == 1 else 0
+        ranges[-1] = (ranges[-1][0], cell + 1)
+        room -= int(counts[cell])
+        placed.append((cell, len(ranges) - parts, parts))
+    starts = sorted({low for low, _ in ranges})
+    column = np.array([starts.index(low) for low, _ in ranges])
+
+    def groups_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        near = (reach >= 0) & (angles(x) <= reach + limit + 1e-9)
+        return np.nonzero(np.logical_or.reduceat(near, starts, axis=1)[:, column])
+
+    def arriving(batches):
+        for _, x in slices(batches):
+            found, n = np.unique(groups_of(x)[1], return_counts=True)
+            yield pd.DataFrame({"group": found.astype(np.int32), "n": n})
 
-    sent = cut_lineage(b.mapInPandas(send, f"id {schema_id}, vector array<double>, cell int"))
-    arrivals = {r.cell: r.n for r in sent.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    parts = dims.frame(
-        spark,
-        [
-            (i, max(1, -(-int(counts[i]) // block)), max(1, -(-int(arrivals.get(i, 0)) // block)))
-            for i in range(len(pivots))
-        ],
-        ["cell", "ours", "theirs"],
+    def send(batches):
+        for ids, x in slices(batches):
+            row, group = groups_of(x)
+            for i in range(0, len(row), SENT):
+                at = row[i : i + SENT]
+                yield pd.DataFrame({"id": ids[at], "vector": list(x[at]), "group": group[i : i + SENT].astype(np.int32)})
+
+    arrivals = b.mapInPandas(arriving, "group int, n long").groupBy("group").agg(F.sum("n").alias("n")).collect()
+    if not arrivals:
+        return spark.createDataFrame([], f"our_node {schema_id}, their_node {schema_id}, similarity double")
+    shares = dims.frame(spark, [(r.group, -(-int(r.n) // block)) for r in arrivals], ["group", "theirs"])
+    homes = dims.frame(spark, placed, ["cell", "first", "parts"])
+    key = F.concat_ws(":", "group", "share").alias("task")
+    left = (
+        located.join(homes, "cell")
+        .withColumn("group", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int"))
+        .join(shares, "group")
+        .withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("theirs").cast("long") - 1)))
+        .select(key, F.col("cell").cast("int").alias("cell"), "id", "vector")
     )
-
-    def spread(df: DataFrame, own: str, other: str, own_part: str, other_part: str) -> DataFrame:
-        return (
-            df.join(parts, "cell")
-            .withColumn(own_part, F.pmod(F.xxhash64("id"), F.col(own)).cast("int"))
-            .withColumn(other_part, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-            .select("cell", "pa", "pb", "id", "vector")
-        )
-
-    left = spread(located.drop("angle"), "ours", "theirs", "pa", "pb")
-    right = spread(sent, "theirs", "ours", "pb", "pa")
-
-    def meet(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        if not len(l) or not len(r):
-            return pd.DataFrame({"our_node": [], "their_node": [], "similarity": []})
-        sim = np.stack(l["vector"].to_numpy()) @ np.stack(r["vector"].to_numpy()).T
-        i, j = np.nonzero(sim >= threshold)
-        return pd.DataFrame(
-            {"our_node": l["id"].to_numpy()[i], "their_node": r["id"].to_numpy()[j], "similarity": sim[i, j]}
-        )
-
-    keys = ["cell", "pa", "pb"]
+    sent = b.mapInPandas(send, f"id {schema_id}, vector array<double>, group int")
+    right = (
+        sent.join(shares, "group")
+        .withColumn("share", F.pmod(F.xxhash64("id"), F.col("theirs")).cast("long"))
+        .select(key, F.lit(None).cast("int").alias("cell"), "id", "vector")
+    )
+    product = max(1, min(block, int(NUMBERS**0.5)))
+
+    def compared(held, ids: np.ndarray, x: np.ndarray):
+        """The matches of a batch of theirs with what a task holds of ours, cell by cell."""
+        our, own, bounds = held
+        for cell, low, high in bounds:
+            near = np.flatnonzero(angles(x, pivots[cell : cell + 1])[:, 0] <= reach[cell] + limit + 1e-9)
+            for p in range(low, high, product):
+                for q in range(0, len(near), product):
+                    at = near[q : q + product]
+                    sim = own[p : min(p + product, high)] @ x[at].T
+                    i, j = np.nonzero(sim >= threshold)
+                    if len(i):
+                        yield our[p + i], ids[at[j]], sim[i, j]
+
+    def meet(batches):
+        """Rows come by task, ours first and by cell: ours are kept, theirs pass by batch after batch."""
+        task, ours_ids, ours_vectors, ours_cells, held = None, [], [], [], None
+        out, waiting = [], 0
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            mine = pdf["cell"].notna().to_numpy()
+            tasks = pdf["task"].to_numpy()
+            turns = np.flatnonzero((tasks[1:] != tasks[:-1]) | (mine[1:] != mine[:-1])) + 1
+            for low, high in zip([0, *turns], [*turns, len(pdf)]):
+                if tasks[low] != task:
+                    task, ours_ids, ours_vectors, ours_cells, held = tasks[low], [], [], [], None
+                ids, x = pdf["id"].to_numpy()[low:high], np.stack(pdf["vector"].to_numpy()[low:high])
+                if mine[low]:
+                    ours_ids.append(ids)
+                    ours_vectors.append(x)
+                    ours_cells.append(pdf["cell"].to_numpy()[low:high].astype(int))
+                    continue
+                if not ours_ids:
+                    continue
+                if held is None:
+                    cell = np.concatenate(ours_cells)
+                    ends = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1), len(cell)]
+                    bounds = [(int(cell[p]), p, q) for p, q in zip(ends[:-1], ends[1:])]
+                    held = np.concatenate(ours_ids), np.concatenate(ours_vectors), bounds
+                for found in compared(held, ids, x):
+                    out.append(found)
+                    waiting += len(found[0])
+                    if waiting >= SENT:
+                        yield from pairs_of(out)
+                        out, waiting = [], 0
+        if out:
+            yield from pairs_of(out)
+
+    def pairs_of(found: list):
+        our, their, similarity = (np.concatenate(x) for x in zip(*found))
+        for i in range(0, len(our), SENT):
+            cut = slice(i, i + SENT)
+            yield pd.DataFrame({"our_node": our[cut], "their_node": their[cut], "similarity": similarity[cut]})
+
+    tasks = sum(-(-int(r.n) // block) for r in arrivals)
     return (
-        left.groupBy(*keys)
-        .cogroup(right.groupBy(*keys))
-        .applyInPandas(meet, f"our_node {schema_id}, their_node {schema_id}, similarity double")
+        left.unionByName(right)
+        .repartition(max(tasks, spark.sparkContext.defaultParallelism), "task")
+        .sortWithinPartitions("task", F.col("cell").asc_nulls_last())
+        .mapInPandas(meet, f"our_node {schema_id}, their_node {schema_id}, similarity double")
     )
 
 
