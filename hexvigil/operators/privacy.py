@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hexvigil import dims
+from hexvigil.functions.bind import kept, once
 from hexvigil.functions.hashing import indicator_hash, indicator_hmac
 from hexvigil.functions.noise import laplace, randomized_response, uniform
 from hexvigil.functions.prefix import running_total
@@ -129,26 +130,29 @@ def anonymize_attack_maps(maps: DataFrame, epsilon: float | None = None, secret:
     having detected, and the budget is split by the number of techniques.
     """
 
-    def flipped(t: Column, detected: bool) -> Column:
-        tools = F.array_union(t.getField("detected_by"), t.getField("missed_by"))
+    def flipped(t: Column) -> Column:
+        """Every tool with what is reported of it, drawn once."""
         eps = F.lit(float(epsilon)) / F.greatest(F.size("techniques"), F.lit(1))
 
         def reported(tool: Column) -> Column:
             u = uniform(secret, F.col("contribution_id").cast("string"), t.getField("technique_id"), tool)
             return randomized_response(F.array_contains(t.getField("detected_by"), tool), eps, u)
 
-        return F.filter(tools, lambda tool: reported(tool) if detected else ~reported(tool))
+        tools = F.array_union(t.getField("detected_by"), t.getField("missed_by"))
+        return F.transform(tools, lambda tool: F.struct(tool.alias("tool"), reported(tool).alias("reported")))
+
+    def side(drawn: Column, detected: bool) -> Column:
+        ours = F.filter(drawn, lambda x: x.getField("reported") if detected else ~x.getField("reported"))
+        return F.transform(ours, lambda x: x.getField("tool"))
 
     def clean(t: Column) -> Column:
         out = t.withField("notes", scrub(t.getField("notes")))
-        if epsilon is not None:
-            out = out.withField("detected_by", flipped(t, True)).withField("missed_by", flipped(t, False))
-        return out
+        if epsilon is None:
+            return out
+        return once(flipped(t), lambda d: out.withField("detected_by", side(d, True)).withField("missed_by", side(d, False)))
 
-    cols = {"techniques": F.transform("techniques", clean)}
-    if "notes" in maps.columns:
-        cols["notes"] = scrub(F.col("notes"))
-    return maps.withColumns(cols)
+    out = maps.withColumn("techniques", kept(F.transform("techniques", clean)))
+    return out.withColumn("notes", scrub(F.col("notes"))) if "notes" in maps.columns else out
 
 
 def anonymize_bundles(bundles: DataFrame, key: bytes | None = None) -> DataFrame:

@@ -10,6 +10,19 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_reported_outcomes_are_drawn_once(spark):
+    entry = F.struct(
+        F.lit("T1").alias("technique_id"), F.array(F.lit("a")).alias("detected_by"), F.array(F.lit("b")).alias("missed_by"),
+        F.lit("mail x@example.org").alias("notes"),
+    )
+    maps = spark.range(40).select(F.col("id").alias("contribution_id"), F.when(F.col("id") > 0, F.array(entry)).alias("techniques"))
+    out = privacy.anonymize_attack_maps(maps, 1.0, "s").select("contribution_id", F.explode("techniques").alias("t")).select("contribution_id", "t.*")
+    assert plan(out).count("sha2(") == 1
+    rows = out.collect()
+    assert len(rows) == 39 and all(sorted(r.detected_by + r.missed_by) == ["a", "b"] and r.notes == "mail [EMAIL]" for r in rows)
+    assert privacy.anonymize_attack_maps(maps).where("techniques is null").count() == 1
+
+
 def test_overlap_compares_short_digests(spark):
     rows = [(1, "x" * 64), (1, "x" * 64), (1, "y" * 64), (1, None), (2, "x" * 64), (2, None), (3, "z")]
     held = spark.createDataFrame(rows, "org int, value_hash string")
