@@ -11,6 +11,7 @@ from hexvigil import dims
 from hexvigil.functions.bind import once
 from hexvigil.functions.phrases import containing
 from hexvigil.functions.scrub import strip_html, unescape_html
+from hexvigil.session import cut_lineage
 
 # ---------------------------------------------------------------------------
 # Fixed values
@@ -684,6 +685,7 @@ def match_tools(tools: DataFrame, registry: DataFrame, aliases: list[tuple[str,
     smallest id counts, of aliases the first.
     """
     distinct = tools.select("tool").where(F.trim("tool") != "").distinct().withColumn("name", F.lower(F.trim("tool")))
+    distinct = cut_lineage(distinct)  # seven rules read the names, the table behind them is read once
     names = distinct.select("name").distinct()
     low = F.lower("vendor_id")
     keyed = registry.select(

@@ -31,3 +31,11 @@ def test_overlap_compares_short_digests(spark):
     got = indicators.pair_overlap(held, pairs, held.where("org = 2").select("value_hash"))
     assert sorted(map(tuple, got.collect())) == [(1, 2, 3, 2, 1, 1), (1, 3, 3, 1, 0, 0)]
 
+
+def test_tool_names_are_read_once(spark):
+    tools = spark.range(70).select(F.concat(F.lit("Tool "), (F.col("id") % 7).cast("string")).alias("tool"))
+    registry = spark.createDataFrame([("tool 3", "Tool Three")], "vendor_id string, display_name string")
+    out = intake.match_tools(tools, registry)
+    assert "Range" not in plan(out)
+    assert sorted((r.tool, r.vendor_id) for r in out.where("rule = 1").collect()) == [("Tool 3", "tool 3")]
+    assert out.count() == 7
