@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hexvigil.functions.bind import kept
 from hexvigil.functions.hashing import indicator_hash
 from hexvigil.operators.techniques import technique_lookup
 
@@ -57,7 +58,7 @@ def _first(items: Column, test, field: str) -> Column:
 
 def parse_stix(documents: DataFrame, column: str = "value") -> DataFrame:
     """IN4: bundles as parsed rows; anything that is no bundle is left out."""
-    parsed = documents.withColumn("b", F.from_json(column, STIX_SCHEMA)).where("b.type = 'bundle'")
+    parsed = documents.withColumn("b", kept(F.from_json(column, STIX_SCHEMA))).where("b.type = 'bundle'")
     actors = F.filter("b.objects", lambda o: o.getField("type") == "threat-actor")
     return parsed.select(
         F.col("b.id").alias("bundle_id"),

@@ -10,6 +10,14 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_stix_bundles_are_parsed_once(spark):
+    text = '{"type": "bundle", "id": "b", "objects": [{"type": "attack-pattern", "id": "p"}, {"type": "threat-actor", "name": "A"}]}'
+    docs = spark.range(3).select(F.when(F.col("id") < 2, text).otherwise("no JSON").alias("value"))
+    found = intel.stix_techniques(intel.parse_stix(docs))
+    assert plan(found).count("from_json") == 1
+    assert [(r.bundle_id, r.threat_name, r.technique_id) for r in found.collect()] == [("b", "A", "p")] * 2
+
+
 def test_reported_outcomes_are_drawn_once(spark):
     entry = F.struct(
         F.lit("T1").alias("technique_id"), F.array(F.lit("a")).alias("detected_by"), F.array(F.lit("b")).alias("missed_by"),
