@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hexvigil import dims
+from hexvigil.functions.bind import kept
 from hexvigil.functions.hashing import indicator_hash
 from hexvigil.operators.intake import match_category
 from hexvigil.sources.intel import mapped
@@ -150,7 +151,7 @@ def edr_detections(documents: DataFrame, column: str = "value") -> DataFrame:
 
 def parse_webhooks(documents: DataFrame, column: str = "value") -> DataFrame:
     """IN15: body and ``format`` of webhook calls; the first known key decides."""
-    w = documents.withColumn("w", F.from_json(column, WEBHOOK_SCHEMA))
+    w = documents.withColumn("w", kept(F.from_json(column, WEBHOOK_SCHEMA)))
     fmt = F.when(F.col("w.detection").isNotNull(), "detection")
     for name in ("properties", "cef", "indicators", "iocs"):
         fmt = fmt.when(F.col(f"w.{name}").isNotNull(), name)

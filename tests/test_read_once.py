@@ -18,6 +18,14 @@ def test_stix_bundles_are_parsed_once(spark):
     assert [(r.bundle_id, r.threat_name, r.technique_id) for r in found.collect()] == [("b", "A", "p")] * 2
 
 
+def test_webhook_bodies_are_parsed_once_a_branch(spark):
+    bodies = F.array(F.lit('{"cef": "CEF:0|V|P|1|1|n|5|src=1.2.3.4"}'), F.lit('{"indicators": [{"type": "url", "value": "u"}]}'), F.lit("x"))
+    docs = spark.range(3).select(F.get(bodies, F.col("id").cast("int")).alias("value"))
+    found = events.webhook_iocs(events.parse_webhooks(docs))
+    assert plan(found).count("from_json") <= 2
+    assert sorted((r.ioc_type, r.source) for r in found.collect()) == [("ip", "cef:V:P"), ("url", "indicators")]
+
+
 def test_reported_outcomes_are_drawn_once(spark):
     entry = F.struct(
         F.lit("T1").alias("technique_id"), F.array(F.lit("a")).alias("detected_by"), F.array(F.lit("b")).alias("missed_by"),
