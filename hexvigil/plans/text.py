@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from hexvigil import bridge
 from hexvigil.functions import scrub
+from hexvigil.functions.bind import kept
 from hexvigil.functions.hashing import hmac_sha256, indicator_hash, indicator_hmac, session_key, hmac_column_key
 from hexvigil.operators import intake, relevance
 from hexvigil.plans.registry import R, query, r6, rounded
@@ -83,7 +84,8 @@ COUNTS_AFTER = ", ".join(f"len(regexp_extract_all(clean, '{p}')) AS {n}_after" f
 
 
 def scanned(spark, sf):
-    docs = with_sentence(spark, sf, NOTES).withColumn("clean", scrub.scrub(F.col("text")))
+    docs = with_sentence(spark, sf, NOTES).select("doc_id", kept(scrub.shortened(F.col("text"))).alias("text"))
+    docs = docs.withColumn("clean", scrub.scrub(F.col("text")))
     before = {f"{n}_before": c for n, c in scrub.pattern_counts(F.col("text")).items()}
     after = {f"{n}_after": c for n, c in scrub.pattern_counts(F.col("clean")).items()}
     return docs.select("doc_id", *[c.cast("long").alias(n) for n, c in (before | after).items()])
