@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from hexvigil.functions.bind import once
 from hexvigil.functions.hashing import hmac_column_key, hmac_sha256, row_hash
 from hexvigil.functions.prefix import positions
-from hexvigil.session import cut_lineage
+from hexvigil.session import cut_lineage, stored
 
 EMPTY_ROOT = hashlib.sha256(b"empty").hexdigest()
 PAD_LEAF = hashlib.sha256(b"pad").hexdigest()
@@ -60,17 +60,19 @@ def _fold_blocks(level: DataFrame, bits: int, pad: str, keys: tuple[str, ...] =
     A block is bounded, so folding it inside one row is safe; each level is a column
     of its own and is computed once.
     """
-    size = 1 << bits
     blocks = (
         level.groupBy(*keys, F.shiftright("idx", bits).alias("block"))
         .agg(F.array_sort(F.collect_list(F.struct("idx", "hash"))).alias("__s"))
         .select(*keys, "block", F.transform("__s", lambda x: x.getField("hash")).alias("__raw"))
-        .select(
-            *keys,
-            "block",
-            F.concat("__raw", F.array_repeat(F.lit(pad), F.lit(size) - F.size("__raw"))).alias("__l0"),
-        )
     )
+    return _fold_raw(blocks, bits, pad)
+
+
+def _fold_raw(blocks: DataFrame, bits: int, pad: str) -> DataFrame:
+    """Blocks with up to 2^bits hashes in ``__raw``, padded, beside their levels."""
+    size = 1 << bits
+    padding = F.array_repeat(F.lit(pad), F.lit(size) - F.size("__raw"))
+    blocks = blocks.withColumn("__l0", F.concat("__raw", padding)).drop("__raw")
     for k in range(1, bits + 1):
         blocks = blocks.withColumn(f"__l{k}", _parents(F.col(f"__l{k - 1}"), size >> k))
     return blocks
@@ -135,32 +137,45 @@ def merkle_root(leaves: DataFrame, block_bits: int = 10) -> DataFrame:
 def inclusion_proofs(leaves: DataFrame, block_bits: int = 10) -> DataFrame:
     """H3: (leaf_index, leaf_hash, path, root) for every leaf; ``path`` holds the siblings from the bottom up.
 
-    The side of a sibling is the bit of the leaf index at its level.  Paths are built per
-    block and lengthened by the path of the block, so leaves meet blocks once per round.
+    The side of a sibling is the bit of the leaf index at its level.  Other columns of ``leaves`` stay beside the proof.
+    A block's own path is found first, block by block from the top, and meets the block's leaves before they leave it,
+    so no leaf's path is moved.
     """
-    base = cut_lineage(leaves.select(F.col("leaf_index").cast("long").alias("leaf_index"), "leaf_hash"))
+    more = [c for c in leaves.columns if c not in ("leaf_index", "leaf_hash")]
+    base = stored(leaves.select(F.col("leaf_index").cast("long").alias("leaf_index"), "leaf_hash", *more), "leaves")
     depth = _depth(base.count())
     if depth == 0:
-        return base.withColumns({"path": F.array().cast("array<string>"), "root": F.col("leaf_hash")})
+        return base.select(
+            "leaf_index", "leaf_hash", F.array().cast("array<string>").alias("path"), F.col("leaf_hash").alias("root"), *more
+        )
+    low = min(block_bits, depth)
     level = base.select(F.col("leaf_index").alias("idx"), F.col("leaf_hash").alias("hash"))
-    rounds = []
-    height = 0
+    tops = stored(_fold_blocks(level, low, _pad_hash(0)).select("block", F.get(f"__l{low}", F.lit(0)).alias("hash")), "tops")
+    level, rounds, height = tops.select(F.col("block").alias("idx"), "hash"), [], low
     while height < depth:
         bits = min(block_bits, depth - height)
-        blocks = cut_lineage(_fold_blocks(level, bits, _pad_hash(height)))
-        rounds.append((height, _paths(blocks, bits)))
+        blocks = stored(_fold_blocks(level, bits, _pad_hash(height)), "blocks")
+        rounds.append((bits, _paths(blocks, bits)))
         level = blocks.select(F.col("block").alias("idx"), F.get(f"__l{bits}", F.lit(0)).alias("hash"))
         height += bits
     root = level.select("hash").scalar()
-    out = base.withColumn("path", F.array().cast("array<string>"))
-    for height, paths in rounds:
-        piece = paths.select(F.col("idx").alias("__i"), F.col("path").alias("__p"))
-        out = (
-            out.join(piece, F.shiftright("leaf_index", height) == F.col("__i"))
-            .withColumn("path", F.concat("path", "__p"))
-            .drop("__i", "__p")
+    above = level.select("idx", F.array().cast("array<string>").alias("path"))
+    for bits, paths in reversed(rounds):
+        higher = above.select(F.col("idx").alias("__b"), F.col("path").alias("__p"))
+        above = (
+            paths.join(higher, F.shiftright("idx", bits) == F.col("__b"))
+            .select("idx", F.concat("path", "__p").alias("path"))
         )
-    return out.withColumn("root", root)
+    kept = F.struct(F.col("leaf_index").alias("idx"), F.col("leaf_hash").alias("hash"), *more)
+    held = base.groupBy(F.shiftright("leaf_index", low).alias("block")).agg(F.array_sort(F.collect_list(kept)).alias("__leaves"))
+    blocks = _fold_raw(held.withColumn("__raw", F.transform("__leaves", lambda x: x.getField("hash"))), low, _pad_hash(0))
+    blocks = blocks.join(above.select(F.col("idx").alias("block"), F.col("path").alias("__up")), "block")
+    each = blocks.select(*[f"__l{k}" for k in range(low)], "__up", F.posexplode("__leaves").alias("__i", "x"))
+    own = F.array(*[F.get(f"__l{k}", F.shiftright("__i", k).bitwiseXOR(F.lit(1))) for k in range(low)])
+    return each.select(
+        F.col("x.idx").alias("leaf_index"), F.col("x.hash").alias("leaf_hash"), F.concat(own, "__up").alias("path"),
+        root.alias("root"), *[F.col("x").getField(c).alias(c) for c in more],
+    )
 
 
 def verify_proofs(proofs: DataFrame) -> DataFrame:

@@ -73,17 +73,13 @@ PATH_COLS = ", ".join(f"s{k}.h" for k in range(LEVELS))
 )
 def inclusion_proofs(spark, sf):
     lf = leaves(spark, sf)
-    proofs = digest.verify_proofs(digest.inclusion_proofs(lf.select("leaf_index", "leaf_hash")))
-    return (
-        lf.select("o_orderkey", "leaf_index")
-        .join(proofs, "leaf_index")
-        .select(
-            "o_orderkey",
-            F.col("leaf_index").cast("long").alias("leaf_index"),
-            F.size("path").cast("long").alias("path_length"),
-            F.sha2(F.array_join("path", ""), 256).alias("path_digest"),
-            "valid",
-        )
+    proofs = digest.verify_proofs(digest.inclusion_proofs(lf.select("leaf_index", "leaf_hash", "o_orderkey")))
+    return proofs.select(
+        "o_orderkey",
+        "leaf_index",
+        F.size("path").cast("long").alias("path_length"),
+        F.sha2(F.array_join("path", ""), 256).alias("path_digest"),
+        "valid",
     )
 
 

@@ -257,3 +257,10 @@ def test_a_scan_whose_rows_lie_in_one_split_is_spread(spark, tmp_path):
         assert bridge.spread(scan, "id").groupBy(F.spark_partition_id()).count().count() > 4
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def test_proofs_keep_what_stands_beside_a_leaf(spark):
+    df = spark.createDataFrame([(i, sha(str(i)), f"r{i}") for i in range(21)], "leaf_index long, leaf_hash string, record string")
+    proofs = digest.inclusion_proofs(df, 2)
+    assert [(r.leaf_index, r.record) for r in digest.verify_proofs(proofs).orderBy("leaf_index").collect() if r.valid] == [(i, f"r{i}") for i in range(21)]
+    assert [c for c, _ in proofs.dtypes] == ["leaf_index", "leaf_hash", "path", "root", "record"]
