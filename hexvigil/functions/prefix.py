@@ -17,6 +17,8 @@ from hexvigil.session import cut_lineage
 BUCKETS = 1024
 #: A group of no more distinct values is accumulated in one go; only larger ones are cut into buckets.
 WHOLE = 8192
+#: Distinct values of one bucket that a task sorts; where an even cut of the range leaves more, quantiles cut it.
+DEEP = 1 << 20
 
 
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -69,6 +71,16 @@ def _bucketed(
     return counts.withColumn("__b", bucket)
 
 
+def _evenly(counts: DataFrame, keys: list[str], value: str, buckets: int) -> DataFrame:
+    """Counts with the bucket ``__b`` of their value in an even cut of the range that their group has."""
+    v = F.col(value).cast("double")
+    span = counts.groupBy(*keys).agg(F.min(v).alias("__lo"), F.max(v).alias("__hi"))
+    width = F.col("__hi") - F.col("__lo")
+    share = F.when(width > 0, (v - F.col("__lo")) / width).otherwise(0.0)
+    bucket = F.least(F.greatest(F.floor(share * buckets), F.lit(0)), F.lit(buckets - 1)).cast("int")
+    return _null_safe_join(counts, span, keys).withColumn("__b", bucket).drop("__lo", "__hi")
+
+
 def _place(v: Column, cuts: Column, buckets: int) -> Column:
     """How many of the sorted cuts lie below a value: first among every 32nd, then in that stretch."""
     step = 32
@@ -82,7 +94,7 @@ def _place(v: Column, cuts: Column, buckets: int) -> Column:
 def _bucket_offsets(placed: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Per (keys, bucket): rows in it, rows in smaller buckets, rows of the group, smallest and largest value."""
     per_bucket = placed.groupBy(*keys, "__b").agg(
-        F.sum("n").alias("__bn"), F.min(value).alias("__bmin"), F.max(value).alias("__bmax")
+        F.sum("n").alias("__bn"), F.min(value).alias("__bmin"), F.max(value).alias("__bmax"), F.count("*").alias("__bd")
     )
     before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     return per_bucket.select(
@@ -91,6 +103,7 @@ def _bucket_offsets(placed: DataFrame, keys: list[str], value: str) -> DataFrame
         "__bn",
         "__bmin",
         "__bmax",
+        "__bd",
         F.coalesce(F.sum("__bn").over(before), F.lit(0)).alias("__before"),
         F.sum("__bn").over(Window.partitionBy(*keys)).alias("total"),
     )
@@ -113,7 +126,7 @@ def cumulative_counts(
     if _small(counts, keys):
         return _accumulated(counts, keys, value)
     placed = _bucketed(counts, keys, value, lo, hi, buckets)
-    offsets = _bucket_offsets(placed, keys, value).drop("__bn", "__bmin", "__bmax")
+    offsets = _bucket_offsets(placed, keys, value).drop("__bn", "__bmin", "__bmax", "__bd")
     joined = _null_safe_join(placed, offsets, [*keys, "__b"])
     inside = Window.partitionBy(*keys, "__b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     below = F.col("__before") + F.coalesce(F.sum("n").over(inside), F.lit(0))
@@ -141,12 +154,15 @@ def _rank_values(
     picks = [at(rank).alias(name) for name, rank in ranks.items()]
     if _small(counts, keys):
         return _accumulated(counts, keys, value).groupBy(*keys).agg(*picks)
-    placed = _bucketed(counts, keys, value, lo, hi, buckets)
-    offsets = _bucket_offsets(placed, keys, value)
     holds = F.lit(False)
     for rank in ranks.values():
         holds = holds | ((F.col("__before") <= rank) & (rank < F.col("__before") + F.col("__bn")))
-    targets = offsets.where(holds)
+    even = lo is None or hi is None
+    placed = _evenly(counts, keys, value, buckets) if even else _bucketed(counts, keys, value, lo, hi, buckets)
+    targets = cut_lineage(_bucket_offsets(placed, keys, value).where(holds))
+    if even and (targets.where("__bmin < __bmax").agg(F.max("__bd")).first()[0] or 0) > DEEP:
+        placed = _bucketed(counts, keys, value, None, None, buckets)
+        targets = _bucket_offsets(placed, keys, value).where(holds)
     plain = targets.where("__bmin = __bmax").select(
         *keys, F.col("__bmin").alias(value), F.col("__bn").alias("n"), F.col("__before").alias("below"), "total"
     )
@@ -192,8 +208,9 @@ def median_mad_of_counts(
         *keys, F.abs(F.col(value) - F.col("median")).alias("__dev"), "n"
     )
     span = None if lo is None or hi is None else float(hi) - float(lo)
+    # Two values may lie as far off on either side; ranks count rows, so their deviations need not be made one.
     mad = _rank_values(
-        cut_lineage(apart.groupBy(*keys, "__dev").agg(F.sum("n").alias("n"))),
+        apart,
         keys,
         "__dev",
         {"mad": F.floor(F.col("total") / 2)},

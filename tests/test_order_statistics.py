@@ -76,3 +76,21 @@ def test_buckets_stay_even_beside_a_far_value(spark):
     order = prefix._bucketed(counts, ["k"], "v", None, None, prefix.BUCKETS).groupBy("__b").agg(F.min("v").alias("a"), F.max("v").alias("b"))
     rows = order.orderBy("__b").collect()
     assert all(x.b < y.a for x, y in zip(rows[:-1], rows[1:], strict=True))
+
+
+@pytest.mark.parametrize("deep", [0, prefix.DEEP])
+def test_ranks_of_large_groups_need_no_cuts_beside_every_row(spark, monkeypatch, deep):
+    monkeypatch.setattr(prefix, "WHOLE", 0)
+    monkeypatch.setattr(prefix, "DEEP", deep)
+    cut = []
+    place = prefix._place
+    monkeypatch.setattr(prefix, "_place", lambda *a: cut.append(1) or place(*a))
+    data = [("far", float(v), 0) for v in [*range(-40, 60), 1e12, -1e300]] + [("wide", v, 0) for v in (-1e308, 0.5, 1.5, 1e308)]
+    data += [("ends", float("inf"), 0), ("ends", 1.0, 0), ("ends", 2.0, 0), ("same", 3.0, 0), ("same", 3.0, 0), (None, 1.0, 0), (None, 4.0, 0)]
+    df = spark.createDataFrame(data, "k string, v double, i int")
+    got = {r.k: (r.median, r.mad) for r in prefix.exact_median_mad(df, ["k"], "v").collect()}
+    for k, values in grouped(data).items():
+        med = statistics.median(values)
+        dev = sorted(abs(v - med) for v in values)
+        assert got[k] == (med, dev[len(dev) // 2])
+    assert bool(cut) == (deep == 0)
