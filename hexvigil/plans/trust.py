@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hexvigil import bridge
-from hexvigil.functions.prefix import exact_median_mad
+from hexvigil.functions.prefix import exact_median_mad, median_mad_of_counts
 from hexvigil.operators import trust
 from hexvigil.plans.registry import R, query, rounded
+from hexvigil.session import stored
 
 
 def contributions(spark, sf):
@@ -149,8 +150,9 @@ OUTLIER_SQL = f"""w AS ({WEIGHT_SQL}), {MEDIAN_SQL},
 )
 def outlier_weight(spark, sf):
     e = bridge.evals(spark, sf, "submitter", "vendor", "category", "overall_score")
-    cells = e.groupBy("vendor", "category", "submitter", "overall_score").agg(F.count("*").alias("n"))
-    centre = exact_median_mad(e, ["vendor", "category"], "overall_score", 0.0, 10.0)
+    cells = stored(e.groupBy("vendor", "category", "submitter", "overall_score").agg(F.count("*").alias("n")), "cells")
+    counts = cells.where("overall_score is not null").groupBy("vendor", "category", "overall_score").agg(F.sum("n").alias("n"))
+    centre = median_mad_of_counts(counts, ["vendor", "category"], "overall_score", 0.0, 10.0)
     w = weights(spark, sf).select(F.col("participant").alias("submitter"), F.col("weight").alias("base_weight"))
     out = (
         cells.join(centre, ["vendor", "category"])
