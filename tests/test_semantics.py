@@ -131,6 +131,33 @@ def test_own_rows_do_not_match(spark):
     assert done["a"] == (True, ["critical:block_network_indicators", "high:hunt_related_activity"])
 
 
+def test_bundle_matches_of_several_types_and_nulls(spark):
+    schema = "contribution_id string, value_hash string, ioc_type string"
+    rows = [(c, h, t) for c in ("a", "b", None) for h in ("h1", "h2", None) for t in ("ip", "url", None) if (c, h, t) != ("b", "h2", "ip")] + [("a", "h1", "ip")]
+    other = [("b", "h1", "ip"), ("z", "h2", "url"), ("z", "h2", "url")]
+
+    def brute(bundles, store):
+        out = {}
+        for c, h in {r[:2] for r in bundles if r[1]}:
+            for t in {r[2] for r in store if r[1] == h}:
+                n = sum(1 for x in store if x[1] == h and x[2] == t and not (c is not None and t is not None and x[0] == c))
+                if n:
+                    m, k = out.get((c, t), (0, 0))
+                    out[c, t] = (m + n, k + 1)
+        return out
+
+    df, store = spark.createDataFrame(rows, schema), spark.createDataFrame(other, schema)
+    for got, want in ((indicators.bundle_matches(df), brute(rows, rows)), (indicators.bundle_matches(df, store), brute(rows, other))):
+        assert {(r.contribution_id, r.ioc_type): (r.matches, r.matched_hashes) for r in got.collect()} == want
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = indicators.bundle_matches(df)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    moved = [x for x in plan.splitlines() if " Exchange hashpartitioning(contribution_id" in x and "value_hash" in x]
+    assert moved and all("REPARTITION_BY_COL" in x for x in moved)  # no join and no grouping moves them by both once more
+
+
 def test_match_category_works_both_ways(spark):
     df = spark.createDataFrame([("alert fatigue",), ("fatigue",), ("it is the cost of it",), ("",), (None,), ("zzz",)], "t string")
     got = [r[0] for r in df.select(intake.match_category(F.col("t"), dims.FRICTION_CATEGORIES)).collect()]
