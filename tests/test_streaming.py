@@ -221,3 +221,16 @@ def test_batches_are_cut_into_files(spark, tmp_path, monkeypatch):
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert len(list((tmp_path / "numbers-files").glob("part-*"))) == 12
     assert len(sizes) == 4 and sum(sizes) == 1000
+
+
+def test_alerts_on_a_store_with_nulls_and_repeats(spark, tmp_path):
+    digest = "ab" * 32
+    schema = "contribution_id long, value_hash string, ioc_type string"
+    rows = [(1, digest, "ip"), (1, digest, "ip"), (2, "plain", "url"), (None, digest, "email"), (3, None, "ip"), (4, "new", "ip")]
+    held = [(1, digest), (1, digest), (2, "plain"), (5, digest), (None, digest), (None, None), (None, "plain")]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
+    store = spark.createDataFrame(held, "contribution_id int, value_hash string")
+    got = run_append(ops.match_alerts(folder_stream(spark, str(tmp_path / "in")), store), "alerts")
+    assert sorted(((r.contribution_id, r.value_hash, r.known_rows) for r in got.collect()), key=str) == sorted(
+        [(1, digest, 2), (1, digest, 2), (2, "plain", 1), (None, digest, 4)], key=str
+    )
