@@ -143,12 +143,50 @@ def folded(frame: DataFrame) -> Column:
     ).getField("h")
 
 
-def inclusion(frontier: Frontier, nodes: DataFrame) -> DataFrame:
-    """(leaf_index, leaf_hash, path, root) of every committed leaf against the frontier's root."""
-    own = nodes.where((F.col("height") == 0) & (F.col("idx") < frontier.count))
-    found = paths(frontier, nodes, own)
-    return own.join(found, ["height", "idx"]).select(
-        F.col("idx").alias("leaf_index"), F.col("hash").alias("leaf_hash"), "path", F.lit(frontier.root()).alias("root")
+def inclusion(frontier: Frontier, nodes: DataFrame, block_bits: int = 10) -> DataFrame:
+    """(leaf_index, leaf_hash, path, root) of every committed leaf against the frontier's root.
+
+    The nodes below ``block_bits`` meet once, in blocks of 2^block_bits leaves, where every leaf finds its siblings at their
+    places; only the blocks' own paths are looked up height by height.  No leaf is moved once a height.
+    """
+    depth, partial, count = _depth(frontier.count), frontier.partial(), frontier.count
+    low, root = min(block_bits, depth), F.lit(frontier.root()).alias("root")
+    complete = nodes.where(F.expr(f"shiftleft(idx + 1, height) <= {count}"))
+    if low == 0:
+        return complete.where("height = 0").select(
+            F.col("idx").alias("leaf_index"), F.col("hash").alias("leaf_hash"), F.array().cast("array<string>").alias("path"), root
+        )
+    inner = complete.where(F.col("height") < low).select(F.expr(f"shiftright(idx, {low} - height)").alias("block"), "height", "idx", "hash")
+    blocks = inner.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("height", "idx", "hash"))).alias("x"))
+    blocks = blocks.select("block", F.transform("x", lambda e: e.getField("hash")).alias("x"))
+    wanted = blocks.select(F.lit(low).alias("height"), F.col("block").alias("idx"))
+    above = paths(frontier, nodes.where(F.col("height") >= low), wanted).select(F.col("idx").alias("block"), F.col("path").alias("up"))
+
+    def first(k: int) -> Column:
+        return F.shiftleft("block", low - k)
+
+    def held(k: int) -> Column:
+        """How many complete nodes of height ``k`` the block has: they fill it from the left."""
+        return F.greatest(F.lit(0), F.least(F.lit(1 << (low - k)), F.lit(count >> k) - first(k))).cast("int")
+
+    begins = [F.lit(0)]
+    for k in range(low):
+        begins.append(begins[-1] + held(k))
+    each = blocks.join(above, "block").select(
+        "block", "x", "up", F.array(*begins).alias("at"), F.explode(F.sequence(F.lit(0), held(0) - 1)).alias("i")
+    )
+
+    def sibling(k: int) -> Column:
+        place = F.shiftright("i", k).bitwiseXOR(F.lit(1))
+        begin, end = F.get("at", F.lit(k)), F.get("at", F.lit(k + 1))
+        edge = F.when(first(k) + place == count >> k, F.lit(partial[k])) if k in partial else F.lit(None).cast("string")
+        return F.when(begin + place < end, F.get("x", begin + place)).otherwise(F.coalesce(edge, F.lit(_pad_hash(k))))
+
+    return each.select(
+        (first(0) + F.col("i")).alias("leaf_index"),
+        F.get("x", F.col("i")).alias("leaf_hash"),
+        F.concat(F.array(*[sibling(k) for k in range(low)]), "up").alias("path"),
+        root,
     )
 
 

@@ -46,3 +46,16 @@ def test_paths_equal_those_of_the_whole_tree(spark):
     whole = digest.inclusion_proofs(leaves(spark, 0, 45).withColumnRenamed("place", "leaf_index"))
     expected = {r["leaf_index"]: list(r["path"]) for r in whole.collect()}
     assert {r["leaf_index"]: list(r["path"]) for r in cm.inclusion(frontier, a.unionByName(b)).collect()} == expected
+
+
+@pytest.mark.parametrize("bits", [1, 2, 3, 10])
+def test_proofs_by_block_are_those_by_node(spark, bits):
+    a, old = cm.append_leaves(cm.Frontier(), leaves(spark, 0, 21), 2)
+    b, new = cm.append_leaves(old, leaves(spark, 21, 64), 2)
+    nodes = a.unionByName(b)
+    for frontier in (old, new):
+        own = nodes.where((F.col("height") == 0) & (F.col("idx") < frontier.count))
+        want = own.join(cm.paths(frontier, nodes, own), ["height", "idx"])
+        got = cm.inclusion(frontier, nodes, bits)
+        assert {(r.leaf_index, r.leaf_hash, *r.path) for r in got.collect()} == {(r.idx, r.hash, *r.path) for r in want.collect()}
+        assert got.count() == frontier.count and {r.root for r in got.collect()} == {frontier.root()}
