@@ -234,3 +234,5 @@ def test_alerts_on_a_store_with_nulls_and_repeats(spark, tmp_path):
     assert sorted(((r.contribution_id, r.value_hash, r.known_rows) for r in got.collect()), key=str) == sorted(
         [(1, digest, 2), (1, digest, 2), (2, "plain", 1), (None, digest, 4)], key=str
     )
+    kept = [f for f in ops.match_alerts(spark.createDataFrame(rows, schema), store).inputFiles() if "known-own" in f]
+    assert kept and {len(r["__pair"]) for r in spark.read.parquet(*kept).collect()} == {16}
